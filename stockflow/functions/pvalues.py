@@ -9,6 +9,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -92,16 +93,16 @@ def _column(fn, *series: pd.Series) -> pd.Series:
     return pd.Series([None if any(pd.isna(v) for v in row) else fn(*row) for row in rows], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return _column(t_tail, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_pvalue(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _column(f_tail, f, df1, df2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_pvalue(z: pd.Series) -> pd.Series:
     return _column(normal_tail, z)

@@ -21,7 +21,7 @@ from stockflow.session import ensure_checkpoints
 DEDUP_MINUTES = 60
 COOLDOWN_MINUTES = 15
 MAX_PER_HOUR = 20
-SESSION_ROWS = 200_000
+SESSION_ROWS = 5_000_000  # alerts of one session that one task may work through
 CHANNELS = ["email", "slack"]
 MINUTE = 60_000_000  # microseconds
 HOUR = 60 * MINUTE
@@ -84,13 +84,22 @@ def suppress(
 
 
 def _by_session(sessions: DataFrame, cooldown: int, cap: int) -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", "alert_id"])
-        sent, _ = reduce_alerts([], pdf["_t"], pdf["_dedup"], pdf["delivered"], cooldown, cap)
-        return pd.DataFrame({"alert_id": pdf["alert_id"], "sent": sent})
+    """Sessions hashed to partitions, sorted, and reduced as the rows stream by: state is one session's recent sends."""
+
+    def run(batches):
+        current, sent = None, []
+        for pdf in batches:
+            decisions = []
+            for key, session, now, is_dedup, ok in zip(pdf["rate_key"], pdf["_session"], pdf["_t"], pdf["_dedup"], pdf["delivered"]):
+                if (key, session) != current:
+                    current, sent = (key, session), []
+                made, sent = reduce_alerts(sent, (now,), (is_dedup,), (ok,), cooldown, cap)
+                decisions += made
+            yield pd.DataFrame({"alert_id": pdf["alert_id"], "sent": decisions})
 
     kind = sessions.schema["alert_id"].dataType.simpleString()
-    return sessions.groupBy("rate_key", "_session").applyInPandas(one, f"alert_id {kind}, sent boolean")
+    keys = ["rate_key", "_session"]
+    return sessions.repartition(*keys).sortWithinPartitions(*keys, "_t", "alert_id").mapInPandas(run, f"alert_id {kind}, sent boolean")
 
 
 def _by_doubling(rows: DataFrame, cooldown: int, cap: int) -> DataFrame:

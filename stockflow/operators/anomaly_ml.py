@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from stockflow.functions.pvalues import chi2_quantile
 from stockflow.functions.scalars import numeric_columns
 from stockflow.operators.quantiles import exact_quantiles
+from stockflow.session import materialize
 
 TREES = 200
 SAMPLE = 256
@@ -34,6 +35,7 @@ class Scaling:
     columns: list[str]
     medians: dict[str, float]
     spreads: dict[str, float]
+    rows: int  # size of the frame it was fitted on
 
     def vector(self) -> list[Column]:
         """Missing values at the median, then (x - median) / IQR."""
@@ -44,10 +46,11 @@ class Scaling:
 
 def fit_scaling(df: DataFrame, columns: Sequence[str] | None = None) -> Scaling:
     columns = numeric_columns(df) if columns is None else list(columns)
-    medians = {c: (q[0] if q else 0.0) for c, q in exact_quantiles(df, columns, [0.5]).first().asDict().items()}
+    rows = df.count()
+    medians = {c: (q[0] if q else 0.0) for c, q in exact_quantiles(df, columns, [0.5], rows=rows).first().asDict().items()}
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c) for c in columns])
-    quartiles = exact_quantiles(filled, columns, [0.25, 0.75]).first()
-    return Scaling(columns, medians, {c: (quartiles[c][1] - quartiles[c][0]) or 1.0 for c in columns})
+    quartiles = exact_quantiles(filled, columns, [0.25, 0.75], rows=rows).first()
+    return Scaling(columns, medians, {c: (quartiles[c][1] - quartiles[c][0]) or 1.0 for c in columns}, rows)
 
 
 def scale(df: DataFrame, scaling: Scaling) -> DataFrame:
@@ -67,31 +70,36 @@ def _path_norm(n) -> np.ndarray:
 
 
 def _grow(tree: int, x: np.ndarray, max_depth: int) -> pd.DataFrame:
-    """Nodes of one tree: random feature and cut per node until depth or a single point is reached."""
+    """One tree as a complete binary heap: (feature, cut) per inner node, path length per bottom node.
+
+    Nodes are cut at a random value of a random feature until a single point or the depth limit is
+    left; the nodes below a leaf repeat its path length, so scoring needs no test for leaves.
+    """
     rng = np.random.default_rng([SEED, tree])
-    nodes: list[tuple[int, int, float, int, int, float]] = []
+    inner = 2**max_depth - 1
+    feature, cut, path = np.zeros(inner, dtype=np.int32), np.full(inner, np.inf), np.zeros(2 * inner + 1)
     pending = [(0, np.arange(len(x)), 0)]
-    count = 1
     while pending:
         node, rows, depth = pending.pop()
         low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-        open_features = np.flatnonzero(high > low)
-        if depth >= max_depth or len(rows) <= 1 or len(open_features) == 0:
-            nodes.append((node, -1, 0.0, -1, -1, depth + float(_path_norm(len(rows)))))
+        varying = np.flatnonzero(high > low)
+        if depth >= max_depth or len(rows) <= 1 or len(varying) == 0:
+            first, width = node, 1
+            for _ in range(max_depth - depth):
+                first, width = 2 * first + 1, 2 * width
+            path[first : first + width] = depth + float(_path_norm(len(rows)))
             continue
-        feature = int(rng.choice(open_features))
-        cut = float(rng.uniform(low[feature], high[feature]))
-        goes_left = x[rows, feature] <= cut
-        nodes.append((node, feature, cut, count, count + 1, 0.0))
-        pending += [(count, rows[goes_left], depth + 1), (count + 1, rows[~goes_left], depth + 1)]
-        count += 2
-    return pd.DataFrame(nodes, columns=["node", "feature", "cut", "left", "right", "path"]).assign(tree=tree)
+        feature[node] = rng.choice(varying)
+        cut[node] = rng.uniform(low[feature[node]], high[feature[node]])
+        left = x[rows, feature[node]] <= cut[node]
+        pending += [(2 * node + 1, rows[left], depth + 1), (2 * node + 2, rows[~left], depth + 1)]
+    return pd.DataFrame({"tree": [tree], "feature": [feature.tolist()], "cut": [cut.tolist()], "path": [path[inner:].tolist()]})
 
 
 @dataclass
 class Forest:
     scaling: Scaling
-    arrays: list[tuple[np.ndarray, ...]]  # per tree: feature, cut, left, right, path
+    arrays: tuple[np.ndarray, np.ndarray, np.ndarray]  # feature, cut and path, one row per tree
     depth: int
     psi: int
     offset: float = 0.0
@@ -106,7 +114,7 @@ def fit_forest(df: DataFrame, scaling: Scaling, trees: int = TREES, sample: int
     spark = df.sparkSession
     wanted = trees * sample
     vectors = df.select(F.array(*scaling.vector()).alias("x"))
-    n = vectors.count()
+    n = scaling.rows
     if n > wanted:
         vectors = vectors.sample(False, min(1.0, 1.1 * wanted / n), SEED)
     found = sorted(tuple(r.x) for r in vectors.limit(2 * wanted).collect())  # bounded by the sample size
@@ -116,23 +124,24 @@ def fit_forest(df: DataFrame, scaling: Scaling, trees: int = TREES, sample: int
     values = np.array(rows, dtype=float)
     shared = spark.sparkContext.broadcast(values)
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         data = shared.value
-        if len(data) >= trees * psi:
-            chosen = np.arange(tree * psi, (tree + 1) * psi)
-        else:
-            chosen = np.random.default_rng([SEED, 1, tree]).choice(len(data), psi, replace=False)
-        return _grow(tree, data[chosen], max_depth)
-
-    ids = spark.range(trees).select(F.col("id").cast("int").alias("tree"))
-    grown = ids.groupBy("tree").applyInPandas(grow, "node int, feature int, cut double, left int, right int, path double, tree int").toPandas()
-    arrays = []
-    for _, t in grown.sort_values(["tree", "node"]).groupby("tree"):
-        arrays.append(tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "path")))
+        for batch in batches:
+            for tree in batch["tree"]:
+                if len(data) >= trees * psi:
+                    chosen = np.arange(tree * psi, (tree + 1) * psi)
+                else:
+                    chosen = np.random.default_rng([SEED, 1, tree]).choice(len(data), psi, replace=False)
+                yield _grow(tree, data[chosen], max_depth)
+
+    ids = spark.range(0, trees, 1, min(trees, spark.sparkContext.defaultParallelism)).select(F.col("id").cast("int").alias("tree"))
+    schema = "tree int, feature array<int>, cut array<double>, path array<double>"
+    grown = ids.mapInPandas(grow, schema).toPandas().sort_values("tree")  # a fixed number of small trees
+    arrays = tuple(np.array(grown[c].tolist()) for c in ("feature", "cut", "path"))
     forest = Forest(scaling, arrays, max_depth, psi)
     scored = df.select(F.array(*scaling.vector()).alias("x")).select(isolation_score(spark, forest, F.col("x")).alias("s"))
-    forest.offset = exact_quantiles(scored, ["s"], [1 - contamination]).first()["s"][0]
+    scored = materialize(scored, "scores")  # scoring is the costly pass: once
+    forest.offset = exact_quantiles(scored, ["s"], [1 - contamination], rows=n).first()["s"][0]
     return forest
 
 
@@ -142,22 +151,17 @@ def isolation_score(spark, forest: Forest, vector: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        arrays, depth, norm = shared.value
+        (feature, cut, path), depth, norm = shared.value
+        inner = feature.shape[1]
         for batch in batches:
             x = np.vstack(batch.to_numpy()) if len(batch) else np.empty((0, 1))
-            total = np.zeros(len(x))
-            every = np.arange(len(x))
-            for feature, cut, left, right, path in arrays:
-                node = np.zeros(len(x), dtype=np.int64)
+            every, total = np.arange(len(x)), np.zeros(len(x))
+            for f, c, p in zip(feature, cut, path):
+                node = np.zeros(len(x), dtype=np.int32)
                 for _ in range(depth):
-                    f = feature[node]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    goes_left = x[every, np.maximum(f, 0)] <= cut[node]
-                    node = np.where(inner, np.where(goes_left, left[node], right[node]), node)
-                total += path[node]
-            yield pd.Series(np.power(2.0, -total / len(arrays) / (norm or 1.0)))
+                    node = 2 * node + 1 + (x[every, f[node]] > c[node])
+                total += p[node - inner]
+            yield pd.Series(np.power(2.0, -total / len(feature) / (norm or 1.0)))
 
     return score(vector)
 
@@ -208,13 +212,14 @@ def fit_ellipse(df: DataFrame, scaling: Scaling, contamination: float = CONTAMIN
     p = len(scaling.columns)
     vector = scaling.vector()
     spread = df.select(*[F.abs(v).alias(c) for v, c in zip(vector, scaling.columns)])  # medians are 0 after scaling
-    mads = exact_quantiles(spread, scaling.columns, [0.5]).first()
+    n = scaling.rows
+    mads = exact_quantiles(spread, scaling.columns, [0.5], rows=n).first()
     start = np.array([((mads[c][0] if mads[c] else 0.0) * 1.4826) or 1.0 for c in scaling.columns])
     model = Ellipse(scaling, np.zeros(p), np.diag(1 / start**2))
     previous = np.inf
     for _ in range(steps):
         scored = df.withColumn("_d2", model.distance())
-        cut = exact_quantiles(scored, ["_d2"], [0.5]).first()["_d2"][0]
+        cut = exact_quantiles(scored, ["_d2"], [0.5], rows=n).first()["_d2"][0]
         _, centre, cov = _moments(scored.filter(F.col("_d2") <= cut), vector)
         determinant = float(np.linalg.det(cov))
         model = Ellipse(scaling, centre, np.linalg.pinv(cov))
@@ -222,12 +227,12 @@ def fit_ellipse(df: DataFrame, scaling: Scaling, contamination: float = CONTAMIN
             break
         previous = determinant
     scored = df.withColumn("_d2", model.distance())
-    factor = exact_quantiles(scored, ["_d2"], [0.5]).first()["_d2"][0] / chi2_quantile(0.5, p)
+    factor = exact_quantiles(scored, ["_d2"], [0.5], rows=n).first()["_d2"][0] / chi2_quantile(0.5, p)
     near = scored.filter(F.col("_d2") <= factor * chi2_quantile(0.975, p))
     _, centre, cov = _moments(near, vector)
     model = Ellipse(scaling, centre, np.linalg.pinv(cov))
     distances = df.select(model.distance().alias("d2"))
-    model.offset = exact_quantiles(distances, ["d2"], [1 - contamination]).first()["d2"][0]
+    model.offset = exact_quantiles(distances, ["d2"], [1 - contamination], rows=n).first()["d2"][0]
     return model
 
 
@@ -282,13 +287,16 @@ def fit_ml(df: DataFrame, columns: Sequence[str] | None = None, contamination: f
     columns = numeric_columns(df) if columns is None else list(columns)
     if len(columns) < 2:
         return MlModel(None, None, None)
-    scaling = fit_scaling(df, columns)
+    scaling = fit_scaling(df, columns)  # df is read some twenty times below: pass a materialised frame
     return MlModel(fit_forest(df, scaling, contamination=contamination), fit_ellipse(df, scaling, contamination), fit_components(df, scaling))
 
 
 def forest_detect(df: DataFrame, forest: Forest) -> DataFrame:
-    """Add ``isolation`` (2^-path score), ``forest_flag`` and ``ml_score`` (min-max of the score over the rows)."""
-    scored = df.withColumn("isolation", isolation_score(df.sparkSession, forest, F.array(*forest.scaling.vector())))
+    """Add ``isolation`` (2^-path score), ``forest_flag`` and ``ml_score`` (min-max of the score over the rows).
+
+    The scored rows are written once, as their extremes are needed before the first result row.
+    """
+    scored = materialize(df.withColumn("isolation", isolation_score(df.sparkSession, forest, F.array(*forest.scaling.vector()))), "scored")
     ends = scored.agg(F.min("isolation").alias("lo"), F.max("isolation").alias("hi")).first()
     lo, hi = ends["lo"] or 0.0, ends["hi"] or 0.0
     return scored.withColumns(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import TINY, numeric_columns
+from stockflow.operators.ordered import largest_group
 from stockflow.operators.quantiles import exact_quantiles
 
 STATS = ("mean", "std", "median", "mad", "q1", "q3")
@@ -21,6 +22,7 @@ class StatModel:
     frame: DataFrame
     columns: list[str]
     by: list[str]
+    values: dict[str, float] | None = None  # the single row of a global model
 
     def attach(self, df: DataFrame) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
         """``df`` with its statistics within reach, and for each column the expressions that give them."""
@@ -29,7 +31,7 @@ class StatModel:
             names = {c: {s: f"_fit_{c}_{s}" for s in STATS} for c in columns}
             model = self.frame.select(*self.by, *[F.col(f"{c}_{s}").alias(n) for c, m in names.items() for s, n in m.items()])
             return df.join(model, self.by, "left"), {c: {s: F.col(n) for s, n in m.items()} for c, m in names.items()}
-        row = self.frame.first()
+        row = self.values or self.frame.first().asDict()
         return df, {c: {s: F.lit(row[f"{c}_{s}"]).cast("double") for s in STATS} for c in columns}
 
     def long(self) -> DataFrame:
@@ -39,27 +41,31 @@ class StatModel:
 
 
 def fit_statistics(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> StatModel:
-    """Mean, sample deviation, median, MAD and quartiles of the non-null values per column (and entity)."""
+    """Mean, sample deviation, median, MAD and quartiles of the non-null values per column (and entity).
+
+    ``df`` is scanned several times: pass a materialised frame when it is expensive to compute.
+    """
     columns = [c for c in (numeric_columns(df) if columns is None else columns) if c not in by]
     by = list(by)
     moments = df.groupBy(*by).agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))])
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], by).select(
+    largest = largest_group(df, by)
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], by, rows=largest).select(
         *by, *[F.get(F.col(c), F.lit(i)).alias(f"{c}_{s}") for c in columns for i, s in enumerate(("q1", "median", "q3"))]
     )
     if by:
         centred = df.join(quartiles.select(*by, *[f"{c}_median" for c in columns]), by)
         medians = {c: F.col(f"{c}_median") for c in columns}
         spread = centred.select(*by, *[F.abs(F.col(c) - medians[c]).alias(c) for c in columns])
-        mads = exact_quantiles(spread, columns, [0.5], by).select(*by, *[F.get(F.col(c), F.lit(0)).alias(f"{c}_mad") for c in columns])
+        mads = exact_quantiles(spread, columns, [0.5], by, rows=largest).select(*by, *[F.get(F.col(c), F.lit(0)).alias(f"{c}_mad") for c in columns])
         frame = moments.join(quartiles, by).join(mads, by)
     else:
         found = {**moments.first().asDict(), **quartiles.first().asDict()}  # a few numbers per column
         spread = df.select(*[F.abs(F.col(c) - F.lit(found[f"{c}_median"])).cast("double").alias(c) for c in columns])
-        mads = exact_quantiles(spread, columns, [0.5]).first()
+        mads = exact_quantiles(spread, columns, [0.5], rows=largest).first()
         found.update({f"{c}_mad": mads[c][0] if mads[c] else None for c in columns})
         schema = ", ".join(f"`{c}_{s}` double" for c in columns for s in STATS)
-        values = [tuple(None if found[f"{c}_{s}"] is None else float(found[f"{c}_{s}"]) for c in columns for s in STATS)]
-        frame = df.sparkSession.createDataFrame(values, schema)
+        values = {f"{c}_{s}": None if found[f"{c}_{s}"] is None else float(found[f"{c}_{s}"]) for c in columns for s in STATS}
+        return StatModel(df.sparkSession.createDataFrame([tuple(values.values())], schema), columns, by, values)
     return StatModel(frame, columns, by)
 
 

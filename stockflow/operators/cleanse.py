@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from stockflow.functions.scalars import numeric_columns
 from stockflow.operators.ordered import forward_fill
 from stockflow.operators.quantiles import exact_quantiles
+from stockflow.session import materialize
 
 SPARSE = 0.5  # a column with a larger missing share is dropped
 FEW_VALUES = 20  # text columns below this many distinct values are filled with their mode
@@ -58,9 +59,23 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def missing_shares(df: DataFrame) -> dict[str, float]:
-    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in df.columns]).first()
-    return {c: row[c] or 0.0 for c in df.columns}
+@dataclass
+class Profile:
+    """Row count, missing share and rough distinct count per column, from one aggregate."""
+
+    rows: int
+    missing: dict[str, float]
+    rough: dict[str, int]
+
+
+def profile(df: DataFrame) -> Profile:
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(df.columns):
+        aggs += [F.count(F.col(c)).alias(f"c{i}"), F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}")]
+    row = df.agg(*aggs).first()
+    n = row["n"]
+    missing = {c: 1 - row[f"c{i}"] / n if n else 0.0 for i, c in enumerate(df.columns)}
+    return Profile(n, missing, {c: row[f"d{i}"] for i, c in enumerate(df.columns)})
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -70,42 +85,43 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _distinct_below(df: DataFrame, columns: Sequence[str], limit: int) -> set[str]:
-    """Columns with fewer than ``limit`` distinct values: a sketch settles the clear cases, the rest is counted."""
-    if not columns:
-        return set()
-    rough = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first()
-    near = [c for c in columns if rough[c] < 10 * limit]
+def _few_values(df: DataFrame, rough: dict[str, int], limit: int) -> dict[str, dict[str, int]]:
+    """Value counts of the columns with fewer than ``limit`` distinct values.
+
+    The sketch settles the clear cases; only columns of at most a few hundred values are counted.
+    """
+    near = [c for c, n in rough.items() if n < 10 * limit]
     if not near:
-        return set()
-    exact = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first()
-    return {c for c in near if exact[c] < limit}
+        return {}
+    counts: dict[str, dict[str, int]] = {c: {} for c in near}
+    for r in value_counts(df, near).collect():
+        counts[r.column_name][r.value] = r.n
+    return {c: m for c, m in counts.items() if len(m) < limit}
 
 
-def _modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """Most frequent value per text column, the smallest among ties."""
-    if not columns:
-        return {}
-    best = value_counts(df, columns).groupBy("column_name").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
-    return {r.column_name: r["mode"] for r in best.collect()}  # one row per column
+def _mode(counts: dict[str, int]) -> str:
+    """Most frequent value, the smallest among ties."""
+    return min(counts, key=lambda value: (-counts[value], value))
 
 
 def drop_sparse_columns(df: DataFrame, audit: Audit | None = None) -> DataFrame:
-    sparse = [c for c, share in missing_shares(df).items() if share > SPARSE]
+    sparse = [c for c, share in profile(df).missing.items() if share > SPARSE]
     for c in sparse:
         if audit:
             audit.add("drop_column", c)
     return df.drop(*sparse)
 
 
-def fill_missing(df: DataFrame, by: Sequence[str] = (), order: Sequence[str] = (), audit: Audit | None = None) -> DataFrame:
+def fill_missing(
+    df: DataFrame, by: Sequence[str] = (), order: Sequence[str] = (), audit: Audit | None = None, known: Profile | None = None
+) -> DataFrame:
     """Drop sparse columns, then fill: numbers with the median, times forward, text with mode or 'UNKNOWN'.
 
     Forward fill needs an explicit row order; without one, times keep their gaps.
     """
-    shares = missing_shares(df)
-    sparse = [c for c, share in shares.items() if share > SPARSE]
-    gaps = [c for c, share in shares.items() if 0 < share <= SPARSE]
+    facts = known or profile(df)
+    sparse = [c for c, share in facts.missing.items() if share > SPARSE]
+    gaps = [c for c, share in facts.missing.items() if 0 < share <= SPARSE]
     out = df.drop(*sparse)
     types = {f.name: f.dataType for f in df.schema.fields}
     numbers = [c for c in gaps if isinstance(types[c], T.NumericType)]
@@ -113,12 +129,11 @@ def fill_missing(df: DataFrame, by: Sequence[str] = (), order: Sequence[str] = (
     texts = [c for c in gaps if isinstance(types[c], (T.StringType, T.BooleanType))]
     fills: dict[str, object] = {}
     if numbers:
-        medians = exact_quantiles(out, numbers, [0.5]).first()
+        medians = exact_quantiles(out, numbers, [0.5], rows=facts.rows).first()
         fills.update({c: F.lit(medians[c][0]) for c in numbers})
     if texts:
-        few = _distinct_below(out, texts, FEW_VALUES)
-        modes = _modes(out, sorted(few))
-        fills.update({c: F.lit(modes.get(c, "UNKNOWN")) for c in texts})
+        few = _few_values(out, {c: facts.rough[c] for c in texts}, FEW_VALUES)
+        fills.update({c: F.lit(_mode(few[c]) if few.get(c) else "UNKNOWN").cast(types[c]) for c in texts})
     if audit:
         for c in sparse:
             audit.add("drop_column", c)
@@ -133,12 +148,16 @@ def fill_missing(df: DataFrame, by: Sequence[str] = (), order: Sequence[str] = (
     return out.withColumns({c: F.coalesce(F.col(c), v) for c, v in fills.items()}) if fills else out
 
 
-def _iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float) -> dict[str, tuple[float, float]]:
-    few = _distinct_below(df, columns, MIN_DISTINCT)
-    chosen = [c for c in columns if c not in few]
+def _trimmable(df: DataFrame, columns: Sequence[str], facts: Profile) -> list[str]:
+    few = _few_values(df, {c: facts.rough[c] for c in columns}, MIN_DISTINCT)
+    return [c for c in columns if c not in few]
+
+
+def _iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float, facts: Profile) -> dict[str, tuple[float, float]]:
+    chosen = _trimmable(df, columns, facts)
     if not chosen:
         return {}
-    row = exact_quantiles(df, chosen, [0.25, 0.75]).first()
+    row = exact_quantiles(df, chosen, [0.25, 0.75], rows=facts.rows).first()
     bounds = {}
     for c in chosen:
         if row[c] is not None:
@@ -148,7 +167,12 @@ def _iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float) -> dict[st
 
 
 def remove_outliers_iqr(
-    df: DataFrame, columns: Sequence[str] | None = None, sequential: bool = False, factor: float = IQR_FACTOR, audit: Audit | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    sequential: bool = False,
+    factor: float = IQR_FACTOR,
+    audit: Audit | None = None,
+    known: Profile | None = None,
 ) -> DataFrame:
     """Keep rows inside Q1 - 3 IQR .. Q3 + 3 IQR.
 
@@ -157,7 +181,8 @@ def remove_outliers_iqr(
     """
     columns = numeric_columns(df) if columns is None else list(columns)
     for group in [[c] for c in columns] if sequential else [columns]:
-        for c, (low, high) in _iqr_bounds(df, group, factor).items():
+        facts = known if known and not sequential else profile(df.select(*group))
+        for c, (low, high) in _iqr_bounds(df, group, factor, facts).items():
             df = df.filter(F.col(c).between(low, high))
             if audit:
                 audit.add("remove_outliers_iqr", c)
@@ -167,8 +192,7 @@ def remove_outliers_iqr(
 def remove_outliers_zscore(df: DataFrame, columns: Sequence[str] | None = None, limit: float = Z_LIMIT) -> DataFrame:
     """Keep rows within ``limit`` population standard deviations; missing values stay."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    few = _distinct_below(df, columns, MIN_DISTINCT)
-    chosen = [c for c in columns if c not in few]
+    chosen = _trimmable(df, columns, profile(df.select(*columns)))
     if not chosen:
         return df
     row = df.agg(*[x for c in chosen for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
@@ -215,17 +239,20 @@ def repair_types(df: DataFrame, audit: Audit | None = None) -> DataFrame:
 def cleanse(df: DataFrame, by: Sequence[str] = (), order: Sequence[str] = (), compat: bool = False, audit: Audit | None = None) -> DataFrame:
     """The whole chain: duplicates, names, types, missing values, outliers.
 
+    The deduplicated rows are written once, because every later step needs figures from all of them.
     ``compat`` repairs types last and trims column after column, each on what the previous ones left.
     """
     audit = audit or Audit()
     audit.add("remove_duplicates")
-    out = standardize_names(drop_duplicates(df))
+    out = materialize(standardize_names(drop_duplicates(df)), "cleanse")
     audit.add("standardize_column_names")
     by, order = [standard_name(c) for c in by], [standard_name(c) for c in order]
     if not compat:
         out = repair_types(out, audit)
-    out = fill_missing(out, by, [c for c in order if c in out.columns], audit)
-    out = remove_outliers_iqr(out, sequential=compat, audit=audit)
+    facts = profile(out)
+    out = fill_missing(out, by, [c for c in order if c in out.columns], audit, facts)
+    # Filling adds at most one value to a column, so the sketch's verdict on distinct values still holds.
+    out = remove_outliers_iqr(out, sequential=compat, audit=audit, known=facts)
     return repair_types(out, audit) if compat else out
 
 

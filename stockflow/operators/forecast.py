@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockflow.functions.scalars import Z80, Z95, ratio
 
@@ -204,7 +205,10 @@ def _differences(series: DataFrame, d: int) -> DataFrame:
     return out
 
 
-@F.pandas_udf("struct<coefficients: array<double>, sigma: double>")
+FIT = T.StructType([T.StructField("coefficients", T.ArrayType(T.DoubleType())), T.StructField("sigma", T.DoubleType())])
+
+
+@F.pandas_udf(FIT)
 def _solve(products: pd.Series, targets: pd.Series, square: pd.Series, rows: pd.Series) -> pd.DataFrame:
     """Least squares from the sums of products of one entity per row."""
     out = []
@@ -268,10 +272,18 @@ def fit_ar1(series: DataFrame) -> DataFrame:
     ).filter("n > 2")
 
 
+def _no_values() -> Column:
+    return F.array().cast("array<double>")
+
+
+def _cumulated(path: str, first: Column) -> Column:
+    """Running sum of an array, on top of ``first``."""
+    return F.aggregate(path, _no_values(), lambda acc, v: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), first) + v)))
+
+
 def forecast_autoregression(series: DataFrame, horizon: int = HORIZON, p: int = 3, d: int = 1, q: int = 1, compat: bool = False) -> DataFrame:
     """Recursive forecast of the differences, summed back to levels (``compat``: left as differences)."""
     fits = fit_ar1(series) if (p, d) == (1, 1) else fit_autoregression(series, p, d, q)
-    empty = F.array().cast("array<double>")
 
     def advance(s, _):
         terms = [_element("coefficients", F.lit(i + 1)) * _element(s["recent"], F.lit(i)) for i in range(p)]
@@ -282,14 +294,11 @@ def forecast_autoregression(series: DataFrame, horizon: int = HORIZON, p: int =
             F.slice(F.concat(F.array(value), s["recent"]), 1, p).alias("recent"), F.concat(s["path"], F.array(value)).alias("path")
         )
 
-    start = F.struct(F.col("recent").alias("recent"), empty.alias("path"))
+    start = F.struct(F.col("recent").alias("recent"), _no_values().alias("path"))
     paths = fits.withColumn("path", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, advance, lambda s: s["path"]))
     for order in reversed(range(0 if compat else d)):
         last = _element("lasts", F.lit(order))
-        summed = F.aggregate(
-            "path", empty, lambda acc, v, last=last: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), last) + v))
-        )
-        paths = paths.withColumn("path", summed)
+        paths = paths.withColumn("path", _cumulated("path", last))
     rows = _steps(paths, horizon)
     return _with_bounds(rows, _element("path", F.col("step") - 1), F.col("sigma") * F.sqrt(F.col("step").cast("double")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -15,6 +16,7 @@ from stockflow.functions.pvalues import f_pvalue, normal_pvalue, normal_tail, t_
 from stockflow.functions.scalars import TINY, correlation_strength, numeric_columns, ratio, skewness_label
 from stockflow.operators.ordered import running_total
 from stockflow.operators.quantiles import exact_quantiles
+from stockflow.session import materialize
 
 MIN_PAIRS = 10
 ALPHA = 0.05
@@ -64,41 +66,35 @@ def _pair_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).select(F.explode(rows).alias("p")).select("p.*")
 
 
+def _ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` (complete rows) with each column replaced by its average rank.
+
+    Ranks come from running totals over the counted distinct values, so neither a frequent value nor
+    a long column needs a task of its own.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    counted = df.select(F.explode(values).alias("p")).select("p.*").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_total(counted, "n", "upto", ["c"], ["v"])
+    ranks = materialize(placed.select("c", "v", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank")), "ranks")
+    out = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    for i in range(len(columns)):
+        own = ranks.filter(F.col("c") == i).select(F.col("v").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+        out = out.join(own, f"v{i}")
+    return out.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def _rank_pair_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spearman coefficient per column pair: average ranks within the pair's complete rows.
+    """Spearman coefficient per column pair: Pearson on average ranks within the pair's complete rows.
 
-    Rows are reduced to distinct value pairs with their counts; ranks come from running totals over
-    distinct values, so neither a frequent value nor a long column needs a task of its own.
+    Columns without gaps share one ranking; a pair with gaps is ranked on its own complete rows.
     """
-    pairs = list(combinations(columns, 2))
-    options = F.array(
-        *[
-            F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-            for a, b in pairs
-        ]
-    )
-    names = ["variable_1", "variable_2"]
-    cells = (
-        df.select(F.explode(options).alias("p"))
-        .select("p.*")
-        .filter("x IS NOT NULL AND y IS NOT NULL")
-        .groupBy(*names, "x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    sides = F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))
-    values = cells.select(*names, F.explode(sides).alias("s"), "n").groupBy(*names, "s.side", "s.v").agg(F.sum("n").alias("n"))
-    placed = running_total(values, "n", "upto", [*names, "side"], ["v"])
-    ranks = placed.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
-    for side in ("x", "y"):
-        one = ranks.filter(F.col("side") == side).select(*names, F.col("v").alias(side), F.col("rank").alias(f"r{side}"))
-        cells = cells.join(one, [*names, side])
-    n, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
-    sums = cells.groupBy(*names).agg(
-        F.sum("n").alias("n"), *[F.sum(n * e).alias(a) for a, e in (("sx", rx), ("sy", ry), ("sxx", rx * rx), ("syy", ry * ry), ("sxy", rx * ry))]
-    )
-    mx, my = F.col("sx") / n, F.col("sy") / n
-    vx, vy = F.col("sxx") / n - mx * mx, F.col("syy") / n - my * my
-    return sums.select(*names, ratio(F.col("sxy") / n - mx * my, F.sqrt(vx) * F.sqrt(vy)).alias("r"), "n")
+    gaps = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in columns]).first()
+    complete = [c for c in columns if not gaps[c]]
+    parts = [_pair_rows(_ranked(df.select(*complete), complete), complete)] if len(complete) > 1 else []
+    for a, b in combinations(columns, 2):
+        if gaps[a] or gaps[b]:
+            parts.append(_pair_rows(_ranked(df.select(a, b).dropna(), [a, b]), [a, b]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def correlation_analysis(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson", min_correlation: float = 0.3) -> DataFrame:

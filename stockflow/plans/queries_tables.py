@@ -18,7 +18,7 @@ from stockflow.plans import views as v
 from stockflow.plans.etl import run_etl
 from stockflow.plans.registry import query
 from stockflow.plans.views import sql_with
-from stockflow.session import scratch_path
+from stockflow.session import materialize, scratch_path, widen
 from stockflow.sources import files, sinks
 from stockflow.streaming import jobs
 
@@ -135,7 +135,7 @@ MEDIAN_FILLED = ", ".join(f"coalesce({q}, (SELECT median({q}) FROM inventory)) A
 
 @query("fill_median", sql_with("inventory", f"SELECT product_id, warehouse_location, {MEDIAN_FILLED} FROM inventory"))
 def fill_median(spark, d):
-    return cl.fill_missing(v.inventory(spark, d).select("product_id", "warehouse_location", *QUANTITIES))
+    return cl.fill_missing(materialize(v.inventory(spark, d).select("product_id", "warehouse_location", *QUANTITIES)))
 
 
 FILLED_DATE = "last_value(last_restock_date IGNORE NULLS) OVER (PARTITION BY product_id ORDER BY warehouse_location)"
@@ -160,14 +160,14 @@ MODE_FILLED = """coalesce(last_channel, (SELECT last_channel FROM inventory WHER
 )
 def fill_mode(spark, d):
     label = F.date_format("last_restock_date", "yyyy-MM-dd").alias("restock_label")
-    return cl.fill_missing(v.inventory(spark, d).select("product_id", "warehouse_location", "last_channel", label))
+    return cl.fill_missing(materialize(v.inventory(spark, d).select("product_id", "warehouse_location", "last_channel", label)))
 
 
 OUTLIER_COLUMNS = ["quantity", "unit_price", "total_amount"]
 
 
 def _outlier_rows(spark, d):
-    return v.sales(spark, d, "l_orderkey", "l_linenumber", "product_id", *OUTLIER_COLUMNS)
+    return widen(v.sales(spark, d, "l_orderkey", "l_linenumber", "product_id", *OUTLIER_COLUMNS))
 
 
 def _fence(column: str, table: str) -> str:
@@ -288,7 +288,7 @@ def _profile_sql(column: str, numeric: bool) -> str:
     ),
 )
 def column_profile(spark, d):
-    return cl.column_profile(v.inventory(spark, d).select("product_id", "warehouse_location", "quantity_on_hand", "quantity_allocated", "last_channel"))
+    return cl.column_profile(materialize(v.inventory(spark, d).select("product_id", "warehouse_location", "quantity_on_hand", "quantity_allocated", "last_channel")))
 
 
 # ---------------------------------------------------------------- features
@@ -450,7 +450,7 @@ def price_range(column):
 def agg_group(spark, d):
     sales = v.sales(spark, d, "warehouse_location", "order_status", "total_amount", "quantity", "unit_price")
     spec = {"total_amount": ["sum", "mean", "median"], "quantity": ["max", "nunique", "std"], "unit_price": [price_range]}
-    out = agg.aggregate(sales, ["warehouse_location", "order_status"], spec)
+    out = agg.aggregate(materialize(sales), ["warehouse_location", "order_status"], spec)
     return out.withColumns({"total_amount_sum": F.round("total_amount_sum", 4), "total_amount_mean": F.round("total_amount_mean", 3), "quantity_std": F.round("quantity_std", 6)})
 
 
@@ -492,7 +492,7 @@ def _normalized_sql(expression: str) -> str:
 
 
 def _normalized(spark, d, method):
-    out = normalize(v.sales(spark, d, "l_orderkey", "l_linenumber", "quantity", "unit_price"), ["quantity", "unit_price"], method)
+    out = normalize(widen(v.sales(spark, d, "l_orderkey", "l_linenumber", "quantity", "unit_price")), ["quantity", "unit_price"], method)
     return out.select("l_orderkey", "l_linenumber", *[F.round(f"{c}_normalized", 6).alias(f"{c}_normalized") for c in ("quantity", "unit_price")])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "stockflow", master: str | None = None, shuffle_partitions: int | None = None):
@@ -49,3 +49,26 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name for intermediate files next to the checkpoints."""
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def few_files(df: DataFrame) -> bool:
+    """Whether ``df`` reads fewer files than the session has cores."""
+    return len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
+
+
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """``df`` written once to the shared folder, for work that reads it many times.
+
+    Later passes scan only the columns they need, do not repeat the joins behind ``df``, and survive the
+    loss of executors.  Rows from fewer files than there are cores are spread over the cores first;
+    larger inputs have splits enough and are written without a shuffle of their own.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    (df.repartition(spark.sparkContext.defaultParallelism) if few_files(df) else df).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """A plain scan for work that reads it several times: as it is, or spread over the cores if it is a few files."""
+    return materialize(df) if few_files(df) else df
