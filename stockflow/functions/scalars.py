@@ -22,6 +22,13 @@ def ratio(a, b) -> Column:
     return F.try_divide(a, b)
 
 
+def correlation(x, y) -> Column:
+    """Pearson coefficient over complete pairs; NULL for a constant side, where ``corr`` would raise."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def date_features(date_col: str) -> dict[str, Column]:
     """Calendar fields of a date column; weeks are ISO, Monday is day 0."""
     d, prefix = F.col(date_col), date_col.replace("_date", "")

@@ -206,8 +206,9 @@ def _moments(df: DataFrame, vector: list[Column]) -> tuple[int, np.ndarray, np.n
 def fit_ellipse(df: DataFrame, scaling: Scaling, contamination: float = CONTAMINATION, steps: int = 10) -> Ellipse:
     """Minimum covariance determinant by concentration steps from a median/MAD start.
 
-    Each step keeps the half of the rows nearest to the current centre: one quantile and one aggregate.
-    A final reweighting drops rows beyond the 97.5 % chi-squared distance.
+    Each step keeps the half of the rows nearest to the current centre: one sketched median (where
+    exactly the half ends does not matter to the iteration) and one aggregate.  A final reweighting drops
+    rows beyond the 97.5 % chi-squared distance; the flagging threshold is exact.
     """
     p = len(scaling.columns)
     vector = scaling.vector()
@@ -219,7 +220,7 @@ def fit_ellipse(df: DataFrame, scaling: Scaling, contamination: float = CONTAMIN
     previous = np.inf
     for _ in range(steps):
         scored = df.withColumn("_d2", model.distance())
-        cut = exact_quantiles(scored, ["_d2"], [0.5], rows=n).first()["_d2"][0]
+        cut = scored.agg(F.percentile_approx("_d2", 0.5, 10_000).alias("cut")).first()["cut"]
         _, centre, cov = _moments(scored.filter(F.col("_d2") <= cut), vector)
         determinant = float(np.linalg.det(cov))
         model = Ellipse(scaling, centre, np.linalg.pinv(cov))

@@ -94,8 +94,13 @@ def column_flag(method: str, value: Column, stats: dict[str, Column], threshold:
     return F.coalesce(hit, F.lit(False))
 
 
+def capped(z: Column, threshold: float) -> Column:
+    """Score 0 to 1: twice the threshold or more is 1, a missing z-score is 0."""
+    return F.when(z.isNotNull(), F.least(z / (2 * threshold), F.lit(1.0))).otherwise(0.0)
+
+
 def column_score(value: Column, stats: dict[str, Column], threshold: float) -> Column:
-    return F.coalesce(F.least(modified_zscore(value, stats) / (2 * threshold), F.lit(1.0)), F.lit(0.0))
+    return capped(modified_zscore(value, stats), threshold)
 
 
 def _any(flags: Sequence[Column]) -> Column:

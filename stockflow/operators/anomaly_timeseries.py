@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import TINY
+from stockflow.operators.anomaly_statistical import capped
 from stockflow.operators.ordered import over_entities
 
 WINDOW = 30
@@ -104,7 +105,7 @@ def detect_series(
         rolling = F.coalesce(z > spike, F.lit(False))
         high = F.coalesce(F.coalesce(F.col(c), F.lit(0.0)) >= F.col(f"{c}_height"), F.lit(False))
         flags = flags | rolling | (F.col(f"_{c}_peak") & high)
-        scores.append(F.coalesce(F.least(z / (2 * spike), F.lit(1.0)), F.lit(0.0)))
+        scores.append(capped(z, spike))
     return out.withColumns({"is_anomaly": flags, "anomaly_score": F.greatest(F.lit(0.0), F.lit(0.0), *scores)}).select(
         *series.columns, "is_anomaly", "anomaly_score"
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockflow.functions.scalars import Z80, Z95, ratio
+from stockflow.functions.scalars import Z80, Z95, correlation, ratio
 
 SEASON = 7
 HORIZON = 30
@@ -334,7 +334,7 @@ def autocorrelation(series: DataFrame, max_lag: int = 7) -> DataFrame:
     lags = range(1, max_lag + 1)
     lagged = clean(series).withColumns({f"_l{k}": F.lag("y", k).over(w) for k in lags})
     wide = lagged.groupBy("entity_id").agg(
-        F.count(F.lit(1)).alias("n"), *[F.when(F.stddev_pop("y") > 0, F.corr("y", f"_l{k}")).alias(f"a{k}") for k in lags]
+        F.count(F.lit(1)).alias("n"), *[correlation(F.col("y"), F.col(f"_l{k}")).alias(f"a{k}") for k in lags]
     )
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"a{k}").alias("acf")) for k in lags])
     return wide.select("entity_id", "n", F.explode(rows).alias("r")).filter(F.col("r.lag") < F.floor(F.col("n") / 2)).select("entity_id", "n", "r.lag", "r.acf")

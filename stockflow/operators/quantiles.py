@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stockflow.operators.ordered import HOT_ROWS, largest_group, running_total
 from stockflow.session import ensure_checkpoints
 
-BUFFER_ROWS = 20_000  # rows of one group whose distinct values may sit in one aggregation buffer
+BUFFER_ROWS = 100_000  # rows of one group whose distinct values may sit in one aggregation buffer
 ACCURACY = 5_000  # of the sketch that brackets a quantile
 MARGIN = 0.0005  # rank share added on both sides of a bracket, above the sketch's error
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.functions.pvalues import f_pvalue, normal_pvalue, normal_tail, t_pvalue
-from stockflow.functions.scalars import TINY, correlation_strength, numeric_columns, ratio, skewness_label
+from stockflow.functions.scalars import TINY, correlation, correlation_strength, numeric_columns, ratio, skewness_label
 from stockflow.operators.ordered import running_total
 from stockflow.operators.quantiles import exact_quantiles
 from stockflow.session import materialize
@@ -54,9 +54,7 @@ def _pair_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     aggs = []
     for i, (a, b) in enumerate(pairs):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        flat = (F.stddev_pop(x) == 0) | (F.stddev_pop(y) == 0)
-        aggs += [F.when(~flat, F.corr(x, y)).alias(f"r{i}"), F.count(F.when(both, 1)).alias(f"n{i}")]
+        aggs += [correlation(F.col(a), F.col(b)).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
     rows = F.array(
         *[
             F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))

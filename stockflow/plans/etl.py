@@ -100,6 +100,8 @@ def _transform(spark: SparkSession, run: Run, source: str, raw: DataFrame, steps
         watched.write.mode("overwrite").parquet(f"{path}/raw")
         staged = spark.read.parquet(f"{path}/raw")
         m["records_extracted"] += extracted.get["records_extracted"]
+        if not extracted.get["records_extracted"]:
+            return staged  # nothing to transform
         result = staged
         for step in steps:
             result = result.transform(step)

@@ -14,8 +14,8 @@ from stockflow.streaming import jobs
 
 # An alert goes out if it is the next one of its key at least an hour (deduplicated) or 15 minutes after the last that did.
 CHAIN = """first AS (SELECT rate_key, ts, min(alert_id) AS alert_id, max(CASE WHEN dedup_key IS NULL THEN INTERVAL 15 MINUTE ELSE INTERVAL 60 MINUTE END) AS hold FROM alerts GROUP BY 1, 2),
-       moments AS (SELECT rate_key, ts AS at, ts AS event, NULL::TIMESTAMP AS src FROM first UNION ALL SELECT rate_key, ts + hold, NULL, ts FROM first),
-       links AS (SELECT rate_key, src AS ts, nxt FROM (SELECT *, min(event) OVER (PARTITION BY rate_key ORDER BY at RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM moments)
+       moments AS (SELECT rate_key, ts AS moment, ts AS event, NULL::TIMESTAMP AS src FROM first UNION ALL SELECT rate_key, ts + hold, NULL, ts FROM first),
+       links AS (SELECT rate_key, src AS ts, nxt FROM (SELECT *, min(event) OVER (PARTITION BY rate_key ORDER BY moment RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM moments)
                  WHERE src IS NOT NULL AND nxt IS NOT NULL),
        chain AS (SELECT rate_key, min(ts) AS ts FROM first GROUP BY 1 UNION ALL SELECT l.rate_key, l.nxt FROM chain c JOIN links l ON c.rate_key = l.rate_key AND c.ts = l.ts),
        decided AS (SELECT a.*, f.alert_id IS NOT NULL AS sent FROM alerts a LEFT JOIN (SELECT first.* FROM first JOIN chain USING (rate_key, ts)) f ON a.alert_id = f.alert_id)"""

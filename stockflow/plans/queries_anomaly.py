@@ -43,8 +43,12 @@ def _mod_z(c: str) -> str:
     return f"abs({c} - {c}_median) * 0.6745 / ({_zero(c + '_mad')})"
 
 
+def _capped_sql(z: str) -> str:
+    return f"CASE WHEN ({z}) IS NULL THEN 0 ELSE least(({z}) / 6.0, 1) END"
+
+
 def _score_sql(columns) -> str:
-    return "greatest(0, " + ", ".join(f"coalesce(least({_mod_z(c)} / 6.0, 1), 0)" for c in columns) + ")"
+    return "greatest(0, " + ", ".join(_capped_sql(_mod_z(c)) for c in columns) + ")"
 
 
 FLAGS = {
@@ -126,7 +130,7 @@ ROLLED = """rolled AS (SELECT *, avg(y) OVER w AS rm, CASE WHEN stddev_samp(y) O
     "rolling_z",
     sql_with(
         "daily",
-        f"""WITH {ROLLED} SELECT entity_id, ds, y, coalesce(z > 3, false) OR (is_peak AND coalesce(y >= rm + 3 * rs, false)) AS is_anomaly, round(coalesce(least(z / 6, 1), 0), 6) AS anomaly_score FROM scored""",
+        f"""WITH {ROLLED} SELECT entity_id, ds, y, coalesce(z > 3, false) OR (is_peak AND coalesce(y >= rm + 3 * rs, false)) AS is_anomaly, round({_capped_sql("z")}, 6) AS anomaly_score FROM scored""",
     ),
 )
 def rolling_z(spark, d):
@@ -241,7 +245,7 @@ def _two_part(spark, d):
 ENSEMBLE = f"""{_fit_sql(["y", "q"], "daily")},
     rolled AS (SELECT *, {", ".join(f"abs({c} - avg({c}) OVER w) / CASE WHEN stddev_samp({c}) OVER w = 0 THEN 1e-10 ELSE stddev_samp({c}) OVER w END AS z{c}" for c in ("y", "q"))}
        FROM daily WINDOW w AS (PARTITION BY entity_id ORDER BY ds ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
-    scored AS (SELECT *, {_score_sql(["y", "q"])} AS stat_score, greatest(0, coalesce(least(zy / 6, 1), 0), coalesce(least(zq / 6, 1), 0)) AS ts_score FROM rolled, fit),
+    scored AS (SELECT *, {_score_sql(["y", "q"])} AS stat_score, greatest(0, {_capped_sql("zy")}, {_capped_sql("zq")}) AS ts_score FROM rolled, fit),
     ens AS (SELECT *, (stat_score * 0.35::DOUBLE + ts_score * 0.25::DOUBLE) / 0.60::DOUBLE AS score FROM scored)"""
 
 
@@ -267,7 +271,7 @@ def _factor_sql(c: str, i: int) -> str:
 
 RECORDS = f"""{ENSEMBLE},
     factored AS (SELECT *, list_sort(list_filter([{_factor_sql("y", 0)}, {_factor_sql("q", 1)}], lambda x: x IS NOT NULL)) AS f,
-        coalesce(least({_mod_z("q")} / 6.0, 1), 0) > coalesce(least({_mod_z("y")} / 6.0, 1), 0) AS by_q FROM ens WHERE score > 0.5),
+        {_capped_sql(_mod_z("q"))} > {_capped_sql(_mod_z("y"))} AS by_q FROM ens WHERE score > 0.5),
     graded AS (SELECT *, CASE WHEN score > 0.9 OR list_sum(list_transform(f, lambda x: x.high)) >= 3 THEN 'critical' WHEN score > 0.7 OR list_sum(list_transform(f, lambda x: x.high)) >= 1 THEN 'warning' ELSE 'info' END AS severity FROM factored),
     records AS (SELECT CASE WHEN by_q THEN 'q' ELSE 'y' END AS metric_name, entity_id, ds::TIMESTAMP AS timestamp, CASE WHEN by_q THEN q ELSE y END AS actual_value,
         CASE WHEN by_q THEN q_median ELSE y_median END AS expected_value, score * 100 AS deviation_percentage, score * 3 AS z_score, severity, score AS confidence_score,
