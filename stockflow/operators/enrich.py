@@ -32,24 +32,18 @@ def group_means(df: DataFrame, key: str, means: dict[str, str]) -> DataFrame:
     return df.join(stats, key, "left")
 
 
-def add_financial_features(df: DataFrame) -> DataFrame:
-    out = df.withColumns(
-        {
-            "revenue": F.col("unit_price") * F.col("quantity"),
-            "transaction_year_month": F.date_format("order_date", "yyyy-MM"),
-        }
-    )
-    if "product_id" not in df.columns:
-        return out
-    out = group_means(out, "product_id", {"avg_price_by_product": "unit_price"})
+def _with_revenue(df: DataFrame) -> DataFrame:
+    return df.withColumns({"revenue": F.col("unit_price") * F.col("quantity"), "transaction_year_month": F.date_format("order_date", "yyyy-MM")})
+
+
+def _with_price_position(df: DataFrame) -> DataFrame:
     average = F.col("avg_price_by_product")
-    return out.withColumn("price_vs_avg", ratio(F.col("unit_price") - average, average) * 100)
+    return df.withColumn("price_vs_avg", ratio(F.col("unit_price") - average, average) * 100)
 
 
-def add_inventory_features(df: DataFrame) -> DataFrame:
+def _with_stock_ratios(df: DataFrame) -> DataFrame:
     on_hand, allocated = F.col("quantity_on_hand"), F.col("quantity_allocated")
-    out = group_means(df, "product_id", {"_mean_quantity": "quantity"})
-    return out.withColumns(
+    return df.withColumns(
         {
             "available_quantity": on_hand - allocated,
             "allocation_rate": ratio(allocated, on_hand),
@@ -58,6 +52,19 @@ def add_inventory_features(df: DataFrame) -> DataFrame:
     ).drop("_mean_quantity")
 
 
+PRICE_MEAN = {"avg_price_by_product": "unit_price"}
+QUANTITY_MEAN = {"_mean_quantity": "quantity"}
+
+
+def add_financial_features(df: DataFrame) -> DataFrame:
+    out = _with_revenue(df)
+    return _with_price_position(group_means(out, "product_id", PRICE_MEAN)) if "product_id" in df.columns else out
+
+
+def add_inventory_features(df: DataFrame) -> DataFrame:
+    return _with_stock_ratios(group_means(df, "product_id", QUANTITY_MEAN))
+
+
 def add_lag_features(df: DataFrame, ties: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Amount and quantity 1, 7 and 30 rows earlier for the same product.
 
@@ -86,13 +93,20 @@ def calendar_lags(series: DataFrame, days: Sequence[int] = LAGS) -> DataFrame:
 
 
 def enrich(df: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
-    """Every feature group whose inputs are all present."""
+    """Every feature group whose inputs are all present; product means come from one aggregate and one join."""
     present = set(df.columns)
+    financial = {"unit_price", "quantity", "order_date"} <= present
+    priced = financial and "product_id" in present
+    stocked = {"quantity_on_hand", "quantity_allocated", "product_id", "quantity"} <= present
     out = add_date_features(df)
-    if {"unit_price", "quantity", "order_date"} <= present:
-        out = add_financial_features(out)
-    if {"quantity_on_hand", "quantity_allocated", "product_id", "quantity"} <= present:
-        out = add_inventory_features(out)
+    if financial:
+        out = _with_revenue(out)
+    if priced or stocked:
+        out = group_means(out, "product_id", {**(PRICE_MEAN if priced else {}), **(QUANTITY_MEAN if stocked else {})})
+    if priced:
+        out = _with_price_position(out)
+    if stocked:
+        out = _with_stock_ratios(out)
     if {"order_date", "total_amount", "product_id", "quantity"} <= present:
         out = add_lag_features(out, ties)
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.operators.ordered import HOT_ROWS, largest_group, running_total
-from stockflow.session import ensure_checkpoints
+from stockflow.session import store
 
 BUFFER_ROWS = 100_000  # rows of one group whose distinct values may sit in one aggregation buffer
 ACCURACY = 5_000  # of the sketch that brackets a quantile
@@ -34,7 +34,6 @@ def exact_quantiles(
 
 
 def _bracketed(df: DataFrame, columns: list[str], probs: list[float], by: list[str]) -> DataFrame:
-    ensure_checkpoints(df.sparkSession)
     values = df.select(*by, *[F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(columns)])
     cells = [(j, i) for j in range(len(columns)) for i in range(len(probs))]
     ends = [x for p in probs for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
@@ -50,7 +49,7 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], by: list[s
         *[F.get(F.col(f"s{j}"), F.lit(2 * i + 1)).alias(f"hi{j}_{i}") for j, i in cells],
     )
     if by:
-        brackets = brackets.checkpoint()  # one row per group
+        brackets = store(brackets, "brackets")  # one row per group
         framed = values.join(brackets.drop(*sizes), by)
     else:
         row = brackets.first()
@@ -72,7 +71,7 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], by: list[s
             )
             for j, i in cells
         ]
-        ranks = brackets.join(below, by).select(*by, F.explode(F.array(*facts)).alias("r")).select(*by, "r.*").filter("h >= 0").checkpoint()
+        ranks = store(brackets.join(below, by).select(*by, F.explode(F.array(*facts)).alias("r")).select(*by, "r.*").filter("h >= 0"), "ranks")
         outside = (F.floor("h") < F.col("below")) | (F.ceil("h") >= F.col("below") + F.col("within"))
         worst, missed = ranks.agg(F.max("within"), F.max(outside)).first()
 
@@ -109,7 +108,7 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], by: list[s
 
     found = ranked(placed).groupBy(*keys).agg(F.max("h").alias("h"), at(F.floor("h")).alias("low"), at(F.ceil("h")).alias("high"))
     out = _as_arrays(found, columns, by)
-    return out.checkpoint() if by else out
+    return store(out, "quantiles") if by else out
 
 
 def _by_rank(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from stockflow.functions.pvalues import f_pvalue, normal_pvalue, normal_tail, t_
 from stockflow.functions.scalars import TINY, correlation, correlation_strength, numeric_columns, ratio, skewness_label
 from stockflow.operators.ordered import running_total
 from stockflow.operators.quantiles import exact_quantiles
-from stockflow.session import materialize
+from stockflow.session import store
 
 MIN_PAIRS = 10
 ALPHA = 0.05
@@ -73,7 +73,7 @@ def _ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     values = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
     counted = df.select(F.explode(values).alias("p")).select("p.*").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
     placed = running_total(counted, "n", "upto", ["c"], ["v"])
-    ranks = materialize(placed.select("c", "v", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank")), "ranks")
+    ranks = store(placed.select("c", "v", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank")), "ranks")
     out = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     for i in range(len(columns)):
         own = ranks.filter(F.col("c") == i).select(F.col("v").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))

@@ -10,6 +10,7 @@ from stockflow.plans import kpi
 from stockflow.plans import views as v
 from stockflow.plans.registry import query
 from stockflow.plans.views import sql_with
+from stockflow.session import materialize
 
 H = 14
 Z80, Z95 = "1.2815515655446004::DOUBLE", "1.959963984540054::DOUBLE"
@@ -129,18 +130,23 @@ def forecast_ar(spark, d):
     return fc.forecast_autoregression(v.daily(spark, d), H)
 
 
-def _mixed(spark, d):
-    return fc.forecast_ensemble(v.daily(spark, d), H, p=1)
+def _series(spark, d):
+    """The daily series, written once: every model reads it."""
+    return materialize(v.daily(spark, d), "daily")
+
+
+def _mixed(series):
+    return fc.forecast_ensemble(series, H, p=1)
 
 
 @query("forecast_ensemble", sql_with("daily", f"{ALL_MODELS} {PATH} FROM ens", recursive=True))
 def forecast_ensemble(spark, d):
-    return _rounded(_mixed(spark, d))
+    return _rounded(_mixed(_series(spark, d)))
 
 
 @query("forecast_ensemble_fitted")
 def forecast_ensemble_fitted(spark, d):
-    return fc.forecast_ensemble(v.daily(spark, d), H, params=None)
+    return fc.forecast_ensemble(_series(spark, d), H, params=None)
 
 
 def _acf(alias: str, lags=range(1, 8)) -> str:
@@ -159,9 +165,8 @@ RECORDS = f"""{ALL_MODELS}, {_acf("a")},
     strength AS (SELECT entity_id, max(abs(acf)) AS seasonality_strength FROM a WHERE n >= 14 AND lag < n // 2 GROUP BY 1)"""
 
 
-def _records(spark, d):
-    series = v.daily(spark, d)
-    return fc.forecast_records(series, _mixed(spark, d), "revenue")
+def _records(series):
+    return fc.forecast_records(series, _mixed(series), "revenue")
 
 
 @query(
@@ -176,7 +181,7 @@ def _records(spark, d):
 )
 def forecast_records(spark, d):
     bounds = ["predicted_value", "lower_bound_80", "upper_bound_80", "lower_bound_95", "upper_bound_95"]
-    return _records(spark, d).withColumns({**{c: F.round(c, 3) for c in bounds}, "seasonality_strength": F.round("seasonality_strength", 6)})
+    return _records(_series(spark, d)).withColumns({**{c: F.round(c, 3) for c in bounds}, "seasonality_strength": F.round("seasonality_strength", 6)})
 
 
 @query(
@@ -190,7 +195,7 @@ def forecast_records(spark, d):
     ),
 )
 def forecast_valid(spark, d):
-    return rule_failures(_records(spark, d), forecast_rules())
+    return rule_failures(_records(_series(spark, d)), forecast_rules())
 
 
 @query(
@@ -203,6 +208,7 @@ def forecast_valid(spark, d):
     ),
 )
 def forecast_view(spark, d):
-    out = kpi.forecast_view(v.daily(spark, d), _records(spark, d))
+    series = _series(spark, d)
+    out = kpi.forecast_view(series, _records(series))
     rounded = {c: F.when(F.col("kind") == "forecast", F.round(c, 3)).otherwise(F.col(c)) for c in ("value", "lower", "upper")}
     return out.withColumns(rounded)

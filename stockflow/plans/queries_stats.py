@@ -192,7 +192,7 @@ def normality(spark, d):
 
 @query("shapiro")
 def shapiro(spark, d):
-    return st.shapiro_test(v.daily(spark, d), "y", ["entity_id"])
+    return st.shapiro_test(materialize(v.daily(spark, d)), "y", ["entity_id"])
 
 
 def _describe_sql(c: str) -> str:

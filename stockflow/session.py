@@ -56,6 +56,16 @@ def few_files(df: DataFrame) -> bool:
     return len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
 
 
+def store(df: DataFrame, label: str = "stage") -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut and its size is known to the planner.
+
+    Used for small fitted tables, which the planner then broadcasts if, and only if, they turned out small.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """``df`` written once to the shared folder, for work that reads it many times.
 
@@ -63,10 +73,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     loss of executors.  Rows from fewer files than there are cores are spread over the cores first;
     larger inputs have splits enough and are written without a shuffle of their own.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    (df.repartition(spark.sparkContext.defaultParallelism) if few_files(df) else df).write.parquet(path)
-    return spark.read.parquet(path)
+    return store(df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few_files(df) else df, label)
 
 
 def widen(df: DataFrame) -> DataFrame:
