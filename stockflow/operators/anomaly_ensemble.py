@@ -11,8 +11,9 @@ from stockflow.functions.scalars import recommendation, severity
 from stockflow.operators import anomaly_statistical as stat
 from stockflow.plans.schemas import FACTOR
 
-# Detector weights.
+# Detector weights, and the weight of a detector that is not listed.
 WEIGHTS = {"statistical": 0.35, "ml": 0.40, "timeseries": 0.25}
+OTHER_WEIGHT = 0.3
 MIN_CONFIDENCE = 0.5
 FACTOR_COLUMNS = 10
 TOP_FACTORS = 5
@@ -21,12 +22,13 @@ TOP_FACTORS = 5
 def ensemble_score(df: DataFrame, scores: dict[str, str], rescale: bool = False) -> DataFrame:
     """Add ``ensemble_score`` from the named detector score columns; a missing score counts as 0.
 
-    ``rescale`` divides by the weights present, for ensembles of fewer than three detectors.
+    ``rescale`` divides by the weights present, for ensembles other than the three standard detectors.
     """
-    total = F.lit(0.0)
+    total, present = F.lit(0.0), 0.0
     for name, column in scores.items():
-        total = total + F.coalesce(F.col(column), F.lit(0.0)) * WEIGHTS[name]
-    present = sum(WEIGHTS[n] for n in scores)
+        weight = WEIGHTS.get(name, OTHER_WEIGHT)
+        total = total + F.coalesce(F.col(column), F.lit(0.0)) * weight
+        present += weight
     return df.withColumn("ensemble_score", total / present if rescale else total)
 
 

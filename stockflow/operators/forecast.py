@@ -22,8 +22,9 @@ SEASON = 7
 HORIZON = 30
 START = (0.3, 0.1, 0.1)  # alpha, beta, gamma
 LOW, HIGH = 0.01, 0.99
-# Ensemble weights.
+# Ensemble weights, and the weight of a model that is not listed.
 WEIGHTS = {"exp_smoothing": 0.4, "moving_average": 0.2, "arima": 0.4}
+OTHER_WEIGHT = 0.3
 
 
 def clean(series: DataFrame) -> DataFrame:
@@ -310,7 +311,8 @@ def ensemble(models: dict[str, DataFrame]) -> DataFrame:
     """Weighted mean of the models that produced a forecast, with bounds from the spread of the path."""
     parts = None
     for name, frame in models.items():
-        part = frame.select("entity_id", "step", "ds", (F.col("predicted") * WEIGHTS[name]).alias("wp"), F.lit(WEIGHTS[name]).alias("w"))
+        weight = WEIGHTS.get(name, OTHER_WEIGHT)
+        part = frame.select("entity_id", "step", "ds", (F.col("predicted") * weight).alias("wp"), F.lit(weight).alias("w"))
         parts = part if parts is None else parts.unionByName(part)
     mixed = parts.groupBy("entity_id", "step").agg(F.max("ds").alias("ds"), (F.sum("wp") / F.sum("w")).alias("p"))
     whole = Window.partitionBy("entity_id")

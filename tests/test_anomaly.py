@@ -144,3 +144,21 @@ def test_full_weights_do_not_rescale(spark):
 def test_first_row_of_a_series_scores_zero(spark):
     rows = ts.detect_series(_series(spark, [100, 1, 1, 2])).orderBy("ds").collect()
     assert rows[0].anomaly_score == 0 and not rows[0].is_anomaly
+
+
+class Above:
+    """A user detector: everything over a fitted share of the maximum."""
+
+    def fit(self, df):
+        return df.agg(F.max("x")).first()[0]
+
+    def score(self, df, model):
+        return df.withColumns({"above": F.col("x") > 0.5 * model, "above_score": F.least(F.col("x") / model, F.lit(1.0))})
+
+
+def test_user_detector_joins_the_ensemble(spark):
+    df = _column(spark, SPIKE)
+    mine = Above()
+    scored = stat.detect(mine.score(df, mine.fit(df)), stat.fit_statistics(df, ["x"]))
+    out = ens.ensemble_score(scored, {"statistical": "anomaly_score", "above": "above_score"}, rescale=True)
+    assert [r.x for r in out.filter("ensemble_score > 0.5").collect()] == [100]
