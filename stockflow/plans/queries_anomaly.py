@@ -249,10 +249,10 @@ ENSEMBLE = f"""{_fit_sql(["y", "q"], "daily")},
     ens AS (SELECT *, (stat_score * 0.35::DOUBLE + ts_score * 0.25::DOUBLE) / 0.60::DOUBLE AS score FROM scored)"""
 
 
-@query("anomaly_ensemble_stat_ts", sql_with("daily", f"WITH {ENSEMBLE} SELECT entity_id, ds, round(stat_score, 6) AS stat_score, round(ts_score, 6) AS ts_score, round(score, 6) AS ensemble_score FROM ens"))
+@query("anomaly_ensemble_stat_ts", sql_with("daily", f"WITH {ENSEMBLE} SELECT entity_id, ds, stat_score, round(ts_score, 6) AS ts_score, round(score, 6) AS ensemble_score FROM ens"))
 def anomaly_ensemble_stat_ts(spark, d):
     out, _ = _two_part(spark, d)
-    return out.select("entity_id", "ds", *[F.round(c, 6).alias(c) for c in ("stat_score", "ts_score", "ensemble_score")])
+    return out.select("entity_id", "ds", "stat_score", *[F.round(c, 6).alias(c) for c in ("ts_score", "ensemble_score")])
 
 
 @query("anomaly_ensemble")
