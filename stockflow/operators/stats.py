@@ -19,8 +19,10 @@ from stockflow.operators.quantiles import exact_quantiles
 from stockflow.session import store
 
 MIN_PAIRS = 10
+PAIRS_PER_PASS = 100
 ALPHA = 0.05
 SHAPIRO_ROWS = 5000
+MAP_GROUPS = 1000  # largest number of group means put into one map
 
 
 # ---------------------------------------------------------------- correlation
@@ -49,19 +51,18 @@ def _finish_correlation(pairs: DataFrame, min_correlation: float) -> DataFrame:
 
 
 def _pair_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson coefficient and size for every column pair, from one wide aggregate."""
+    """Pearson coefficient and size for every column pair, from one wide aggregate per ``PAIRS_PER_PASS`` pairs."""
     pairs = list(combinations(columns, 2))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs += [correlation(F.col(a), F.col(b)).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
-    rows = F.array(
-        *[
-            F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return df.agg(*aggs).select(F.explode(rows).alias("p")).select("p.*")
+    passes = []
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        chunk = pairs[start : start + PAIRS_PER_PASS]
+        aggs, rows = [], []
+        for i, (a, b) in enumerate(chunk):
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            aggs += [correlation(F.col(a), F.col(b)).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
+            rows.append(F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n")))
+        passes.append(df.agg(*aggs).select(F.explode(F.array(*rows)).alias("p")).select("p.*"))
+    return reduce(DataFrame.unionByName, passes)
 
 
 def _ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -258,7 +259,8 @@ def trend_analysis(df: DataFrame, entity: str, date_col: str, value_col: str, un
 # ---------------------------------------------------------------- group tests
 
 
-def _group_moments(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
+def group_moments(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
+    """(g, n, mean, vs, vp) per group: size, mean, sample and population variance."""
     return (
         df.select(F.col(group_col).cast("string").alias("g"), F.col(value_col).cast("double").alias("v"))
         .dropna()
@@ -267,44 +269,55 @@ def _group_moments(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
     )
 
 
+TEST_RESULT = (
+    "test STRING, statistic DOUBLE, p_value DOUBLE, significant BOOLEAN, effect_size DOUBLE, groups_tested BIGINT,"
+    " group_means MAP<STRING, DOUBLE>, error STRING"
+)
+
+
 def hypothesis_test(df: DataFrame, group_col: str, value_col: str, test_type: str = "anova") -> DataFrame:
-    """One result row of a pooled t-test (two groups) or a one-way ANOVA, from per-group moments."""
-    groups = _group_moments(df, group_col, value_col)
-    n, mean = F.col("n"), F.col("mean")
-    means = F.map_from_entries(F.array_sort(F.collect_list(F.struct("g", F.round("mean", 2).alias("m"))))).alias("group_means")
-    total = groups.agg(
-        F.count(F.lit(1)).alias("k"),
-        F.sum("n").alias("nn"),
-        (F.sum(n * mean) / F.sum("n")).alias("grand"),
-        F.sum(F.col("vp") * n).alias("ssw"),
-        F.array_sort(F.collect_list(F.struct("g", "n", "mean", "vs", "vp"))).alias("gs"),
-        means,
-    )  # one entry per group label
-    k, nn, ssw = F.col("k"), F.col("nn"), F.col("ssw")
+    """One result row of a pooled t-test (two groups) or a one-way ANOVA, from per-group moments.
+
+    Moments are stored once and summed again, so any number of groups will do; beyond ``MAP_GROUPS`` groups the
+    map of means is left NULL (``group_moments`` has them as rows).
+    """
+    if test_type not in ("ttest", "anova"):
+        raise ValueError(f"unknown test {test_type!r}")
+    groups = store(group_moments(df, group_col, value_col), "groups")
+    n, mean, vp = F.col("n"), F.col("mean"), F.col("vp")
+    k, total, weighted = groups.agg(F.count(F.lit(1)), F.sum(n), F.sum(n * mean)).first()
+    name = "Independent t-test" if test_type == "ttest" else "One-way ANOVA"
+    if k < 2 or (test_type == "ttest" and k != 2):
+        error = f"Invalid test: {test_type} for {k} groups"
+        return df.sparkSession.createDataFrame([(name, None, None, None, None, k, None, error)], TEST_RESULT)
+    grand = weighted / total
+    sums = groups.agg(
+        F.sum(n * (mean - grand) * (mean - grand)).alias("ssb"),
+        F.sum(n * vp).alias("ssw"),
+        *[take(c, "g").alias(f"{side}_{c}") for side, take in (("a", F.min_by), ("b", F.max_by)) for c in ("n", "mean", "vp")],
+    )
+    ssb, ssw = F.col("ssb"), F.col("ssw")
     if test_type == "ttest":
-        a, b = F.get("gs", F.lit(0)), F.get("gs", F.lit(1))
-        pooled = ratio(ssw, nn - 2)
-        gap = a["mean"] - b["mean"]
-        stat = ratio(gap, F.sqrt(pooled * (1 / a["n"] + 1 / b["n"])))
-        effect = F.abs(gap) / (F.sqrt((a["vp"] + b["vp"]) / 2) + TINY)
-        p, name, valid = t_pvalue("stat", (nn - 2).cast("double")), "Independent t-test", k == 2
-    elif test_type == "anova":
-        ssb = F.aggregate("gs", F.lit(0.0), lambda s, g: s + g["n"] * (g["mean"] - F.col("grand")) ** 2)
-        stat = ratio(ratio(ssb, k - 1), ratio(ssw, nn - k))
-        effect = ssb / (ssb + ssw + TINY)
-        p, name, valid = f_pvalue("stat", (k - 1).cast("double"), (nn - k).cast("double")), "One-way ANOVA", k >= 2
+        gap = F.col("a_mean") - F.col("b_mean")
+        stat = ratio(gap, F.sqrt(ratio(ssw, F.lit(total - 2)) * (1 / F.col("a_n") + 1 / F.col("b_n"))))
+        effect = F.abs(gap) / (F.sqrt((F.col("a_vp") + F.col("b_vp")) / 2) + TINY)
+        p = t_pvalue("stat", F.lit(float(total - 2)))
     else:
-        raise ValueError(f"unknown test {test_type!r}")
-    ok = lambda c: F.when(valid, c)
-    return total.withColumns({"stat": ok(stat), "effect": ok(effect)}).withColumn("p", p).select(
+        stat = ratio(ssb / (k - 1), ratio(ssw, F.lit(total - k)))
+        effect = ssb / (ssb + ssw + TINY)
+        p = f_pvalue("stat", F.lit(float(k - 1)), F.lit(float(total - k)))
+    means = F.lit(None).cast("map<string,double>")
+    if k <= MAP_GROUPS:
+        means = F.create_map(*[F.lit(x) for r in groups.select("g", F.round("mean", 2).alias("m")).orderBy("g").collect() for x in (r.g, r.m)])
+    return sums.withColumns({"stat": stat, "effect": effect}).withColumn("p", p).select(
         F.lit(name).alias("test"),
         F.round("stat", 4).alias("statistic"),
         F.round("p", 6).alias("p_value"),
         (F.col("p") < ALPHA).alias("significant"),
         F.round("effect", 4).alias("effect_size"),
-        k.alias("groups_tested"),
-        "group_means",
-        F.when(~valid, F.concat(F.lit(f"Invalid test: {test_type} for "), k.cast("string"), F.lit(" groups"))).alias("error"),
+        F.lit(k).cast("bigint").alias("groups_tested"),
+        means.alias("group_means"),
+        F.lit(None).cast("string").alias("error"),
     )
 
 
