@@ -54,7 +54,7 @@ def with_rate_key(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("rate_key", key)
 
 
-def _sessions(rows: DataFrame, gap: int, hot_rows: int) -> DataFrame:
+def _sessions(rows: DataFrame, gap: int, hot_rows: int | None) -> DataFrame:
     """Add ``_session``: start time of the run of alerts without a quiet gap."""
     order = ["_t", "alert_id"]
     lagged = over_entities(rows, ["rate_key"], order, lambda w: {"_prev": F.lag("_t").over(w)}, lookback=1, hot_rows=hot_rows)
@@ -69,14 +69,15 @@ def suppress(
     session_rows: int = SESSION_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add ``rate_key`` and ``sent`` to alerts (alert_id, title, severity, ts, dedup_key, optional delivered)."""
+    """Add ``rate_key`` and ``sent`` to alerts (unique alert_id, title, severity, ts, dedup_key, optional delivered)."""
     cooldown = int(cooldown_minutes * MINUTE)
     keyed = with_rate_key(alerts)
     if "delivered" not in alerts.columns:
         keyed = keyed.withColumn("delivered", F.lit(True))
     rows = keyed.select("alert_id", "rate_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"), F.nullif(F.col("dedup_key"), F.lit("")).isNotNull().alias("_dedup"), "delivered")
-    sessions = _sessions(rows, max(cooldown, HOUR), hot_rows)
-    if largest_group(sessions, ["rate_key", "_session"]) <= session_rows:
+    largest = largest_group(rows, ["rate_key"])
+    sessions = _sessions(rows, max(cooldown, HOUR), None if largest <= hot_rows else hot_rows)
+    if largest <= session_rows or largest_group(sessions, ["rate_key", "_session"]) <= session_rows:
         decided = _by_session(sessions, cooldown, max_per_hour)
     else:
         decided = _by_doubling(rows, cooldown, max_per_hour)

@@ -57,9 +57,9 @@ def running_total(df: DataFrame, value: str, out: str, by: Sequence[str], order:
     )
 
 
-def forward_fill(df: DataFrame, columns: Sequence[str], by: Sequence[str], order: Order, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Replace NULLs by the last earlier value of the same key."""
-    if largest_group(df, by) <= hot_rows:
+def forward_fill(df: DataFrame, columns: Sequence[str], by: Sequence[str], order: Order, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Replace NULLs by the last earlier value of the same key (``hot_rows`` as in ``over_entities``)."""
+    if hot_rows is None or largest_group(df, by) <= hot_rows:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
     rows = segmented(df, by, order)
@@ -113,7 +113,7 @@ def over_entities(
 ) -> DataFrame:
     """Add window columns that look at most ``lookback`` rows back within each key.
 
-    ``hot_rows=None`` states that keys are bounded by nature (one row per calendar period).  Otherwise
+    ``hot_rows=None`` states that keys are known to be bounded (one row per calendar period, say).  Otherwise
     the largest key is measured, and when it exceeds ``hot_rows`` the table is cut into segments, each
     preceded by a copy of the ``lookback`` rows before it.
     """
