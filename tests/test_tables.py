@@ -15,8 +15,6 @@ from stockflow.plans.schemas import TABLES, table_schema
 from stockflow.session import scratch_path
 from stockflow.sources import files, sinks
 
-AS_OF = F.lit  # built inside tests, where a session exists
-
 
 # ---------------------------------------------------------------- cleansing
 
