@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockflow.llm import bpe, simhash
+from stockflow.llm import bpe, lines, quality, simhash, toxicity
 from stockflow.llm.frames import read
 from stockflow.plans.registry import query
 
@@ -17,3 +17,35 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_simhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+LINES = """
+WITH line AS (
+    SELECT doc_id, l.pos AS pos, l.line AS line,
+           translate(trim(l.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'pos': i, 'line': x})) AS l FROM documents)
+), frequent AS (
+    SELECT key, max(doc_id) AS keep FROM line WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+    SELECT line.*, frequent.key IS NOT NULL AND doc_id <> keep AS gone FROM line LEFT JOIN frequent USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query("op5_lines", LINES)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"))
