@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockflow.llm import bpe, lines, quality, simhash, toxicity
+from stockflow.llm import bpe, lines, quality, simhash, syncmers, toxicity
 from stockflow.llm.frames import read
 from stockflow.plans.registry import query
 
@@ -49,3 +49,8 @@ FROM judged GROUP BY doc_id
 @query("op5_lines", LINES)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op6_syncmers")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"))
