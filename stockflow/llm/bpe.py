@@ -30,11 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from stockflow.llm.frames import slices
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Words of at most this many bytes are merged in matrices.
 SHORT = 64
-#: Words remembered by a task, and words handled at a time.
-MEMORY, BLOCK = 500_000, 1 << 18
+#: Words remembered by a task, and words of a text handled at a time.
+MEMORY, BLOCK = 250_000, 1 << 18
+#: Bytes of text, or ids, that one batch of results is made of.
+SLICE = 1 << 21
 NONE = np.int32(2**31 - 1)
 
 #: Code points that are letters or numbers in newer Unicode versions only, and "other" for the vocabulary's library.
@@ -224,10 +228,10 @@ class Encoder:
 
         for text in texts:
             text = text or ""
-            if chars + len(text) > 8 * BLOCK:
+            if chars + len(text) > 4 * BLOCK:
                 flush()
                 chars = 0
-            if len(text) > 8 * BLOCK:
+            if len(text) > 4 * BLOCK:
                 out.append(self.encode(text))
             else:
                 group.append([*chain.from_iterable(self._parts(text))])
@@ -252,7 +256,8 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(Vocabulary(*shared.value))
         for batch in batches:
-            yield _lists(encoder.encode_all(batch.to_pylist()))
+            for part in slices(batch, SLICE):
+                yield _lists(encoder.encode_all(part.to_pylist()))
 
     return df.withColumn(ids, F.arrow_udf(_typed(run), ArrayType(IntegerType()))(df[f"`{text}`"]))
 
@@ -263,8 +268,8 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: s
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         get = Vocabulary(*shared.value).tokens.__getitem__
-        for batch in batches:
-            values, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
+        for part in (p for batch in batches for p in slices(batch, SLICE)):
+            values, ends = part.values.to_numpy(zero_copy_only=False), part.offsets.to_numpy()
             yield pa.array([b"".join(map(get, values[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.string())
 
     return df.withColumn(text, F.arrow_udf(_typed(run), StringType())(F.coalesce(df[f"`{ids}`"], F.array().cast("array<int>"))))

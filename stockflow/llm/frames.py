@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockflow.session import scratch_path
 
-#: Bytes of one hash-partition's share that jobs aim at when they choose a number of groups by size.
-GROUP_BYTES = 8 << 20
-
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
@@ -22,14 +24,14 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def column(df: DataFrame, name: str) -> Column:
-    """The column called ``name`` exactly, even beside one that differs in case only."""
-    return df[f"`{name}`"]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly over the session's partitions, where Spark may join or split partitions by size."""
-    return df.hint("rebalance")
+def slices(batch: pa.Array, size: int) -> Iterator[pa.Array]:
+    """A batch of strings or lists in slices of some ``size`` bytes or members (one row at least), to hold less at a time."""
+    if len(batch):
+        lengths = pc.binary_length(batch) if pa.types.is_string(batch.type) else pc.list_value_length(batch)
+        share = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+        ends = [*(np.flatnonzero(np.diff(share)) + 1).tolist(), len(batch)]
+        for a, b in zip([0, *ends], ends):
+            yield batch.slice(a, b - a)
 
 
 def shipped(df: DataFrame, rows: int, limit: int) -> DataFrame:
