@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockflow.llm import bpe, decontamination, lines, quality, simhash, syncmers, toxicity
+from stockflow.llm import bpe, chunks, decontamination, lines, quality, simhash, syncmers, toxicity
 from stockflow.llm.frames import read
 from stockflow.plans.registry import query
 
@@ -59,3 +59,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op3_chunks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"))
