@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockflow.llm import bpe, chunks, decontamination, lines, quality, simhash, syncmers, toxicity
+from stockflow.llm import bpe, chunks, decontamination, licenses, lines, quality, simhash, syncmers, toxicity
 from stockflow.llm.frames import read
 from stockflow.plans.registry import query
 
@@ -64,3 +64,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_chunks")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op9_licenses")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"))
