@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockflow.llm import bpe, chunks, decontamination, licenses, lines, quality, simhash, syncmers, toxicity
+from stockflow.llm import bpe, chunks, decontamination, licenses, lines, lm, quality, simhash, syncmers, toxicity
 from stockflow.llm.frames import read
 from stockflow.plans.registry import query
 
@@ -69,3 +69,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_licenses")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op2_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"))
