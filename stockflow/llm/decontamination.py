@@ -137,7 +137,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     keys = keys.select("kind", "item_print", "b.block", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("b.value")))).alias("value"))
     probes = different.select("sh", "print", F.explode(_blocks("print")).alias("b")).select("sh", "print", "b.block", "b.value")
     distance = sum((F.bit_count(F.col("print")[i].bitwiseXOR(F.col("item_print")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col("print")[0].bitwiseXOR(F.col("item_print")[0])))
-    near = probes.join(keys, ["block", "value"]).filter(distance <= RADIUS).select("sh", "kind").distinct()
+    # The flipped blocks are many times the items: never broadcast on the items' estimated size.
+    near = probes.join(keys.hint("merge"), ["block", "value"]).filter(distance <= RADIUS).select("sh", "kind").distinct()
     verified = near.join(kinds.select("kind", "bag", "rare"), "kind").withColumn("similarity", similarity()).filter(F.col("similarity") >= SIMILARITY)
     verified = saved(verified.select("sh", "kind", "similarity"), "verified")
     found = windows.join(verified, "sh").groupBy("doc_id", "mark", "kind").agg(F.max_by(F.struct("similarity", "start", "n_words"), F.struct("similarity", -F.col("start"))).alias("best"))
