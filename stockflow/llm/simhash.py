@@ -196,7 +196,8 @@ def labelled(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     named = distinct.join(tied.join(roots, "root").select("fingerprint", "component_id", "root"), "fingerprint", "left")
     named = named.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fingerprint")
+    # Written, so that this join stands between two plain exchanges and a frequent fingerprint can be split.
+    return prints.join(saved(named, "named"), "fingerprint")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
