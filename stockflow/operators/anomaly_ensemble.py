@@ -15,7 +15,6 @@ from stockflow.plans.schemas import FACTOR
 WEIGHTS = {"statistical": 0.35, "ml": 0.40, "timeseries": 0.25}
 OTHER_WEIGHT = 0.3
 MIN_CONFIDENCE = 0.5
-FACTOR_COLUMNS = 10
 TOP_FACTORS = 5
 
 
@@ -32,10 +31,10 @@ def ensemble_score(df: DataFrame, scores: dict[str, str], rescale: bool = False)
     return df.withColumn("ensemble_score", total / present if rescale else total)
 
 
-def contributing_factors(columns: Sequence[str], stats: dict[str, dict[str, Column]]) -> Column:
-    """Up to five columns that deviate by more than 1.5 sigma, the strongest first; no shuffle."""
+def contributing_factors(columns: Sequence[str], stats: dict[str, dict[str, Column]], top: int = TOP_FACTORS) -> Column:
+    """The ``top`` of the columns that deviate by more than 1.5 sigma, the strongest first; no shuffle."""
     candidates = []
-    for i, c in enumerate(columns[:FACTOR_COLUMNS]):
+    for i, c in enumerate(columns):
         value, mean, std = F.col(c).cast("double"), stats[c]["mean"], stats[c]["std"]
         sigma = F.when(std > 0, (value - mean) / std)
         factor = F.struct(
@@ -48,7 +47,7 @@ def contributing_factors(columns: Sequence[str], stats: dict[str, dict[str, Colu
         ranked = F.struct((-F.abs(sigma)).alias("k"), F.lit(i).alias("i"), factor.alias("f"))
         candidates.append(F.when(F.abs(sigma) > 1.5, ranked))
     ordered = F.array_sort(F.filter(F.array(*candidates), lambda s: s.isNotNull()))
-    return F.transform(F.slice(ordered, 1, TOP_FACTORS), lambda s: s["f"]).cast(f"array<{FACTOR.lower()}>")
+    return F.transform(F.slice(ordered, 1, top), lambda s: s["f"]).cast(f"array<{FACTOR.lower()}>")
 
 
 def anomaly_records(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import TINY, numeric_columns
-from stockflow.operators.ordered import largest_group
+from stockflow.operators.ordered import largest_group, same_keys
 from stockflow.operators.quantiles import exact_quantiles
 
 STATS = ("mean", "std", "median", "mad", "q1", "q3")
@@ -30,7 +30,7 @@ class StatModel:
         if self.by:
             names = {c: {s: f"_fit_{c}_{s}" for s in STATS} for c in columns}
             model = self.frame.select(*self.by, *[F.col(f"{c}_{s}").alias(n) for c, m in names.items() for s, n in m.items()])
-            return df.join(model, self.by, "left"), {c: {s: F.col(n) for s, n in m.items()} for c, m in names.items()}
+            return same_keys(df, model, self.by, "left"), {c: {s: F.col(n) for s, n in m.items()} for c, m in names.items()}
         row = self.values or self.frame.first().asDict()
         return df, {c: {s: F.lit(row[f"{c}_{s}"]).cast("double") for s in STATS} for c in columns}
 
@@ -53,11 +53,11 @@ def fit_statistics(df: DataFrame, columns: Sequence[str] | None = None, by: Sequ
         *by, *[F.get(F.col(c), F.lit(i)).alias(f"{c}_{s}") for c in columns for i, s in enumerate(("q1", "median", "q3"))]
     )
     if by:
-        centred = df.join(quartiles.select(*by, *[f"{c}_median" for c in columns]), by)
+        centred = same_keys(df, quartiles.select(*by, *[f"{c}_median" for c in columns]), by)
         medians = {c: F.col(f"{c}_median") for c in columns}
         spread = centred.select(*by, *[F.abs(F.col(c) - medians[c]).alias(c) for c in columns])
         mads = exact_quantiles(spread, columns, [0.5], by, rows=largest).select(*by, *[F.get(F.col(c), F.lit(0)).alias(f"{c}_mad") for c in columns])
-        frame = moments.join(quartiles, by).join(mads, by)
+        frame = same_keys(same_keys(moments, quartiles, by), mads, by)
     else:
         found = {**moments.first().asDict(), **quartiles.first().asDict()}  # a few numbers per column
         spread = df.select(*[F.abs(F.col(c) - F.lit(found[f"{c}_median"])).cast("double").alias(c) for c in columns])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockflow.functions.scalars import numeric_columns
+from stockflow.functions.scalars import numeric_columns, ratio
 from stockflow.operators.ordered import forward_fill
 from stockflow.operators.quantiles import exact_quantiles
 from stockflow.session import materialize
@@ -278,7 +278,7 @@ def column_profile(df: DataFrame) -> DataFrame:
         "column_name",
         "n_rows",
         (F.col("n_rows") - F.col("n_values")).alias("missing"),
-        ((F.col("n_rows") - F.col("n_values")) / F.col("n_rows")).alias("missing_share"),
+        ratio(F.col("n_rows") - F.col("n_values"), F.col("n_rows")).alias("missing_share"),
         F.coalesce("n_distinct", F.lit(0).cast("bigint")).alias("n_distinct"),
         F.get("q", F.lit(0)).alias("q1"),
         F.get("q", F.lit(1)).alias("median"),

@@ -10,6 +10,7 @@ and a small table with one row per (key, segment) carries state from one segment
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -22,30 +23,49 @@ HOT_ROWS = 2_000_000  # rows of one key that a single window task may sort
 Order = Sequence[str | Column]
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows in the biggest group (one map-side combined aggregate)."""
+def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """Rows in the biggest group and in all (one map-side combined aggregate)."""
     if not by:
-        return df.count()
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        return (n := df.count()), n
+    found = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
+    return found[0] or 0, found[1] or 0
+
+
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows in the biggest group."""
+    return group_sizes(df, by)[0]
 
 
-def segmented(df: DataFrame, by: Sequence[str], order: Order) -> DataFrame:
-    """``df`` cut into contiguous (by, order) segments, with a stable segment id column."""
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys``, a NULL key being equal to itself; ``right`` adds its other columns."""
+    if not keys:
+        return left.crossJoin(right) if how == "inner" else left.join(right, how=how)
+    twin = right.select(*[F.col(k).alias(f"_twin_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    met = reduce(Column.__and__, [left[k].eqNullSafe(F.col(f"_twin_{i}")) for i, k in enumerate(keys)])
+    return left.join(twin, met, how).drop(*[f"_twin_{i}" for i in range(len(keys))])
+
+
+def segmented(df: DataFrame, by: Sequence[str], order: Order, rows: int | None = None) -> DataFrame:
+    """``df`` cut into contiguous (by, order) segments, with a stable segment id column.
+
+    There are as many segments as keep each within ``HOT_ROWS`` rows (``rows``: the table's size, counted if unknown).
+    """
     spark = df.sparkSession
     ensure_checkpoints(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.count() if rows is None else rows
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // HOT_ROWS))
     keys = [F.col(c) for c in by] + [F.col(o) if isinstance(o, str) else o for o in order]
     return df.repartitionByRange(parts, *keys).withColumn(SEG, F.spark_partition_id()).checkpoint()
 
 
 def _join_segments(rows: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join one-row-per-(key, segment) state back to its rows."""
-    return rows.join(small, [*by, SEG], "left")
+    return same_keys(rows, small, [*by, SEG], "left")
 
 
-def running_total(df: DataFrame, value: str, out: str, by: Sequence[str], order: Order) -> DataFrame:
+def running_total(df: DataFrame, value: str, out: str, by: Sequence[str], order: Order, rows: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` per ``by`` in ``order`` (a total order), for keys of any size."""
-    rows = segmented(df, by, order)
+    rows = segmented(df, by, order, rows)
     sums = rows.groupBy(*by, SEG).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*by).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*by, SEG, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
@@ -59,10 +79,11 @@ def running_total(df: DataFrame, value: str, out: str, by: Sequence[str], order:
 
 def forward_fill(df: DataFrame, columns: Sequence[str], by: Sequence[str], order: Order, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Replace NULLs by the last earlier value of the same key (``hot_rows`` as in ``over_entities``)."""
-    if hot_rows is None or largest_group(df, by) <= hot_rows:
+    largest, total = (0, 0) if hot_rows is None else group_sizes(df, by)
+    if hot_rows is None or largest <= hot_rows:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
-    rows = segmented(df, by, order)
+    rows = segmented(df, by, order, total)
     rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     lasts = rows.groupBy(*by, SEG).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"_last_{c}") for c in columns]
@@ -92,7 +113,7 @@ def _halo(rows: DataFrame, by: Sequence[str], order: Order, reach: int) -> DataF
     forward = Window.partitionBy(*by, SEG).orderBy(*order)
     size = F.count(F.lit(1)).over(Window.partitionBy(*by, SEG))
     tails = rows.withColumn("_from_end", size - F.row_number().over(forward)).filter(F.col("_from_end") < reach)
-    placed = tails.join(starts, [*by, SEG]).join(targets, list(by))
+    placed = same_keys(same_keys(tails, starts, [*by, SEG]), targets, list(by))
     position = F.col("_start") + F.col("_tail") - F.col("_from_end")  # 1-based among the key's tails
     near = F.filter("_targets", lambda t: (t["seg"] > F.col(SEG)) & (t["start"] - F.col("_position") < reach))
     return (
@@ -117,9 +138,10 @@ def over_entities(
     the largest key is measured, and when it exceeds ``hot_rows`` the table is cut into segments, each
     preceded by a copy of the ``lookback`` rows before it.
     """
-    if hot_rows is None or largest_group(df, by) <= hot_rows:
+    largest, total = (0, 0) if hot_rows is None else group_sizes(df, by)
+    if hot_rows is None or largest <= hot_rows:
         return df.withColumns(columns(Window.partitionBy(*by).orderBy(*order)))
-    rows = segmented(df, by, order)
+    rows = segmented(df, by, order, total)
     flagged = rows.withColumn("_copy", F.lit(False)).unionByName(_halo(rows, by, order, lookback).withColumn("_copy", F.lit(True)))
     out = flagged.withColumns(columns(Window.partitionBy(*by, SEG).orderBy(*order)))
     return out.filter(~F.col("_copy")).drop("_copy", SEG)

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.operators.ordered import HOT_ROWS, largest_group, running_total
+from stockflow.operators.ordered import HOT_ROWS, largest_group, running_total, same_keys
 from stockflow.session import store
 
 BUFFER_ROWS = 100_000  # rows of one group whose distinct values may sit in one aggregation buffer
@@ -50,7 +50,7 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], by: list[s
     )
     if by:
         brackets = store(brackets, "brackets")  # one row per group
-        framed = values.join(brackets.drop(*sizes), by)
+        framed = same_keys(values, brackets.drop(*sizes), by)
     else:
         row = brackets.first()
         framed = values.withColumns({c: F.lit(row[c]).cast("double") for c in brackets.columns if c not in sizes})
@@ -71,12 +71,12 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], by: list[s
             )
             for j, i in cells
         ]
-        ranks = store(brackets.join(below, by).select(*by, F.explode(F.array(*facts)).alias("r")).select(*by, "r.*").filter("h >= 0"), "ranks")
+        ranks = store(same_keys(brackets, below, by).select(*by, F.explode(F.array(*facts)).alias("r")).select(*by, "r.*").filter("h >= 0"), "ranks")
         outside = (F.floor("h") < F.col("below")) | (F.ceil("h") >= F.col("below") + F.col("within"))
         worst, missed = ranks.agg(F.max("within"), F.max(outside)).first()
 
         def ranked(rows: DataFrame) -> DataFrame:
-            return rows.join(ranks, keys)
+            return same_keys(rows, ranks, keys)
     else:
         counts = below.first()
         known = {(j, i): ((row[f"n{j}"] - 1) * probs[i], counts[f"b{j}_{i}"], counts[f"w{j}_{i}"]) for j, i in cells if row[f"n{j}"]}
@@ -125,7 +125,7 @@ def _by_rank(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     def holds(rank: Column) -> Column:
         return (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
 
-    hits = placed.join(asked, keys).withColumn("r", F.explode(F.filter("asked", lambda r: holds(F.floor(r["h"])) | holds(F.ceil(r["h"])))))
+    hits = same_keys(placed, asked, keys).withColumn("r", F.explode(F.filter("asked", lambda r: holds(F.floor(r["h"])) | holds(F.ceil(r["h"])))))
     hits = hits.select(*keys, "r.*", "value", "upto", "n")
     found = hits.groupBy(*keys, "i").agg(
         F.max("h").alias("h"),

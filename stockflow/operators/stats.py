@@ -13,16 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.functions.pvalues import f_pvalue, normal_pvalue, normal_tail, t_pvalue
-from stockflow.functions.scalars import TINY, correlation, correlation_strength, numeric_columns, ratio, skewness_label
-from stockflow.operators.ordered import running_total
+from stockflow.functions.scalars import TINY, correlation, correlation_strength, nan_to_null, numeric_columns, ratio, skewness_label
+from stockflow.operators.ordered import running_total, same_keys
 from stockflow.operators.quantiles import exact_quantiles
 from stockflow.session import store
 
 MIN_PAIRS = 10
 PAIRS_PER_PASS = 100
 ALPHA = 0.05
-SHAPIRO_ROWS = 5000
-MAP_GROUPS = 1000  # largest number of group means put into one map
+SHAPIRO_ROWS = 5000  # the range for which the approximation of W's distribution was fitted
 
 
 # ---------------------------------------------------------------- correlation
@@ -108,18 +107,22 @@ def correlation_analysis(df: DataFrame, columns: Sequence[str] | None = None, me
 # ---------------------------------------------------------------- ABC
 
 
-def abc_analysis(df: DataFrame, value_col: str, item_col: str, a_limit: float = 80.0, b_limit: float = 95.0) -> DataFrame:
-    """Items by descending value with cumulative share and class; an item that crosses a limit is past it."""
-    items = df.groupBy(F.col(item_col).alias("item")).agg(F.round(F.sum(value_col), 4).alias("total_value")).filter("item IS NOT NULL")
-    placed = running_total(items, "total_value", "_upto", [], [F.col("total_value").desc(), F.col("item")])
-    # The grand total of one row per segment: the last running total.
-    total = placed.agg(F.max("_upto")).first()[0]
-    cumulative = F.col("_upto") / F.lit(total) * 100
+def abc_analysis(df: DataFrame, value_col: str, item_col: str, a_limit: float = 80.0, b_limit: float = 95.0, digits: int | None = None) -> DataFrame:
+    """Items by descending value with cumulative share and class; an item that crosses a limit is past it.
+
+    Shares are NULL, and classes C, where the total is zero.  ``digits`` rounds the items' values before they are added up.
+    """
+    value = F.sum(value_col) if digits is None else F.round(F.sum(value_col), digits)
+    items = store(df.groupBy(F.col(item_col).alias("item")).agg(value.alias("total_value")).filter("item IS NOT NULL"), "items")
+    total, rows = items.agg(F.sum("total_value"), F.count(F.lit(1))).first()
+    total = F.lit(total).cast("double")
+    placed = running_total(items, "total_value", "_upto", [], [F.col("total_value").desc_nulls_last(), F.col("item")], rows)
+    cumulative = ratio(F.col("_upto"), total) * 100
     label = F.when(cumulative <= a_limit, "A").when(cumulative <= b_limit, "B").otherwise("C")
     return placed.select(
         "item",
         "total_value",
-        (F.col("total_value") / F.lit(total) * 100).alias("value_pct"),
+        (ratio(F.col("total_value"), total) * 100).alias("value_pct"),
         cumulative.alias("cumulative_pct"),
         label.alias("abc_class"),
     )
@@ -278,8 +281,7 @@ TEST_RESULT = (
 def hypothesis_test(df: DataFrame, group_col: str, value_col: str, test_type: str = "anova") -> DataFrame:
     """One result row of a pooled t-test (two groups) or a one-way ANOVA, from per-group moments.
 
-    Moments are stored once and summed again, so any number of groups will do; beyond ``MAP_GROUPS`` groups the
-    map of means is left NULL (``group_moments`` has them as rows).
+    Moments are stored once and summed again.  The map of means has an entry for each group (``group_moments`` has them as rows).
     """
     if test_type not in ("ttest", "anova"):
         raise ValueError(f"unknown test {test_type!r}")
@@ -294,6 +296,7 @@ def hypothesis_test(df: DataFrame, group_col: str, value_col: str, test_type: st
     sums = groups.agg(
         F.sum(n * (mean - grand) * (mean - grand)).alias("ssb"),
         F.sum(n * vp).alias("ssw"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("g", F.round("mean", 2))))).alias("means"),
         *[take(c, "g").alias(f"{side}_{c}") for side, take in (("a", F.min_by), ("b", F.max_by)) for c in ("n", "mean", "vp")],
     )
     ssb, ssw = F.col("ssb"), F.col("ssw")
@@ -306,9 +309,7 @@ def hypothesis_test(df: DataFrame, group_col: str, value_col: str, test_type: st
         stat = ratio(ssb / (k - 1), ratio(ssw, F.lit(total - k)))
         effect = ssb / (ssb + ssw + TINY)
         p = f_pvalue("stat", F.lit(float(k - 1)), F.lit(float(total - k)))
-    means = F.lit(None).cast("map<string,double>")
-    if k <= MAP_GROUPS:
-        means = F.create_map(*[F.lit(x) for r in groups.select("g", F.round("mean", 2).alias("m")).orderBy("g").collect() for x in (r.g, r.m)])
+    means = F.col("means")
     return sums.withColumns({"stat": stat, "effect": effect}).withColumn("p", p).select(
         F.lit(name).alias("test"),
         F.round("stat", 4).alias("statistic"),
@@ -424,14 +425,15 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def shapiro_test(df: DataFrame, value_col: str, by: Sequence[str]) -> DataFrame:
-    """Shapiro-Wilk per group of 8 to 5,000 values; larger groups carry the K2 test's figures instead.
+def shapiro_test(df: DataFrame, value_col: str, by: Sequence[str], switch_rows: int = SHAPIRO_ROWS) -> DataFrame:
+    """Shapiro-Wilk per group of 8 to ``switch_rows`` values; larger groups carry the K2 test's figures (``method`` tells which).
 
-    Group sizes are counted first, so a task never receives more than 5,000 rows of a group.
+    The switch is the rule of the test's users, who stop trusting W's approximation there; it is a parameter.  Group sizes are
+    counted first, so a task never receives more rows of a group.
     """
     rows = df.select(*by, F.col(value_col).cast("double").alias("_v")).filter("_v IS NOT NULL")
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    small = rows.join(sizes.filter(f"_n BETWEEN 8 AND {SHAPIRO_ROWS}").select(*by), list(by), "left_semi")
+    small = same_keys(rows, sizes.filter(f"_n BETWEEN 8 AND {switch_rows}").select(*by), list(by), "left_semi")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -441,7 +443,7 @@ def shapiro_test(df: DataFrame, value_col: str, by: Sequence[str]) -> DataFrame:
     tested = small.groupBy(*by).applyInPandas(one, f"{fields}, statistic double, p_value double, n bigint, method string")
     moments = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.skewness("_v").alias("g1"), F.kurtosis("_v").alias("g2"))
     k2 = _k_squared(F.col("n"), F.col("g1"), F.col("g2"))
-    large = moments.filter(f"n > {SHAPIRO_ROWS}").select(*by, k2.alias("statistic"), F.exp(-k2 / 2).alias("p_value"), "n", F.lit("dagostino").alias("method"))
+    large = moments.filter(f"n > {switch_rows}").select(*by, k2.alias("statistic"), F.exp(-k2 / 2).alias("p_value"), "n", F.lit("dagostino").alias("method"))
     return tested.unionByName(large).select(*by, F.round("statistic", 4).alias("shapiro_statistic"), F.round("p_value", 6).alias("shapiro_p_value"), "n", "method")
 
 
@@ -449,15 +451,16 @@ def normality_report(df: DataFrame, value_col: str, by: Sequence[str]) -> DataFr
     """Both normality tests side by side; normal only if both say so."""
     k2 = normality_test(df, value_col, by).withColumnRenamed("is_normal", "_k2_normal")
     sw = shapiro_test(df, value_col, by).drop("n", "method")
-    return k2.join(sw, list(by), "left").withColumn("is_normal", F.col("_k2_normal") & (F.col("shapiro_p_value") > ALPHA)).drop("_k2_normal")
+    return same_keys(k2, sw, list(by), "left").withColumn("is_normal", F.col("_k2_normal") & (F.col("shapiro_p_value") > ALPHA)).drop("_k2_normal")
 
 
 # ---------------------------------------------------------------- description
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row of descriptive statistics per numeric column."""
+    """One row of descriptive statistics per numeric column; NaN counts as missing, and an empty table has NULL figures."""
     columns = numeric_columns(df) if columns is None else list(columns)
+    df = nan_to_null(df.select(*columns))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in columns:
         v = F.col(c).cast("double")
@@ -481,7 +484,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         "column_name",
         F.col("n").alias("count"),
         (total - F.col("n")).alias("missing"),
-        F.round((total - F.col("n")) / total * 100, 2).alias("missing_pct"),
+        F.round(ratio(total - F.col("n"), total) * 100, 2).alias("missing_pct"),
         mean.alias("mean"),
         r4(q2).alias("median"),
         std.alias("std"),

@@ -49,13 +49,13 @@ ABC_SQL = """items AS (SELECT product_id AS item, round(sum(total_amount), 4) AS
 
 @query("abc", sql_with("sales", f"WITH {ABC_SQL} SELECT item, total_value, round(value_pct, 6) AS value_pct, round(cumulative_pct, 6) AS cumulative_pct, abc_class FROM abc"))
 def abc(spark, d):
-    out = st.abc_analysis(v.sales(spark, d, "product_id", "total_amount"), "total_amount", "product_id")
+    out = st.abc_analysis(v.sales(spark, d, "product_id", "total_amount"), "total_amount", "product_id", digits=4)
     return out.withColumns({c: F.round(c, 6) for c in ("value_pct", "cumulative_pct")})
 
 
 @query("abc_summary", sql_with("sales", f"WITH {ABC_SQL} SELECT abc_class, count(*) AS n_items, round(sum(value_pct), 4) AS value_pct FROM abc GROUP BY 1"))
 def abc_summary(spark, d):
-    out = st.abc_summary(st.abc_analysis(v.sales(spark, d, "product_id", "total_amount"), "total_amount", "product_id"))
+    out = st.abc_summary(st.abc_analysis(v.sales(spark, d, "product_id", "total_amount"), "total_amount", "product_id", digits=4))
     return out.withColumn("value_pct", F.round("value_pct", 4))
 
 

@@ -35,9 +35,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="stockflow-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stockflow-"))
+    return sc.getCheckpointDir()
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -46,14 +46,28 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
 
 
+_SCRATCH: list[str] = []  # folders this driver has named, until they are cleared
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name for intermediate files next to the checkpoints."""
-    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate files of this run; results that still read them must have been written by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
-def few_files(df: DataFrame) -> bool:
-    """Whether ``df`` reads fewer files than the session has cores."""
-    return len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
+def narrow(df: DataFrame) -> bool:
+    """Whether ``df`` would run in fewer tasks than the session has cores, by its plan; no list of files is made."""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
 
 
 def store(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -70,12 +84,11 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """``df`` written once to the shared folder, for work that reads it many times.
 
     Later passes scan only the columns they need, do not repeat the joins behind ``df``, and survive the
-    loss of executors.  Rows from fewer files than there are cores are spread over the cores first;
-    larger inputs have splits enough and are written without a shuffle of their own.
+    loss of executors.  The rows are rebalanced on the way, so that files are neither tiny nor huge.
     """
-    return store(df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few_files(df) else df, label)
+    return store(df.hint("rebalance"), label)
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """A plain scan for work that reads it several times: as it is, or spread over the cores if it is a few files."""
-    return materialize(df) if few_files(df) else df
+    """A plain scan for work that reads it several times: as it is, or spread over the cores if it is less than a task for each."""
+    return store(df.repartition(df.sparkSession.sparkContext.defaultParallelism), "wide") if narrow(df) else df
