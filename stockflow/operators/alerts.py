@@ -2,49 +2,56 @@
 
 Whether an alert goes out depends on which earlier ones did, so each key's alerts form a recurrence.
 After a quiet gap the state is empty again, which cuts a key into independent sessions; sessions
-are processed in parallel by the same reducer the stream uses.  A session too long for one task is
-solved by pointer doubling over "next admissible alert" links, which spreads it over the cluster.
+are processed in parallel by the same reducer the stream uses.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockflow.functions.scalars import alert_channels
 from stockflow.operators.ordered import HOT_ROWS, forward_fill, largest_group, over_entities
-from stockflow.session import ensure_checkpoints
 
 DEDUP_MINUTES = 60
 COOLDOWN_MINUTES = 15
 MAX_PER_HOUR = 20
-SESSION_ROWS = 5_000_000  # alerts of one session that one task may work through
 CHANNELS = ["email", "slack"]
 MINUTE = 60_000_000  # microseconds
 HOUR = 60 * MINUTE
 
 
-def admit(sent: list[int], now: int, dedup: bool, cooldown: int, cap: int) -> bool:
-    """Whether an alert at ``now`` may go out, given the send times of its key (all in microseconds)."""
-    if not sent:
-        return cap > 0
-    last = sent[-1]
-    if dedup and now - last < DEDUP_MINUTES * MINUTE:
-        return False
-    return now - last >= cooldown and sum(now - t < HOUR for t in sent[-cap:] if cap) < cap
-
-
-def reduce_alerts(sent: list[int], times, dedup, delivered, cooldown: int, cap: int) -> tuple[list[bool], list[int]]:
-    """Decisions for one key's alerts in time order, and the send times later ones still depend on."""
-    decisions = []
-    for now, is_dedup, ok in zip(times, dedup, delivered):
-        go = bool(ok) and admit(sent, now, bool(is_dedup), cooldown, cap)
-        decisions.append(go)
-        if go:
-            sent = [t for t in sent if now - t < HOUR] + [now]
+def reduce_alerts(sent: list[int], times, dedup, delivered, cooldown: int, cap: int) -> tuple[np.ndarray, list[int]]:
+    """Decisions for one key's alerts in time order, and the send times later ones still depend on (all in microseconds).
+
+    From each send the search jumps to the next moment at which another may follow, so the cost follows the sends.
+    """
+    times = np.asarray(times, np.int64)
+    able, held = np.asarray(delivered).astype(bool), np.asarray(dedup).astype(bool)
+    plain, keyed = np.flatnonzero(able & ~held), np.flatnonzero(able & held)
+    decisions, start = np.zeros(len(times), bool), 0
+
+    def following(places: np.ndarray, at: int) -> int:
+        i = np.searchsorted(places, at)
+        return int(places[i]) if i < len(places) else len(times)
+
+    while cap > 0:
+        after = start
+        if sent:
+            earliest = max(sent[-1] + cooldown, sent[-cap] + HOUR if len(sent) >= cap else sent[-1])
+            start = max(start, int(np.searchsorted(times, earliest)))
+            after = max(start, int(np.searchsorted(times, sent[-1] + DEDUP_MINUTES * MINUTE)))
+        chosen = min(following(plain, start), following(keyed, after))
+        if chosen >= len(times):
+            break
+        decisions[chosen], start = True, chosen + 1
+        now = int(times[chosen])
+        sent = [t for t in sent if now - t < HOUR] + [now]
     return decisions, sent
 
 
@@ -62,80 +69,41 @@ def _sessions(rows: DataFrame, gap: int, hot_rows: int | None) -> DataFrame:
     return forward_fill(starts, ["_session"], ["rate_key"], order, hot_rows).drop("_prev")
 
 
-def suppress(
-    alerts: DataFrame,
-    cooldown_minutes: float = COOLDOWN_MINUTES,
-    max_per_hour: int = MAX_PER_HOUR,
-    session_rows: int = SESSION_ROWS,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Add ``rate_key`` and ``sent`` to alerts (unique alert_id, title, severity, ts, dedup_key, optional delivered)."""
+def suppress(alerts: DataFrame, cooldown_minutes: float = COOLDOWN_MINUTES, max_per_hour: int = MAX_PER_HOUR, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``rate_key`` and ``sent`` to alerts (alert_id, title, severity, ts, dedup_key, optional delivered).
+
+    Alerts of one moment are decided in the order of their ids, NULL first.  Sessions are hashed to partitions, sorted, and
+    reduced as the rows stream by: a long session takes time but holds only its recent sends.
+    """
     cooldown = int(cooldown_minutes * MINUTE)
     keyed = with_rate_key(alerts)
-    if "delivered" not in alerts.columns:
-        keyed = keyed.withColumn("delivered", F.lit(True))
-    rows = keyed.select("alert_id", "rate_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"), F.nullif(F.col("dedup_key"), F.lit("")).isNotNull().alias("_dedup"), "delivered")
+    delivered = F.coalesce("delivered", F.lit(False)) if "delivered" in alerts.columns else F.lit(True)
+    rows = keyed.select(
+        F.struct(*alerts.columns).alias("alert"), "alert_id", "rate_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"),
+        F.nullif(F.col("dedup_key"), F.lit("")).isNotNull().alias("_dedup"), delivered.alias("_delivered"),
+    )
     largest = largest_group(rows, ["rate_key"])
     sessions = _sessions(rows, max(cooldown, HOUR), None if largest <= hot_rows else hot_rows)
-    if largest <= session_rows or largest_group(sessions, ["rate_key", "_session"]) <= session_rows:
-        decided = _by_session(sessions, cooldown, max_per_hour)
-    else:
-        decided = _by_doubling(rows, cooldown, max_per_hour)
-    return keyed.join(decided, "alert_id").select(*alerts.columns, "rate_key", "sent")
-
 
-def _by_session(sessions: DataFrame, cooldown: int, cap: int) -> DataFrame:
-    """Sessions hashed to partitions, sorted, and reduced as the rows stream by: state is one session's recent sends."""
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, sent = None, []
-        for pdf in batches:
-            decisions = []
-            for key, session, now, is_dedup, ok in zip(pdf["rate_key"], pdf["_session"], pdf["_t"], pdf["_dedup"], pdf["delivered"]):
-                if (key, session) != current:
-                    current, sent = (key, session), []
-                made, sent = reduce_alerts(sent, (now,), (is_dedup,), (ok,), cooldown, cap)
-                decisions += made
-            yield pd.DataFrame({"alert_id": pdf["alert_id"], "sent": decisions})
-
-    kind = sessions.schema["alert_id"].dataType.simpleString()
-    keys = ["rate_key", "_session"]
-    return sessions.repartition(*keys).sortWithinPartitions(*keys, "_t", "alert_id").mapInPandas(run, f"alert_id {kind}, sent boolean")
-
-
-def _by_doubling(rows: DataFrame, cooldown: int, cap: int) -> DataFrame:
-    """Sent alerts as the chain that starts at each key's first alert and always jumps to the next admissible one.
-
-    Links are composed (1, 2, 4, ... jumps) until none is left, then the chain is collected from the
-    longest jumps down.  Joins are on unique (key, time) pairs, so a hot key spreads over all tasks.
-    """
-    able = rows.filter("delivered")
-    kinds = able.groupBy("rate_key").agg(F.min("_dedup").alias("lo"), F.max("_dedup").alias("hi"))
-    mixed = kinds.filter("lo <> hi").limit(1).count() > 0
-    undeduped = kinds.filter(~F.col("lo")).limit(1).count() > 0
-    if mixed or cap < 1 or cooldown < 1 or (undeduped and cap * cooldown < HOUR):
-        raise ValueError("a key has more alerts in one session than a task may hold, and its hourly cap can take effect; raise session_rows")
-    ensure_checkpoints(rows.sparkSession)
-    hold = F.when(F.col("_dedup"), max(cooldown, DEDUP_MINUTES * MINUTE)).otherwise(cooldown)
-    first = able.groupBy("rate_key", "_t").agg(F.min("alert_id").alias("alert_id"), F.max(hold).alias("_hold")).checkpoint()
-    events = first.select("rate_key", (-F.col("_t")).alias("_at"), F.lit(0).alias("_ask"), F.lit(None).cast("bigint").alias("src"), F.col("_t").alias("dst"))
-    asks = first.select(
-        "rate_key", (-(F.col("_t") + F.col("_hold"))).alias("_at"), F.lit(1).alias("_ask"), F.col("_t").alias("src"), F.lit(None).cast("bigint").alias("dst")
-    )
-    # Backwards in time the last alert seen is the next one at or after the asked moment.
-    found = forward_fill(events.unionByName(asks), ["dst"], ["rate_key"], ["_at", "_ask"])
-    links = found.filter("_ask = 1 AND dst IS NOT NULL").select("rate_key", "src", "dst").checkpoint()
-    jumps = []
-    while links.limit(1).count():
-        jumps.append(links)
-        onward = links.select("rate_key", F.col("src").alias("dst"), F.col("dst").alias("_far"))
-        links = links.join(onward, ["rate_key", "dst"]).select("rate_key", "src", F.col("_far").alias("dst")).checkpoint()
-    reached = first.groupBy("rate_key").agg(F.min("_t").alias("_t"))
-    for jump in reversed(jumps):
-        hops = reached.join(jump.withColumnRenamed("src", "_t"), ["rate_key", "_t"]).select("rate_key", F.col("dst").alias("_t"))
-        reached = reached.unionByName(hops).distinct().checkpoint()
-    chosen = reached.join(first, ["rate_key", "_t"]).select("alert_id", F.lit(True).alias("_hit"))
-    return rows.select("alert_id").join(chosen, "alert_id", "left").select("alert_id", F.coalesce("_hit", F.lit(False)).alias("sent"))
+        for batch in batches:
+            keys, session = batch["rate_key"].to_pylist(), batch["_session"].to_numpy()
+            times, dedup, able = (batch[c].to_numpy(zero_copy_only=False) for c in ("_t", "_dedup", "_delivered"))
+            ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or session[i] != session[i - 1]] + [len(keys)]
+            decisions, start = [], 0
+            for end in ends if keys else []:
+                if (keys[start], session[start]) != current:
+                    current, sent = (keys[start], session[start]), []
+                made, sent = reduce_alerts(sent, times[start:end], dedup[start:end], able[start:end], cooldown, max_per_hour)
+                decisions.append(made)
+                start = end
+            flags = np.concatenate(decisions) if decisions else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([batch["alert"], batch["rate_key"], pa.array(flags)], ["alert", "rate_key", "sent"])
+
+    dealt = sessions.repartition("rate_key", "_session").sortWithinPartitions("rate_key", "_session", "_t", "alert_id")
+    schema = T.StructType([rows.schema["alert"], rows.schema["rate_key"], T.StructField("sent", T.BooleanType())])
+    return dealt.drop("alert_id").mapInArrow(run, schema).select("alert.*", "rate_key", "sent")
 
 
 # ---------------------------------------------------------------- routing and messages
@@ -148,6 +116,10 @@ def route(alerts: DataFrame, explicit: str | None = None, known: Sequence[str] =
     return alerts.withColumn("channels", F.array_intersect(asked, F.array(*[F.lit(c) for c in known])))
 
 
+# The wording of alerts that their readers expect.
+MESSAGE = "Anomaly detected in %s.\nEntity: %s\nActual Value: %.2f\nExpected Value: %.2f\nDeviation: %.1f%%\nConfidence: %.1f%%\n\nRecommendation: %s"
+
+
 def _percent(value: Column) -> Column:
     return F.format_string("%.1f%%", value)
 
@@ -156,7 +128,7 @@ def anomaly_alerts(records: DataFrame) -> DataFrame:
     """Title, text, metadata and deduplication key for each anomaly record."""
     metric, entity = F.col("metric_name"), F.col("entity_id")
     text = F.format_string(
-        "Anomaly detected in %s.\nEntity: %s\nActual Value: %.2f\nExpected Value: %.2f\nDeviation: %.1f%%\nConfidence: %.1f%%\n\nRecommendation: %s",
+        MESSAGE,
         metric,
         entity,
         F.col("actual_value"),

@@ -54,7 +54,7 @@ def suppress_stream(alerts: DataFrame, cooldown_minutes: float = COOLDOWN_MINUTE
             return
         pdf = pd.concat(list(batches)).sort_values(["t", "alert_id"])
         sent = list(state.get[0]) if state.exists else []
-        decisions, sent = reduce_alerts(sent, pdf["t"], pdf["dedup"], pdf["delivered"], cooldown, max_per_hour)
+        decisions, sent = reduce_alerts(sent, pdf["t"].to_numpy(), pdf["dedup"].to_numpy(), pdf["delivered"].to_numpy(), cooldown, max_per_hour)
         if sent:
             state.update((sent,))
             expiry = (sent[-1] + gap) // 1000 + 1

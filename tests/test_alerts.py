@@ -58,16 +58,31 @@ def busy(spark):
     ).checkpoint()
 
 
-def test_long_sessions_by_doubling(busy):
-    plain = {r.alert_id: r.sent for r in al.suppress(busy).collect()}
-    doubled = {r.alert_id: r.sent for r in al.suppress(busy, session_rows=100, hot_rows=500).collect()}
-    assert doubled == plain
-    assert 200 < sum(plain.values()) < 1000
-
-
-def test_doubling_refuses_a_binding_cap(busy):
-    with pytest.raises(ValueError, match="hourly cap"):
-        al.suppress(busy, cooldown_minutes=1, session_rows=100)
+def _brute(rows, cooldown, cap):
+    """Alert by alert, with the whole list of sends."""
+    sent, out = {}, {}
+    for r in sorted(rows, key=lambda r: (r.ts, r.alert_id is not None, r.alert_id or 0)):
+        now, key = r.ts.timestamp() / 60, r.dedup_key or f"{r.title}_{r.severity}"
+        before = sent.setdefault(key, [])
+        ok = cap > 0 and (not before or now - before[-1] >= (max(cooldown, 60) if r.dedup_key else cooldown)) and sum(now - t < 60 for t in before) < cap
+        if ok:
+            before.append(now)
+        out[r.alert_id] = ok
+    return out
+
+
+@pytest.mark.parametrize("cooldown, cap", [(15, 20), (1, 20), (0, 3), (2.5, 7), (90, 1)])
+def test_long_sessions(busy, cooldown, cap):
+    expected = _brute(busy.collect(), cooldown, cap)
+    for hot in (500, 10**9):
+        assert {r.alert_id: r.sent for r in al.suppress(busy, cooldown, cap, hot_rows=hot).collect()} == expected
+    assert any(expected.values())
+
+
+def test_null_ids_and_mixed_keys(spark):
+    rows = [(None, "t", "info", START, "k"), (None, "t", "info", START, None), (1, "k", "x", START + dt.timedelta(minutes=1), "k")]
+    out = al.suppress(spark.createDataFrame(rows, SCHEMA))
+    assert out.count() == 3 and [r.sent for r in out.orderBy("ts", "rate_key").collect()] == [True, True, False]
 
 
 def test_stream_equals_batch(spark, busy):
