@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockflow.operators.ordered import same_keys
 from stockflow.operators.quantiles import exact_quantiles
 
 Spec = dict[str, "str | Callable[[Column], Column] | Sequence"]
@@ -30,9 +32,11 @@ def _named(agg: Spec) -> list[tuple[str, str, Callable[[Column], Column] | None,
     """(column, function name, column factory, output name); one function per column keeps the column's name."""
     out = []
     for column, spec in agg.items():
-        many = not (isinstance(spec, str) or callable(spec))
+        many, seen = not (isinstance(spec, str) or callable(spec)), Counter()
         for fn in spec if many else [spec]:
-            name = fn if isinstance(fn, str) else fn.__name__
+            name = fn if isinstance(fn, str) else getattr(fn, "__name__", "user")
+            seen[name] += 1
+            name += f"_{seen[name]}" if seen[name] > 1 else ""
             if isinstance(fn, str) and fn != "median" and fn not in FUNCTIONS:
                 raise ValueError(f"unknown aggregate {fn!r}")
             factory = None if fn == "median" else FUNCTIONS[fn] if isinstance(fn, str) else fn
@@ -40,17 +44,25 @@ def _named(agg: Spec) -> list[tuple[str, str, Callable[[Column], Column] | None,
     return out
 
 
+def _is_pandas(make: Callable) -> bool:
+    """Whether an aggregate is a user's pandas function rather than a maker of built-in columns."""
+    return hasattr(make, "evalType")
+
+
 def _grouped(df: DataFrame, keys: Sequence[str], agg: Spec) -> DataFrame:
     specs = _named(agg)
-    plain = [make(F.col(c)).alias(f"_out_{out}") for c, _, make, out in specs if make is not None]
+    plain = [make(F.col(c)).alias(f"_out_{out}") for c, _, make, out in specs if make is not None and not _is_pandas(make)]
+    users = [make(F.col(c)).alias(f"_out_{out}") for c, _, make, out in specs if make is not None and _is_pandas(make)]
     medians = [(c, out) for c, _, make, out in specs if make is None]
     result = df.groupBy(*keys).agg(*plain) if plain else df.select(*keys).distinct()
+    if users:  # Spark does not mix them with built-in aggregates
+        result = same_keys(result, df.groupBy(*keys).agg(*users), list(keys))
     if medians:
         columns = list(dict.fromkeys(c for c, _ in medians))
         quantiles = exact_quantiles(df, columns, [0.5], keys).select(
             *keys, *[F.get(F.col(c), F.lit(0)).alias(f"_out_{out}") for c, out in medians]
         )
-        result = result.join(quantiles, list(keys), "left")
+        result = same_keys(result, quantiles, list(keys), "left")
     return result.select(*keys, *[F.col(f"_out_{out}").alias(out) for _, _, _, out in specs])
 
 

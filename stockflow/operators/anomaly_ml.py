@@ -6,6 +6,7 @@ eigenvectors); everything that touches all rows is an aggregate or a projection.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockflow.functions.pvalues import chi2_quantile
 from stockflow.functions.scalars import numeric_columns
@@ -103,48 +105,48 @@ class Forest:
     depth: int
     psi: int
     offset: float = 0.0
+    fitted: DataFrame | None = None  # the rows it was fitted on, and the same rows with their scores
+    scored: DataFrame | None = None
 
 
 def fit_forest(df: DataFrame, scaling: Scaling, trees: int = TREES, sample: int = SAMPLE, contamination: float = CONTAMINATION) -> Forest:
-    """Grow ``trees`` trees in parallel, one task group per tree, each on ``min(sample, n)`` sampled rows.
+    """Grow ``trees`` trees in parallel, each on a sample of about ``min(sample, n)`` rows.
 
-    At most ``trees * sample`` rows are sampled (all of them when there are no more), put in a fixed
-    shuffled order, and each tree takes its own stretch.
+    Each row draws, by a hash of all its columns, how many trees take it (binomial, rate sample / n) and which ones, so every row has the
+    same chance in every tree, whatever the partitioning, and a tree's rows meet in one group of known size (rows equal in all
+    columns draw alike); at most ``trees`` small trees reach the driver.
     """
-    spark = df.sparkSession
-    wanted = trees * sample
-    vectors = df.select(F.array(*scaling.vector()).alias("x"))
-    n = scaling.rows
-    if n > wanted:
-        vectors = vectors.sample(False, min(1.0, 1.1 * wanted / n), SEED)
-    found = sorted(tuple(r.x) for r in vectors.limit(2 * wanted).collect())  # bounded by the sample size
-    rows = [found[i] for i in np.random.default_rng(SEED).permutation(len(found))][:wanted]
-    psi = min(sample, len(rows))
-    max_depth = int(np.ceil(np.log2(max(psi, 2))))
-    values = np.array(rows, dtype=float)
-    shared = spark.sparkContext.broadcast(values)
-
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data = shared.value
-        for batch in batches:
-            for tree in batch["tree"]:
-                if len(data) >= trees * psi:
-                    chosen = np.arange(tree * psi, (tree + 1) * psi)
-                else:
-                    chosen = np.random.default_rng([SEED, 1, tree]).choice(len(data), psi, replace=False)
-                yield _grow(tree, data[chosen], max_depth)
-
-    ids = spark.range(0, trees, 1, min(trees, spark.sparkContext.defaultParallelism)).select(F.col("id").cast("int").alias("tree"))
+    spark, n = df.sparkSession, scaling.rows
+    psi = min(sample, n)
+    rate, max_depth = psi / max(n, 1), int(np.ceil(np.log2(max(psi, 2))))
+    # Chances of at most 0, 1, 2 ... trees for a row.
+    chances = np.cumsum([math.comb(trees, k) * rate**k * (1 - rate) ** (trees - k) for k in range(trees)])
+    many = F.size(F.filter(F.array(*[F.lit(float(c)) for c in chances if c < 1 - 1e-15]), lambda c: c < F.col("u")))
+    if rate >= 1:
+        many = F.lit(trees)
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    drawn = df.select(F.array(*scaling.vector()).alias("x"), F.xxhash64(F.lit(SEED), *plain).alias("h"))
+    drawn = drawn.withColumn("u", F.pmod("h", F.lit(1 << 53)) / float(1 << 53)).withColumn("many", many).filter("many > 0")
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64("h", t).alias("k"), t.alias("tree"))))
+    drawn = drawn.select("x", F.explode(F.slice(order, F.lit(1), F.col("many"))["tree"]).alias("tree"))
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        data = np.array(sorted(map(tuple, rows["x"])), dtype=float)
+        return _grow(int(rows["tree"].iloc[0]), data, max_depth)
+
     schema = "tree int, feature array<int>, cut array<double>, path array<double>"
-    grown = ids.mapInPandas(grow, schema).toPandas().sort_values("tree")  # a fixed number of small trees
+    grown = drawn.groupBy("tree").applyInPandas(grow, schema).toPandas().sort_values("tree")
     arrays = tuple(np.array(grown[c].tolist(), dtype=t) for c, t in (("feature", np.intp), ("cut", float), ("path", float)))
     forest = Forest(scaling, arrays, max_depth, psi)
-    scored = df.select(F.array(*scaling.vector()).alias("x")).select(isolation_score(spark, forest, F.col("x")).alias("s"))
-    scored = materialize(scored, "scores")  # scoring is the costly pass: once
-    forest.offset = exact_quantiles(scored, ["s"], [1 - contamination], rows=n).first()["s"][0]
+    forest.fitted, forest.scored = df, _scored(df, forest)  # scoring is the costly pass: once
+    forest.offset = exact_quantiles(forest.scored, ["isolation"], [1 - contamination], rows=n).first()["isolation"][0]
     return forest
 
 
+def _scored(df: DataFrame, forest: Forest) -> DataFrame:
+    return materialize(df.withColumn("isolation", isolation_score(df.sparkSession, forest, F.array(*forest.scaling.vector()))), "scored")
+
+
 def isolation_score(spark, forest: Forest, vector: Column) -> Column:
     """2^(-E[path] / c(psi)): near 1 for points that are easy to isolate."""
     shared = spark.sparkContext.broadcast((forest.arrays, forest.depth, float(_path_norm(forest.psi))))
@@ -297,9 +299,10 @@ def fit_ml(df: DataFrame, columns: Sequence[str] | None = None, contamination: f
 def forest_detect(df: DataFrame, forest: Forest) -> DataFrame:
     """Add ``isolation`` (2^-path score), ``forest_flag`` and ``ml_score`` (min-max of the score over the rows).
 
-    The scored rows are written once, as their extremes are needed before the first result row.
+    The scored rows are written once, as their extremes are needed before the first result row; rows that the forest was fitted
+    on have been scored already.
     """
-    scored = materialize(df.withColumn("isolation", isolation_score(df.sparkSession, forest, F.array(*forest.scaling.vector()))), "scored")
+    scored = forest.scored if df is forest.fitted else _scored(df, forest)
     ends = scored.agg(F.min("isolation").alias("lo"), F.max("isolation").alias("hi")).first()
     lo, hi = ends["lo"] or 0.0, ends["hi"] or 0.0
     return scored.withColumns(

@@ -16,7 +16,7 @@ from stockflow.functions.pvalues import f_pvalue, normal_pvalue, normal_tail, t_
 from stockflow.functions.scalars import TINY, correlation, correlation_strength, nan_to_null, numeric_columns, ratio, skewness_label
 from stockflow.operators.ordered import running_total, same_keys
 from stockflow.operators.quantiles import exact_quantiles
-from stockflow.session import store
+from stockflow.session import scratch_path, store
 
 MIN_PAIRS = 10
 PAIRS_PER_PASS = 100
@@ -73,10 +73,12 @@ def _ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     values = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
     counted = df.select(F.explode(values).alias("p")).select("p.*").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
     placed = running_total(counted, "n", "upto", ["c"], ["v"])
-    ranks = store(placed.select("c", "v", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank")), "ranks")
+    # A folder for each column, so that the planner knows the size of each column's ranks.
+    path = scratch_path(df.sparkSession, "ranks")
+    placed.select("c", "v", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank")).write.partitionBy("c").parquet(path)
     out = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     for i in range(len(columns)):
-        own = ranks.filter(F.col("c") == i).select(F.col("v").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+        own = df.sparkSession.read.schema("v double, rank double").parquet(f"{path}/c={i}").toDF(f"v{i}", f"r{i}")
         out = out.join(own, f"v{i}")
     return out.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(columns)])
 
@@ -151,11 +153,28 @@ def with_position(series: DataFrame) -> DataFrame:
     return series.withColumn("i", F.row_number().over(w) - 1)
 
 
+def sign_sum(y: np.ndarray) -> int:
+    """Sum of the signs of y[j] - y[i] over all i < j."""
+    if len(y) < 2:
+        return 0
+    half = len(y) // 2
+    early, later = np.sort(y[:half]), y[half:]
+    smaller, not_greater = np.searchsorted(early, later, "left"), np.searchsorted(early, later, "right")
+    return int(smaller.sum() - (half - not_greater).sum()) + sign_sum(y[:half]) + sign_sum(later)
+
+
+def _pair_signs(ys: str) -> Column:
+    def signs(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda y: float(sign_sum(np.asarray(y, float))))
+
+    return F.pandas_udf(signs, "double")(ys)
+
+
 def mann_kendall(series: DataFrame) -> DataFrame:
     """Mann-Kendall trend test per entity of a (entity_id, ds, y) period series.
 
-    A series is bounded by its calendar periods; it is held as one sorted array and its pairs are
-    summed inside the row, never emitted.
+    A series is bounded by its calendar periods; it is held as one sorted array, and the signs of its pairs are counted by
+    sorted halves, in n log n steps.
     """
     arrays = series.filter("y IS NOT NULL").groupBy("entity_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ds", "y"))), lambda s: s["y"]).alias("ys")
@@ -164,10 +183,7 @@ def mann_kendall(series: DataFrame) -> DataFrame:
         series.filter("y IS NOT NULL").groupBy("entity_id", "y").count()
         .groupBy("entity_id").agg(F.sum(F.expr("count * (count - 1) * (2 * count + 5)")).alias("tie_term"))
     )
-    pair_signs = F.expr(
-        "aggregate(sequence(1, size(ys)), 0D, (s, i) ->"
-        " s + aggregate(slice(ys, i + 1, size(ys)), 0D, (t, later) -> t + signum(later - ys[i - 1])))"
-    )
+    pair_signs = _pair_signs("ys")
     n, s = F.col("n"), F.col("s")
     variance = (n * (n - 1) * (2 * n + 5) - F.col("tie_term")) / 18.0
     z = F.when(variance > 0, (s - F.signum(s)) / F.sqrt(variance)).otherwise(F.lit(0.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import time
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockflow.functions.scalars import nan_to_null
+from stockflow.operators.ordered import same_keys
 
 SNIFF_CHARS = 8192
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -18,12 +20,13 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 def csv_options(delimiter: str = ",") -> dict[str, str]:
     """Reader options shared by batch and stream.  ``.gz`` files are recognised by their suffix."""
-    return {"header": "true", "sep": delimiter, "encoding": "UTF-8", "mode": "PERMISSIVE", "timestampFormat": TIMESTAMP_FORMAT}
+    return {"header": "true", "sep": delimiter, "encoding": "UTF-8", "mode": "PERMISSIVE", "timestampFormat": TIMESTAMP_FORMAT, "quote": '"', "escape": '"'}
 
 
 def infer_delimiter(spark: SparkSession, path: str) -> str:
     """Delimiter guessed from the first lines of a file (a read of a few kilobytes)."""
-    head = "\n".join(r.value for r in spark.read.text(path).limit(50).collect())[:SNIFF_CHARS]
+    lines = spark.read.text(path).select(F.substring("value", 1, SNIFF_CHARS).alias("value")).limit(50).collect()
+    head = "\n".join(r.value for r in lines)[:SNIFF_CHARS]
     return csv.Sniffer().sniff(head, delimiters=",;\t|").delimiter
 
 
@@ -33,13 +36,23 @@ def csv_scan(
     schema: T.StructType | str | None = None,
     columns: Sequence[str] | None = None,
     filters: dict | None = None,
-    delimiter: str = ",",
+    delimiter: str | None = ",",
+    multi_line: bool = False,
+    bad_rows: str | None = None,
 ) -> DataFrame:
     """Rows of CSV files with a header; projection and equality filters reach the scan.
 
-    Without a schema the types are inferred, which costs an extra pass.  An unknown column raises.
+    Quotes inside quoted cells are doubled.  ``multi_line`` allows line breaks in quoted cells; a file is then one split.
+    Without a schema the types are inferred, which costs an extra pass; without a delimiter it is guessed from the first file's
+    head.  ``bad_rows`` (with a schema) adds a column of that name with the text of each row that has a cell of another type or a wrong
+    number of cells, NULL for good rows; ``count_bad_rows`` counts them.  An unknown column raises.
     """
-    reader = spark.read.options(**csv_options(delimiter))
+    if delimiter is None:
+        delimiter = infer_delimiter(spark, path if isinstance(path, str) else path[0])
+    reader = spark.read.options(**csv_options(delimiter)).option("multiLine", str(multi_line).lower())
+    if schema is not None and bad_rows:
+        schema = T.StructType([*(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields, T.StructField(bad_rows, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", bad_rows)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
     df = reader.csv(path)
     df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])  # a byte order mark sticks to the first inferred name
@@ -48,7 +61,12 @@ def csv_scan(
         raise ValueError(f"no such column: {unknown}")
     if filters:
         df = df.filter(reduce(Column.__and__, [F.col(c) == F.lit(v) for c, v in filters.items()]))
-    return nan_to_null(df.select(*columns) if columns else df)
+    return nan_to_null(df.select(*columns, *([bad_rows] if bad_rows and bad_rows not in columns else [])) if columns else df)
+
+
+def count_bad_rows(df: DataFrame, bad_rows: str) -> DataFrame:
+    """(records, bad_records) of a scan with a column of bad rows."""
+    return df.select(*df.columns).agg(F.count(F.lit(1)).alias("records"), F.count(bad_rows).alias("bad_records"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -57,15 +75,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("name", r"(\d+)\D*$", 1).cast("bigint").alias("page"), "body")
 
 
-def json_pages(pages: DataFrame, row_schema: str, by: Sequence[str] = (), max_pages: int | None = None) -> DataFrame:
-    """Rows of paged responses (``by``..., page, body) up to the first page that has no more.
-
-    A body is a list (then it is the last page) or an object with rows under ``results`` or ``data`` and
-    the flag ``has_next`` or a non-null ``next``.  An empty or unreadable page ends its source.
-    """
+def _parsed_pages(pages: DataFrame, row_schema: str) -> DataFrame:
     envelope = f"results ARRAY<STRUCT<{row_schema}>>, data ARRAY<STRUCT<{row_schema}>>, has_next BOOLEAN, next STRING"
     is_list = F.ltrim("body").startswith("[")
-    parsed = pages.withColumns(
+    return pages.withColumns(
         {
             "_list": F.when(is_list, F.from_json("body", f"ARRAY<STRUCT<{row_schema}>>")),
             "_object": F.when(~is_list, F.from_json("body", envelope)),
@@ -76,16 +89,34 @@ def json_pages(pages: DataFrame, row_schema: str, by: Sequence[str] = (), max_pa
             "_more": F.coalesce(F.coalesce(F.col("_object.has_next"), F.col("_object.next").isNotNull()), F.lit(False)),
         }
     )
+
+
+def unreadable_pages(pages: DataFrame, row_schema: str, by: Sequence[str] = ()) -> DataFrame:
+    """(``by``..., page, error) of pages whose body holds no list of rows."""
+    text = F.when(F.col("body").isNull(), "no body").otherwise(F.concat(F.lit("unreadable body: "), F.substring("body", 1, 80)))
+    return _parsed_pages(pages, row_schema).filter("_rows IS NULL").select(*by, "page", text.alias("error"))
+
+
+def json_pages(pages: DataFrame, row_schema: str, by: Sequence[str] = (), max_pages: int | None = None) -> DataFrame:
+    """Rows of paged responses (``by``..., page, body) up to the first page that has no more.
+
+    A body is a list (then it is the last page) or an object with rows under ``results`` or ``data`` and
+    the flag ``has_next`` or a non-null ``next``.  An empty or unreadable page ends its source (``unreadable_pages`` reports the
+    latter).  ``max_pages`` is a number of pages of each source, whatever their numbering.
+    """
+    parsed = _parsed_pages(pages, row_schema)
     filled = F.coalesce(F.size("_rows") > 0, F.lit(False))
-    ends = parsed.groupBy(*by).agg(F.min(F.when(~filled | ~F.col("_more"), F.col("page"))).alias("_end"))
+    numbers = F.sort_array(F.collect_set("page"))  # of one source's pages
+    last = F.lit(None).cast("bigint") if max_pages is None else F.coalesce(F.get(numbers, F.lit(max_pages - 1)), F.max("page")) if max_pages > 0 else F.min("page") - 1
+    ends = parsed.groupBy(*by).agg(F.min(F.when(~filled | ~F.col("_more"), F.col("page"))).alias("_end"), last.alias("_last"))
     if by:
-        kept = parsed.join(ends, list(by), "left")
-        limit = F.col("_end")
+        kept = same_keys(parsed, ends, list(by), "left")
+        limits = [F.col("_end"), F.col("_last")]
     else:
-        kept, limit = parsed, F.lit(ends.first()["_end"]).cast("bigint")
-    kept = kept.filter(limit.isNull() | (F.col("page") <= limit))
-    if max_pages is not None:
-        kept = kept.filter(F.col("page") <= max_pages)
+        found = ends.first()
+        kept, limits = parsed, [F.lit(found["_end"]).cast("bigint"), F.lit(found["_last"]).cast("bigint")]
+    for limit in limits:
+        kept = kept.filter(limit.isNull() | (F.col("page") <= limit))
     return kept.select(*by, "page", F.explode("_rows").alias("_row")).select(*by, "page", "_row.*")
 
 
@@ -93,7 +124,7 @@ def sql_scan(spark: SparkSession, query: str, params: dict | None = None, views:
     """Result of a SQL text with named ``:parameters``; an empty result keeps its columns."""
     for name, frame in (views or {}).items():
         frame.createOrReplaceTempView(name)
-    return spark.sql(query, args=params or {})
+    return nan_to_null(spark.sql(query, args=params or {}))
 
 
 def jdbc_scan(spark: SparkSession, url: str, table: str, partition_column: str, bounds: tuple[int, int], partitions: int, **options: str) -> DataFrame:
@@ -135,7 +166,12 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(watch, F.count(F.lit(1)).alias("records_extracted")), watch
 
 
-def scan_metrics(df: DataFrame) -> DataFrame:
-    """(records_extracted, files, bytes_processed) of a file-based frame."""
-    files = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("size"))
-    return files.agg(F.sum("n").alias("records_extracted"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes_processed"))
+def scan_metrics(df: DataFrame, bad_rows: str | None = None) -> DataFrame:
+    """(records_extracted, files, bytes_processed, errors, elapsed_seconds) of a file-based frame; it is read once, here."""
+    began = time.monotonic()
+    errors = F.lit(0).cast("bigint") if bad_rows is None else F.count(bad_rows)
+    files = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("size"), errors.alias("bad"))
+    totals = files.agg(F.sum("n").alias("records_extracted"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes_processed"), F.sum("bad").alias("errors"))
+    schema, row = totals.schema, totals.first()
+    found = df.sparkSession.createDataFrame([tuple(row)], schema)
+    return found.withColumn("elapsed_seconds", F.lit(time.monotonic() - began))
