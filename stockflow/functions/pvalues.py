@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+STEPS = 100_000  # of the continued fraction; fewer than a hundred are usual
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz method)."""
     tiny = 1e-300
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     total = d
-    for m in range(1, 500):
+    for m in range(1, STEPS):
         for top in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -29,32 +32,49 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             total *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return total
+            return total
+    raise ArithmeticError(f"the incomplete beta function does not converge at a={a}, b={b}, x={x}")
+
+
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """ln(Gamma(a + b) / Gamma(a)); for a large ``a`` by Stirling's series, where the two logarithms would cancel."""
+    if a < 1e4:
+        return math.lgamma(a + b) - math.lgamma(a)
+    end = a + b
+    series = (1 / end - 1 / a) / 12 - (1 / end**3 - 1 / a**3) / 360
+    return (a - 0.5) * math.log1p(b / a) + b * math.log(end) - b + series
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
-    if x <= 0 or x >= 1:
+def incomplete_beta(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularised incomplete beta function I_x(a, b); ``y`` is 1 - x, for an x too near 1 to give it."""
+    y = 1.0 - x if y is None else y
+    if x <= 0 or y <= 0:
         return 0.0 if x <= 0 else 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
+    log_x, log_y = (math.log1p(-y) if y < 0.5 else math.log(x)), (math.log1p(-x) if x < 0.5 else math.log(y))
+    small, large = sorted((a, b))
+    front = math.exp(_log_gamma_ratio(large, small) - math.lgamma(small) + a * log_x + b * log_y)
+    # Near x = 1 the first fraction loses its digits; the second one keeps them as long as the tail is not vanishing.
+    if x < (a + 1) / (a + b + 2) and not (y < 1e-3 and a * y < 700):
         return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - front * _beta_fraction(b, a, y) / b
 
 
 def t_tail(t: float, df: float) -> float:
     """Two-sided p-value of Student's t."""
     if not (df > 0) or math.isnan(t):
         return math.nan
-    return incomplete_beta(df / 2, 0.5, df / (df + t * t))
+    if math.isinf(t):
+        return 0.0
+    return incomplete_beta(df / 2, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def f_tail(f: float, df1: float, df2: float) -> float:
     """Upper tail of the F distribution."""
     if not (df1 > 0 and df2 > 0) or math.isnan(f):
         return math.nan
-    return incomplete_beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * f))
+    if math.isinf(f):
+        return 0.0
+    return incomplete_beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * f), df1 * f / (df2 + df1 * f))
 
 
 def normal_tail(z: float) -> float:
