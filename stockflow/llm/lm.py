@@ -7,8 +7,9 @@ times (the count of its second word) / (the number of words).  A document's scor
 The word counts are a table of at most ``VOCABULARY`` rows, and the counts of bigrams of the ``FREQUENT`` most frequent words one of at most
 FREQUENT ** 2; both sizes are fixed, so these tables are shipped to tasks, which score such bigrams on the spot.  (A pair that a third of all
 rows hold is one of frequent words.  Any other bigram has a word outside that list and at most 1 / FREQUENT of the words.)  All other bigrams of a
-document are exploded with their frequency in it, dealt by hash to partitions, in lists, counted there over all rows, joined with those counts,
-and summed for each document.  The number of partitions follows the number of words, so a partition's size does not grow with the corpus.
+document are exploded with their frequency in it and dealt by hash to partitions, in lists that hold a batch of documents; counted there over
+all rows; joined with those counts; and summed for the documents of each batch.  The number of partitions follows the number of words, so a
+partition's size does not grow with the corpus, and a batch's size is fixed.
 
 Defined cases: null texts are read as empty; texts of less than two words have score 0 and no bigrams; each row is a document, whatever its
 id, and copies of a row see each other's bigrams; an empty table gives an empty result; columns beside id and text are ignored.
@@ -103,6 +104,11 @@ def frequent_pairs(texts: DataFrame, rank: np.ndarray) -> np.ndarray:
     return _summed(texts, FREQUENT**2, count)
 
 
+def one_list(values: pa.Array) -> pa.Array:
+    """A list column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)
@@ -172,40 +178,46 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 pa.array(seen if mine else seen[:0]),
                 pa.array(base if mine else base[:0]),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), row.slice(0, 1), *map(one_list, lists)], names)
 
-    names = ["part", "rows", "many", "low", "high", "n", "own_rows", "own_ids", "own_words", "own_seen", "own_base"]
-    schema = f"part int, rows array<long>, many array<int>, low array<int>, high array<tinyint>, n array<int>, own_rows array<long>, own_ids array<{kind}>, own_words array<long>, own_seen array<long>, own_base array<double>"
+    names = ["part", "batch", "rows", "many", "low", "high", "n", "own_rows", "own_ids", "own_words", "own_seen", "own_base"]
+    own = f"own_rows array<long>, own_ids array<{kind}>, own_words array<long>, own_seen array<long>, own_base array<double>"
+    schema = f"part int, batch long, rows array<long>, many array<int>, low array<int>, high array<tinyint>, n array<int>, {own}"
 
     def count(group: pa.Table) -> pa.Table:
+        """The count table of a hash partition, joined back to its lists: of each list, what its documents gain."""
         logs = shared.value[0]
-        flat = {c: group[c].combine_chunks().flatten() for c in names[1:]}
-        row = np.repeat(flat["rows"].to_numpy(), flat["many"].to_numpy())
-        gram = flat["high"].to_numpy().view(np.uint8).astype(np.int64) << 32 | flat["low"].to_numpy().view(np.uint32)
-        n = flat["n"].to_numpy().astype(np.int64)
-        # The count table of this hash partition, joined back to its rows.
+        flat = {c: group[c].combine_chunks().flatten().to_numpy() for c in ("rows", "many", "low", "high", "n")}
+        row = np.repeat(flat["rows"], flat["many"])
+        gram = flat["high"].view(np.uint8).astype(np.int64) << 32 | flat["low"].view(np.uint32)
+        n = flat["n"].astype(np.int64)
+        ends = np.cumsum([0, *(len(x) for x in group["n"].combine_chunks())])
         _, which = np.unique(gram, return_inverse=True)
         elsewhere = np.bincount(which, n).astype(np.int64)[which] - n if len(n) else n
-        met = elsewhere > 0
-        row, gram, n, elsewhere = row[met], gram[met], n[met], elsewhere[met]
-        gain = n * (np.log(elsewhere) - logs[gram >> 20] - unseen - logs[gram & (VOCABULARY - 1)])
-        docs_, which = np.unique(row, return_inverse=True)
-        own = len(flat["own_rows"])
-        none = pa.nulls(len(docs_), flat["own_ids"].type)
-        return pa.table(
-            {
-                "row": pa.concat_arrays([pa.array(docs_, pa.int64()), flat["own_rows"].cast(pa.int64())]),
-                "doc_id": pa.concat_arrays([none, flat["own_ids"]]),
-                "n_words": pa.concat_arrays([pa.nulls(len(docs_), pa.int64()), flat["own_words"]]),
-                "n_seen": pa.array(np.concatenate([np.bincount(which, n, len(docs_)).astype(np.int64), flat["own_seen"].to_numpy()])),
-                "log_score": pa.array(np.concatenate([np.bincount(which, gain, len(docs_)), flat["own_base"].to_numpy()])),
-            }
-        ).select(["row", "doc_id", "n_words", "n_seen", "log_score"])
+        gain = np.where(elsewhere > 0, n * (np.log(np.maximum(elsewhere, 1)) - logs[gram >> 20] - unseen - logs[gram & (VOCABULARY - 1)]), 0.0)
+        met = np.where(elsewhere > 0, n, 0)
+        lists: list[list] = [[], [], []]
+        for a, b in zip(ends[:-1], ends[1:]):
+            docs_, place = np.unique(row[a:b], return_inverse=True)
+            for into, values in zip(lists, (docs_, np.bincount(place, met[a:b], len(docs_)).astype(np.int64), np.bincount(place, gain[a:b], len(docs_)))):
+                into.append(values)
+        arrays = [pa.array(x, pa.list_(k)) for x, k in zip(lists, (pa.int64(), pa.int64(), pa.float64()))]
+        return pa.table([group["batch"], *arrays, *(group[c] for c in names[-5:])], names=["batch", "rows", "seen", "gain", *names[-5:]])
+
+    def total(group: pa.Table) -> pa.Table:
+        """The sums of the documents of one batch over its lists."""
+        flat = {c: group[c].combine_chunks().flatten() for c in group.column_names[1:]}
+        order = np.argsort(flat["own_rows"].to_numpy())
+        known = flat["own_rows"].to_numpy()[order]
+        at = np.searchsorted(known, flat["rows"].to_numpy())
+        seen = np.bincount(at, flat["seen"].to_numpy(), len(known)).astype(np.int64) + flat["own_seen"].to_numpy()[order]
+        score = np.bincount(at, flat["gain"].to_numpy(), len(known)) + flat["own_base"].to_numpy()[order]
+        taken = pa.array(order)
+        return pa.table([flat["own_ids"].take(taken), flat["own_words"].take(taken), pa.array(seen), pa.array(score)], names=["doc_id", "n_words", "n_seen", "log_score"])
 
     lists = rows.mapInArrow(explode, schema)
-    counted = lists.groupBy("part").applyInArrow(count, f"row long, doc_id {kind}, n_words long, n_seen long, log_score double")
-    summed = counted.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.sum("log_score").alias("log_score"))
-    return summed.select("doc_id", "n_words", "n_seen", "log_score")
+    counted = lists.groupBy("part").applyInArrow(count, f"batch long, rows array<long>, seen array<long>, gain array<double>, {own}")
+    return counted.groupBy("batch").applyInArrow(total, f"doc_id {kind}, n_words long, n_seen long, log_score double")
 
 
 def query_rows(docs: DataFrame) -> DataFrame:
