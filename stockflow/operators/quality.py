@@ -34,7 +34,16 @@ def product_rules(categories: Sequence[str] = CATEGORIES) -> Rules:
     }
 
 
+def stock_level_rules() -> Rules:
+    """Rules on a product's ordering figures; the weight may be missing."""
+    return {
+        **_non_negative("minimum_order_quantity", "reorder_point", "safety_stock_level"),
+        "weight_kg_positive": F.col("weight_kg").isNull() | (F.col("weight_kg") > 0),
+    }
+
+
 def inventory_rules(locations: Sequence[str] = LOCATIONS, quantities: Sequence[str] = ("quantity_on_hand", "quantity_allocated", "quantity_in_transit")) -> Rules:
+    """Rules on a stock row; ``quantities`` may name ``quantity_backordered`` as well."""
     return {"warehouse_known": F.col("warehouse_location").isin(list(locations)), **_non_negative(*quantities)}
 
 
@@ -53,12 +62,14 @@ def currency_rule() -> Rules:
     return {"currency_code": F.length("currency") == 3}
 
 
-def supplier_rules() -> Rules:
+def supplier_rules(scores: str | None = None) -> Rules:
+    """Rules on a supplier row; with ``scores="all"`` also on the variance of lead times and on responsiveness."""
     return {
         "name_present": F.length("supplier_name") >= 1,
         **_percent("on_time_delivery_rate", "quality_acceptance_rate", "cost_competitiveness_score"),
         **_non_negative("average_lead_time_days"),
         **_positive("total_orders", "total_value"),
+        **({} if scores is None else {**_non_negative("lead_time_variance"), **_percent("responsiveness_score")}),
     }
 
 
@@ -134,6 +145,13 @@ def quality_checks(df: DataFrame, table_name: str, as_of: Column, completeness:
     return totals.filter(n > 0).select(F.lit(table_name).alias("table_name"), F.explode(rows).alias("c")).select("table_name", "c.*")
 
 
+def append_quality_log(checks: DataFrame, path: str, checked_at: Column) -> None:
+    """Append the checks, with their counts as a map of details and the time of checking, to a table."""
+    counts = ("failed_records", "total_records")
+    details = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(c).cast("string")) for c in counts]))
+    checks.withColumns({"details": details, "checked_at": checked_at.cast("timestamp")}).write.mode("append").parquet(path)
+
+
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Key values that occur more than once, with their number of rows."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")

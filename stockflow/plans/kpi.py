@@ -44,6 +44,15 @@ def overview(sales: DataFrame, on_time_days: int = 60) -> DataFrame:
     )
 
 
+def turnover(sales: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Units sold per month against the stock on hand, by the year, and the change to the month before (one row per month)."""
+    on_hand = inventory.agg(F.sum("quantity_on_hand")).first()[0]
+    months = sales.groupBy(F.date_format("order_date", "yyyy-MM").alias("month")).agg(F.sum("quantity").alias("units"))
+    rate = ratio(F.col("units") * 12, F.lit(on_hand))
+    before = F.lag("_rate").over(Window.orderBy("month"))
+    return months.withColumn("_rate", rate).select("month", "units", F.round("_rate", 6).alias("turnover"), F.round(F.col("_rate") - before, 6).alias("turnover_change"))
+
+
 def revenue_trend(daily: DataFrame, window: int = 7) -> DataFrame:
     """Daily revenue per warehouse with its average over ``window`` recorded days (NULL until the window is full)."""
     frame = Window.partitionBy("entity_id").orderBy("ds").rowsBetween(-(window - 1), 0)

@@ -66,7 +66,9 @@ def csv_scan(
 
 def count_bad_rows(df: DataFrame, bad_rows: str) -> DataFrame:
     """(records, bad_records) of a scan with a column of bad rows."""
-    return df.select(*df.columns).agg(F.count(F.lit(1)).alias("records"), F.count(bad_rows).alias("bad_records"))
+    # The cells must be read for a row to be found bad.
+    read = F.xxhash64(*[c for c in df.columns if c != bad_rows]) >= F.lit(-(2**63))
+    return df.agg(F.count_if(read).alias("records"), F.count_if(read & F.col(bad_rows).isNotNull()).alias("bad_records"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
