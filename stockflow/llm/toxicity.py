@@ -27,6 +27,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,7 +205,8 @@ def lexicon(taught: DataFrame) -> dict[str, int]:
     # A place (entry between two neighbours) counts once for each label, however many copies hold it.
     places = taught.select("text", "y").mapInArrow(entries, "entry string, near long, y int").groupBy("entry", "near").agg(F.max("y").alias("toxic"), F.min("y").alias("least"))
     totals = taught.agg(F.sum("y").alias("toxic"), F.count("*").alias("rows")).first()
-    ratio = (totals["rows"] - totals["toxic"] + 1) / (totals["toxic"] + 1)
+    toxic = totals["toxic"] or 0
+    ratio = (totals["rows"] - toxic + 1) / (toxic + 1)
     odds = (F.col("toxic") + 0.1) / (F.col("clean") + 0.1) * F.lit(float(ratio))
     found = places.groupBy("entry").agg(F.sum("toxic").cast("double").alias("toxic"), F.sum(1 - F.col("least")).cast("double").alias("clean"))
     found = found.withColumn("odds", odds).filter((F.col("toxic") >= SUPPORT) & (F.col("odds") >= WEAK * ratio))
@@ -213,8 +215,6 @@ def lexicon(taught: DataFrame) -> dict[str, int]:
 
 
 def hash_pair(a: str, b: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(f"{a} {b}") >> 1
 
 
