@@ -10,9 +10,9 @@ Chunks are compared by 128-bit BLAKE2b digests.  A chunk is repeated if two docu
 make a passage; one of at least ``WORDS`` words is reported (a passage loses up to a chunk or two at its ends, so this finds shared
 passages of over 50 words).  Of the chunks in reported passages the first copy, by id and place, stays and the others can be dropped.
 
-Defined cases: null and empty texts have no chunks; rows equal in id and text are one document, rows of equal ids and other texts are
-different ones; a null id comes first; repeats inside one document only are no repeats; an empty table gives an empty result; columns
-of the input stay in ``dedup``, with ``text`` replaced.
+Defined cases: ids are integers; null and empty texts have no chunks; rows of equal ids are one document, whose texts are cut each, and null ids
+are one id before all others; repeats inside one document only are no repeats; an empty table gives an empty result; columns of the
+input stay in ``dedup``, with ``text`` replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from stockflow.llm.frames import saved
 
 REACH, MOST, MEMORY = 20, 256, 16
 WORDS = 25
-#: Bytes hashed at a time.
-BLOCK = 1 << 22
+#: Bytes hashed at a time, and what stands for a null id.
+BLOCK, NO_ID = 1 << 22, -(2**63)
 GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -86,58 +86,65 @@ def cuts(text: bytes) -> list[int]:
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, start, size, words, hi, lo) of each chunk; ``mark`` is the hash of the text."""
+    """(doc_id, mark, place, hi, lo) of each chunk; ``mark`` is the hash of the text, ``place`` packs start, size and words (``unpacked``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "start", "size", "words", "hi", "lo"]
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
+            rows: list[int] = []
+            places: list[int] = []
             digests: list[bytes] = []
 
             def made() -> pa.RecordBatch:
-                row = pa.array(columns[0], pa.int64())
                 both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                arrays = [batch["doc_id"].take(row), batch["mark"].take(row), *(pa.array(c, pa.int32()) for c in columns[1:]), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
-                for c in columns:
+                row = pa.array(rows, pa.int64())
+                arrays = [batch["doc_id"].take(row), batch["mark"].take(row), pa.array(places, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+                for c in (rows, places, digests):
                     c.clear()
-                digests.clear()
-                return pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", *names[1:]])
+                return pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", "place", "hi", "lo"])
 
             for i, t in enumerate(batch["text"]):
                 data, start = (t.as_py() or "").encode(), 0
                 for end in cuts(data):
                     piece = data[start:end]
-                    for c, v in zip(columns, (i, start, end - start, len(piece.split()))):
-                        c.append(v)
+                    rows.append(i)
+                    places.append(start << 20 | (end - start) << 10 | len(piece.split()))
                     digests.append(hashlib.blake2b(piece, digest_size=16).digest())
                     start = end
-                    if len(digests) == 1 << 16:
+                    if len(digests) == 1 << 15:
                         yield made()
             if digests:
                 yield made()
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[f"`{key}`"].alias("doc_id"), F.xxhash64(docs[f"`{text}`"]).alias("mark"), docs[f"`{text}`"].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, mark long, start int, size int, words int, hi long, lo long")
+    rows = docs.select(F.coalesce(docs[f"`{key}`"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(docs[f"`{text}`"]).alias("mark"), docs[f"`{text}`"].alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, place long, hi long, lo long")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """Chunks with start, size (in bytes) and words instead of their packed place."""
+    place = F.col("place")
+    parts = {"start": F.shiftright(place, 20), "size": F.shiftright(place, 10).bitwiseAND(1023), "words": place.bitwiseAND(1023)}
+    return rows.withColumns(parts).drop("place")
 
 
 def repeated(rows: DataFrame, words: int = WORDS) -> DataFrame:
     """The chunks inside reported passages: (doc_id, mark, passage, start, size, words, first_doc, stays).
 
-    ``passage`` numbers the passages of a document; ``stays`` tells the first copy of a chunk.
+    ``passage`` numbers the passages of a text; ``stays`` tells the first copy of a chunk.
     """
-    who = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark")
-    held = rows.groupBy("hi", "lo").agg(F.min(F.struct(who.alias("who"), "start")).alias("first"), F.max(who).alias("last"))
-    shared = held.filter(F.col("first.who") != F.col("last")).select("hi", "lo", F.col("first.who.doc_id").alias("first_doc"), F.col("first.who.mark").alias("first_mark"), F.col("first.start").alias("first_start"))
-    # Equal rows give the same chunks twice: one is enough.
-    met = rows.join(shared, ["hi", "lo"]).drop("hi", "lo")
+    held = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    shared = held.filter("first_doc <> last_doc").select("hi", "lo", "first_doc")
+    # Documents are dealt once; all windows below run inside a document.
+    met = unpacked(rows.join(shared, ["hi", "lo"])).repartition("doc_id")
     order = Window.partitionBy("doc_id", "mark").orderBy("start")
-    met = met.withColumn("before", F.lag(F.col("start") + F.col("size")).over(order)).withColumn("twin", F.row_number().over(Window.partitionBy("doc_id", "mark", "start").orderBy("size")))
-    met = met.filter("twin = 1").withColumn("new", (F.coalesce("before", F.lit(-1)) < F.col("start")).cast("int"))
-    met = met.withColumn("passage", F.sum("new").over(order))
+    copies = Window.partitionBy("doc_id", "hi", "lo").orderBy("mark", "start")
+    # Equal rows give the same chunks twice: one is enough.
+    met = met.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id", "mark", "start").orderBy("size"))).filter("twin = 1")
+    met = met.withColumn("stays", (F.col("doc_id") == F.col("first_doc")) & (F.row_number().over(copies) == 1))
+    before = F.lag(F.col("start") + F.col("size")).over(order)
+    met = met.withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("start")).cast("int")).withColumn("passage", F.sum("new").over(order))
     met = met.withColumn("total", F.sum("words").over(Window.partitionBy("doc_id", "mark", "passage"))).filter(F.col("total") >= words)
-    stays = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("mark") == F.col("first_mark")) & (F.col("start") == F.col("first_start"))
-    return met.select("doc_id", "mark", "passage", "start", "size", "words", "first_doc", stays.alias("stays"))
+    known = [F.nullif(F.col(c), F.lit(NO_ID)).alias(c) for c in ("doc_id", "first_doc")]
+    return met.select(known[0], "mark", "passage", "start", "size", "words", known[1], "stays")
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:

@@ -30,11 +30,10 @@ def _data():
 def _brute(data):
     """Spans of each document by (id, text), from sets of pieces."""
     docs = {(i, t or "") for i, t, _ in data}
-    order = lambda d: (d[0] is not None, d[0] or 0, d[1])
     holders = defaultdict(set)
     for d in docs:
         for _, p in _pieces(d[1]):
-            holders[p].add(d)
+            holders[p].add(d[0])
     spans = defaultdict(list)
     for d in docs:
         run = []
