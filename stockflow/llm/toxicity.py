@@ -8,7 +8,7 @@ puts out (plain, aimed, denied, quoted insults; threats) is counted by clause, a
 labelled rows turns the counts of a document into a probability.
 
 Insults are learned as word beginnings of 3 to 6 letters and as whole words.  Their support is the number of different
-neighbours they are found between, not the number of rows, so that copies of one toxic text teach one fact.
+neighbours they are found between, not the number of rows, so that copies of one toxic text teach one fact; a beginning counts if several toxic words have it.
 
 Bounds on learning: ``ROWS`` labelled rows, dealt by a hash of their key, and the ``ENTRIES`` best entries.  Scores use the text
 alone and are made for every row.
@@ -195,21 +195,27 @@ def lexicon(taught: DataFrame) -> dict[str, int]:
                 words = [w for w in _TOKEN.findall(text.as_py().lower()) if w[0].isalpha()]
                 for i, w in enumerate(words):
                     near = hash_pair(words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")
-                    seen.update((w[:k], near) for k in range(3, min(len(w), 6) + 1))
-                    seen.add((w + "$", near))
+                    own = hash_pair(w, "")
+                    seen.update((w[:k], near, own) for k in range(3, min(len(w), 6) + 1))
+                    seen.add((w + "$", near, own))
                 rows = sorted(seen)
                 for i in range(0, len(rows), BLOCK):
-                    entry, near = zip(*rows[i : i + BLOCK])
-                    yield pa.RecordBatch.from_arrays([pa.array(entry, pa.string()), pa.array(near, pa.int64()), pa.array([y.as_py()] * len(entry), pa.int32())], ["entry", "near", "y"])
+                    entry, near, word = zip(*rows[i : i + BLOCK])
+                    arrays = [pa.array(entry, pa.string()), pa.array(near, pa.int64()), pa.array(word, pa.int64()), pa.array([y.as_py()] * len(entry), pa.int32())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["entry", "near", "word", "y"])
 
     # A place (entry between two neighbours) counts once for each label, however many copies hold it.
-    places = taught.select("text", "y").mapInArrow(entries, "entry string, near long, y int").groupBy("entry", "near").agg(F.max("y").alias("toxic"), F.min("y").alias("least"))
+    places = taught.select("text", "y").mapInArrow(entries, "entry string, near long, word long, y int").groupBy("entry", "near").agg(F.max("y").alias("toxic"), F.min("y").alias("least"), F.min("word").alias("word"))
     totals = taught.agg(F.sum("y").alias("toxic"), F.count("*").alias("rows")).first()
     toxic = totals["toxic"] or 0
     ratio = (totals["rows"] - toxic + 1) / (toxic + 1)
     odds = (F.col("toxic") + 0.1) / (F.col("clean") + 0.1) * F.lit(float(ratio))
-    found = places.groupBy("entry").agg(F.sum("toxic").cast("double").alias("toxic"), F.sum(1 - F.col("least")).cast("double").alias("clean"))
-    found = found.withColumn("odds", odds).filter((F.col("toxic") >= SUPPORT) & (F.col("odds") >= WEAK * ratio))
+    word = F.when(F.col("toxic") == 1, F.col("word"))
+    found = places.groupBy("entry").agg(
+        F.sum("toxic").cast("double").alias("toxic"), F.sum(1 - F.col("least")).cast("double").alias("clean"), (F.min(word) < F.max(word)).alias("many")
+    )
+    # A beginning that only one word has says no more than the word.
+    found = found.filter("many OR endswith(entry, '$')").withColumn("odds", odds).filter((F.col("toxic") >= SUPPORT) & (F.col("odds") >= WEAK * ratio))
     best = found.orderBy(F.desc(F.col("toxic") * F.log("odds")), "entry").limit(ENTRIES).collect()
     return {r["entry"]: 2 if r["odds"] >= STRONG * ratio and r["toxic"] >= 2 * SUPPORT else 1 for r in best}
 
