@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import recommendation, severity
 from stockflow.operators import anomaly_statistical as stat
+from stockflow.operators.protocols import Detector
 from stockflow.plans.schemas import FACTOR
 
 # Detector weights, and the weight of a detector that is not listed.
@@ -31,6 +32,18 @@ def ensemble_score(df: DataFrame, scores: dict[str, str], rescale: bool = False)
     return df.withColumn("ensemble_score", total / present if rescale else total)
 
 
+def user_ensemble(df: DataFrame, detectors: dict[str, Detector], rescale: bool = True) -> DataFrame:
+    """Fit and score each detector on ``df`` and add ``{name}_score`` and ``ensemble_score``.
+
+    A detector's ``score`` adds ``is_anomaly`` and ``anomaly_score``; names of the standard detectors carry their weights.
+    """
+    out, scores = df, {}
+    for name, detector in detectors.items():
+        out = detector.score(out, detector.fit(df)).drop("is_anomaly").withColumnRenamed("anomaly_score", f"{name}_score")
+        scores[name] = f"{name}_score"
+    return ensemble_score(out, scores, rescale)
+
+
 def contributing_factors(columns: Sequence[str], stats: dict[str, dict[str, Column]], top: int = TOP_FACTORS) -> Column:
     """The ``top`` of the columns that deviate by more than 1.5 sigma, the strongest first; no shuffle."""
     candidates = []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import TINY
 from stockflow.operators.anomaly_statistical import capped
-from stockflow.operators.ordered import over_entities
+from stockflow.operators.ordered import HOT_ROWS, over_entities
 
 WINDOW = 30
 SEASON = 7
@@ -54,11 +54,11 @@ def _rolling(value: Column, frame) -> tuple[Column, Column]:
 
 
 def rolling_scores(
-    df: DataFrame, columns: Sequence[str], entity: str = "entity_id", order: Sequence[str] = ("ds",), window: int = WINDOW, hot_rows: int | None = None
+    df: DataFrame, columns: Sequence[str], entity: str = "entity_id", order: Sequence[str] = ("ds",), window: int = WINDOW, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Add per column the trailing rolling z-score ``{c}_rolling_z`` and the spike height ``{c}_height``.
 
-    ``hot_rows=None`` is for calendar series; give a limit for row-level data whose entities may be large.
+    Entities of more than ``hot_rows`` rows are cut into segments; ``hot_rows=None`` states that there are none (calendar series).
     """
 
     def make(w):

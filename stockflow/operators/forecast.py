@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockflow.functions.scalars import Z80, Z95, correlation, ratio
+from stockflow.operators.protocols import Forecaster
 
 SEASON = 7
 HORIZON = 30
@@ -320,6 +321,11 @@ def ensemble(models: dict[str, DataFrame]) -> DataFrame:
     return _with_bounds(mixed.withColumn("_spread", spread), F.col("p"), F.col("_spread"))
 
 
+def user_ensemble(series: DataFrame, forecasters: dict[str, Forecaster], horizon: int = HORIZON) -> DataFrame:
+    """``ensemble`` of any forecasters; names of the standard models carry their weights."""
+    return ensemble({name: forecaster.forecast(series, horizon) for name, forecaster in forecasters.items()})
+
+
 def forecast_ensemble(series: DataFrame, horizon: int = HORIZON, params: DataFrame | Sequence[float] | None = START, p: int = 3) -> DataFrame:
     return ensemble(
         {

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 
 class Detector(Protocol):
-    """``fit`` reads history once; ``score`` adds a flag and a score from 0 to 1 to other rows, without changing them."""
+    """``fit`` reads history once; ``score`` adds ``is_anomaly`` and ``anomaly_score`` (0 to 1) to rows, without changing them."""
 
     def fit(self, df: DataFrame) -> Any: ...
 

@@ -27,13 +27,22 @@ def alert_suppress(spark, d):
     return al.suppress(v.alerts(spark, d)).select("alert_id", "rate_key", "ts", "sent")
 
 
+def landed(alerts, folder: str, files: int = 4):
+    """Alerts as files of a folder, written one after the other in time order."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = alerts.agg(F.min(at), F.max(at)).first()
+    step = ((high or 0) - (low or 0)) // files + 1
+    for i in range(files):
+        alerts.filter(at.between((low or 0) + i * step, (low or 0) + (i + 1) * step - 1)).coalesce(1).write.mode("append").parquet(folder)
+
+
 @query("alert_stream", sql_with("alerts", f"WITH {CHAIN} SELECT alert_id, rate_key, ts, sent FROM decided", recursive=True))
 def alert_stream(spark, d):
-    # Landed as time-ordered files; each trigger takes some of them.
+    # Each trigger takes one file: what is carried from one to the next decides.
     alerts = v.alerts(spark, d)
     folder, out = scratch_path(spark, "alerts-in"), scratch_path(spark, "alerts-out")
-    alerts.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(folder)
-    chunks = jobs.parquet_chunks(spark, folder, alerts.schema, files_per_chunk=4)
+    landed(alerts, folder)
+    chunks = jobs.parquet_chunks(spark, folder, alerts.schema)
     jobs.write_stream(jobs.suppress_stream(chunks), f"{out}/data", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/data")
 

@@ -298,6 +298,16 @@ def anomaly_records(spark, d):
     return out.withColumns({c: F.round(c, n) for c, n in (("expected_value", 4), ("deviation_percentage", 4), ("z_score", 6), ("confidence_score", 6))})
 
 
+@query("anomaly_records_ensemble")
+def anomaly_records_ensemble(spark, d):
+    """Records of all three detectors; without SQL, as the forest is random."""
+    scored, model = _detector_scores(spark, d)
+    scored = materialize(scored)
+    out = ml.ml_detect(scored, ml.fit_ml(scored, ["y", "q"]))
+    out = ens.ensemble_score(out, {"statistical": "stat_score", "ml": "ml_score", "timeseries": "ts_score"})
+    return ens.anomaly_records(out, model, "entity_id", "ds")
+
+
 @query("anomaly_valid", sql_with("daily", f"WITH {RECORDS} SELECT 'confidence_range' AS rule, count(*) FILTER (NOT confidence_score BETWEEN 0 AND 1) AS failed_records FROM records"))
 def anomaly_valid(spark, d):
     return rule_failures(records(spark, d), anomaly_rules())
@@ -339,7 +349,7 @@ EVENT_FIT = _fit_sql(["value"], "events")
 def anomaly_stream(spark, d):
     events = v.table(spark, d, "events").select("event_id", "value")
     folder, out = scratch_path(spark, "events-in"), scratch_path(spark, "events-scored")
-    events.write.parquet(folder)
+    events.repartition(4).write.parquet(folder)  # four files, one at a trigger
     chunks = jobs.parquet_chunks(spark, folder, events.schema)
     scored = jobs.score_stream(chunks, stat.fit_statistics(events, ["value"]))
     jobs.write_stream(scored, f"{out}/data", f"{out}/state").awaitTermination()

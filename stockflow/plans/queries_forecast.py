@@ -183,6 +183,13 @@ def forecast_records(spark, d):
     return _records(_series(spark, d)).withColumns({**{c: F.round(c, 3) for c in bounds}, "seasonality_strength": F.round("seasonality_strength", 6)})
 
 
+@query("forecast_records_default")
+def forecast_records_default(spark, d):
+    """Records of the default models and horizon (fitted smoothing, AR(3), 30 steps); without SQL, as the fit is a search."""
+    series = _series(spark, d)
+    return fc.forecast_records(series, fc.forecast_ensemble(series, params=None), "revenue")
+
+
 @query(
     "forecast_valid",
     sql_with(

@@ -11,8 +11,11 @@ from stockflow.operators import aggregate as agg
 from stockflow.operators import alerts as al
 from stockflow.operators import quality as qu
 from stockflow.operators import stats as st
+from stockflow.operators.anomaly_ensemble import user_ensemble as user_detectors
+from stockflow.operators.forecast import user_ensemble as user_forecasters
 from stockflow.plans import kpi
 from stockflow.plans import views as v
+from stockflow.plans.queries_alerts import landed
 from stockflow.plans.registry import query
 from stockflow.plans.views import sql_with
 from stockflow.session import scratch_path
@@ -45,15 +48,9 @@ def alert_suppress_capped(spark, d):
 
 @query("alert_stream_capped", sql_with("alerts", f"WITH {CAPPED} SELECT alert_id, rate_key, ts, sent FROM walked", recursive=True))
 def alert_stream_capped(spark, d):
-    # Four files in time order, one at a trigger: state is carried from each to the next.
     alerts = _capped(spark, d)
     folder, out = scratch_path(spark, "alerts-in"), scratch_path(spark, "alerts-out")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    low, high = alerts.agg(F.min(at), F.max(at)).first()
-    step = (high - low) // 4 + 1
-    for i in range(4):
-        part = alerts.filter(at.between(low + i * step, low + (i + 1) * step - 1))
-        part.coalesce(1).write.mode("append").parquet(folder)
+    landed(alerts, folder)
     stream = jobs.suppress_stream(jobs.parquet_chunks(spark, folder, alerts.schema), cooldown_minutes=1, max_per_hour=2)
     jobs.write_stream(stream, f"{out}/data", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/data")
@@ -260,3 +257,65 @@ def kpi_turnover(spark, d):
 def mann_kendall_products(spark, d):
     means = st.period_means(v.sales(spark, d, "product_id", "order_date", "total_amount"), "product_id", "order_date", "total_amount")
     return st.mann_kendall(means.withColumn("y", F.round("y", 4))).select("entity_id", "n", "statistic")
+
+
+# ---------------------------------------------------------------- users' own detectors and forecasters
+
+
+class _ShareOfMean:
+    """A detector: a value's share of ten times the entity's mean."""
+
+    def fit(self, df):
+        return df.groupBy("entity_id").agg(F.avg("y").alias("_mean"))
+
+    def score(self, df, model):
+        score = F.greatest(F.lit(0.0), F.least(F.col("y") / (10 * F.col("_mean")), F.lit(1.0)))
+        return df.join(model, "entity_id").withColumn("anomaly_score", score).withColumn("is_anomaly", score > 0.5).drop("_mean")
+
+
+class _Share:
+    """A detector: a value's share of twice the greatest value."""
+
+    def fit(self, df):
+        return df.agg(F.max("y")).first()[0]
+
+    def score(self, df, model):
+        return df.withColumns({"anomaly_score": F.greatest(F.lit(0.0), F.col("y") / (2 * model)), "is_anomaly": F.lit(False)})
+
+
+@query(
+    "ensemble_user_detectors",
+    sql_with(
+        "daily",
+        """SELECT entity_id, ds, round((greatest(0, least(y / (10 * avg(y) OVER (PARTITION BY entity_id)), 1)) * 0.3::DOUBLE + greatest(0, y / (2 * max(y) OVER ())) * 0.35::DOUBLE) / 0.65::DOUBLE, 9) AS ensemble_score
+           FROM daily""",
+    ),
+)
+def ensemble_user_detectors(spark, d):
+    out = user_detectors(v.daily(spark, d), {"own": _ShareOfMean(), "statistical": _Share()})
+    return out.select("entity_id", "ds", F.round("ensemble_score", 9).alias("ensemble_score"))
+
+
+class _Constant:
+    """A forecaster that repeats one figure of the series."""
+
+    def __init__(self, figure):
+        self.figure = figure
+
+    def forecast(self, series, horizon):
+        last = series.groupBy("entity_id").agg(self.figure.alias("predicted"), F.max("ds").alias("_last"))
+        steps = last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+        return steps.select("entity_id", "step", F.date_add("_last", F.col("step")).alias("ds"), "predicted")
+
+
+@query(
+    "ensemble_user_forecasters",
+    sql_with(
+        "daily",
+        """WITH f AS (SELECT entity_id, (arg_max(y, ds) + max(y)) / 2 AS p, max(ds) AS last FROM daily GROUP BY 1)
+        SELECT entity_id, s::INTEGER AS step, (last + s::INTEGER)::DATE AS ds, round(p, 6) AS predicted FROM f, generate_series(1, 5) AS t(s)""",
+    ),
+)
+def ensemble_user_forecasters(spark, d):
+    mixed = user_forecasters(v.daily(spark, d), {"last": _Constant(F.max_by("y", "ds")), "most": _Constant(F.max("y"))}, 5)
+    return mixed.select("entity_id", "step", "ds", F.round("predicted", 6).alias("predicted"))

@@ -1,9 +1,8 @@
 """Inventory, order and shipment views over the star-schema tables.
 
 ``sales`` joins only the dimensions whose columns are asked for, so a query that needs product and
-amount reads ``lineitem`` alone.  Facts and growing dimensions are joined without hints (AQE picks the
-strategy from measured sizes and splits skewed partitions); only ``nation`` and ``region``, whose
-row counts are fixed, are broadcast.
+amount reads ``lineitem`` alone.  All joins are without hints: the planner picks the strategy from measured sizes and
+splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(n_nationkey, warehouse_location): fixed-size lookup of 25 nations."""
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
-    return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey, "left").select(
+    return nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select(
         "n_nationkey", F.lower("r_name").alias("warehouse_location")
     )
 
@@ -31,7 +30,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(s_suppkey, warehouse_location)."""
     supplier = table(spark, sf_dir, "supplier")
-    places = F.broadcast(locations(spark, sf_dir))
+    places = locations(spark, sf_dir)
     return supplier.join(places, supplier.s_nationkey == places.n_nationkey, "left").select(
         "s_suppkey", "warehouse_location"
     )

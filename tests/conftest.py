@@ -16,6 +16,9 @@ def spark():
     session = build_session("tests", "local[8]", 8)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from stockflow.session import clear_scratch
+
+    clear_scratch(session)
     session.stop()
 
 
