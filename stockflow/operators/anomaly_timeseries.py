@@ -9,26 +9,23 @@ from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import TINY
 from stockflow.operators.anomaly_statistical import capped
-from stockflow.operators.ordered import HOT_ROWS, over_entities
+from stockflow.operators.ordered import HOT_ROWS, largest_group, over_entities, running_total, same_keys, with_positions
 
 WINDOW = 30
 SEASON = 7
 SPIKE = 3.0
 
 
-def fit_series(series: DataFrame, value: str = "y", entity: str = "entity_id", order: str = "ds", window: int = WINDOW) -> DataFrame:
+def fit_series(series: DataFrame, value: str = "y", entity: str = "entity_id", order: str = "ds", window: int = WINDOW, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Per entity with at least ``window`` points: last rolling mean and deviation, linear trend, size."""
     rows = series.filter(F.col(value).isNotNull())
-    w = Window.partitionBy(entity).orderBy(order)
-    frame = w.rowsBetween(-(window - 1), 0)
-    full = F.count(value).over(frame) == window
-    placed = rows.withColumns(
-        {
-            "_i": F.row_number().over(w) - 1,
-            "_mean": F.when(full, F.avg(value).over(frame)),
-            "_std": F.when(full, F.stddev_samp(value).over(frame)),
-        }
-    )
+
+    def rolling(w):
+        frame = w.rowsBetween(-(window - 1), 0)
+        full = F.count(value).over(frame) == window
+        return {"_mean": F.when(full, F.avg(value).over(frame)), "_std": F.when(full, F.stddev_samp(value).over(frame))}
+
+    placed = with_positions(over_entities(rows, [entity], [order], rolling, window - 1, hot_rows), "_i", [entity], [order], hot_rows)
     return (
         placed.groupBy(entity)
         .agg(
@@ -41,10 +38,10 @@ def fit_series(series: DataFrame, value: str = "y", entity: str = "entity_id", o
     )
 
 
-def seasonal_factors(series: DataFrame, value: str = "y", entity: str = "entity_id", order: str = "ds", period: int = SEASON) -> DataFrame:
+def seasonal_factors(series: DataFrame, value: str = "y", entity: str = "entity_id", order: str = "ds", period: int = SEASON, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Mean of every ``period``-th value: (entity, position, factor)."""
-    w = Window.partitionBy(entity).orderBy(order)
-    placed = series.filter(F.col(value).isNotNull()).withColumn("position", ((F.row_number().over(w) - 1) % period).cast("int"))
+    placed = with_positions(series.filter(F.col(value).isNotNull()), "_i", [entity], [order], hot_rows)
+    placed = placed.withColumn("position", (F.col("_i") % period).cast("int"))
     return placed.groupBy(entity, "position").agg(F.avg(value).alias("factor"))
 
 
@@ -74,11 +71,27 @@ def rolling_scores(
     return over_entities(df, [entity], list(order), make, lookback=window - 1, hot_rows=hot_rows)
 
 
-def peaks(df: DataFrame, value: str = "y", entity: str = "entity_id", order: Sequence[str] = ("ds",), out: str = "is_peak") -> DataFrame:
+def _peaks_segmented(df: DataFrame, value: str, entity: str, order: Sequence[str], out: str, hot_rows: int) -> DataFrame:
+    """``peaks`` for entities of any size: runs are numbered by running totals and compared with their neighbours as rows of their own."""
+    rows = df.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
+    rows = over_entities(rows, [entity], list(order), lambda w: {"_earlier": F.lag("_v").over(w)}, 1, hot_rows)
+    rows = rows.withColumns({"_new": F.when(F.col("_earlier").isNull() | (F.col("_earlier") != F.col("_v")), 1).otherwise(0), "_one": F.lit(1)})
+    rows = running_total(running_total(rows, "_new", "_run", [entity], order), "_one", "_i", [entity], order)
+    runs = rows.groupBy(entity, "_run").agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), F.first("_v").alias("_top"))
+    runs = over_entities(runs, [entity], ["_run"], lambda w: {"_left": F.lag("_top").over(w)}, 1, hot_rows).withColumn("_back", -F.col("_run"))
+    runs = over_entities(runs, [entity], ["_back"], lambda w: {"_right": F.lag("_top").over(w)}, 1, hot_rows)
+    tops = runs.filter("_left < _top AND _right < _top").select(entity, "_run", F.floor((F.col("_lo") + F.col("_hi")) / 2).alias("_middle"))
+    flagged = same_keys(rows, tops, [entity, "_run"], "left").withColumn(out, F.coalesce(F.col("_i") == F.col("_middle"), F.lit(False)))
+    return flagged.drop("_v", "_earlier", "_new", "_one", "_run", "_i", "_middle")
+
+
+def peaks(df: DataFrame, value: str = "y", entity: str = "entity_id", order: Sequence[str] = ("ds",), out: str = "is_peak", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Flag local maxima: interior runs of equal values above both neighbours, at the run's middle row.
 
-    Missing values count as 0.  For calendar series (one row per period).
+    Missing values count as 0.  Entities of more than ``hot_rows`` rows are cut into segments; None states that there are none.
     """
+    if hot_rows is not None and largest_group(df, [entity]) > hot_rows:
+        return _peaks_segmented(df, value, entity, order, out, hot_rows)
     w = Window.partitionBy(entity).orderBy(*order)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))

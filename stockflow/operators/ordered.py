@@ -99,6 +99,14 @@ def forward_fill(df: DataFrame, columns: Sequence[str], by: Sequence[str], order
     return filled.drop(SEG, *[f"_carry_{c}" for c in columns])
 
 
+def with_positions(df: DataFrame, out: str, by: Sequence[str], order: Order, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Add the 0-based position of a row among those of its key (``hot_rows`` as in ``over_entities``)."""
+    if hot_rows is None or largest_group(df, by) <= hot_rows:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    numbered = running_total(df.withColumn("_one", F.lit(1)), "_one", out, by, order).drop("_one")
+    return numbered.withColumn(out, (F.col(out) - 1).cast("int"))
+
+
 def _halo(rows: DataFrame, by: Sequence[str], order: Order, reach: int) -> DataFrame:
     """Copies of the ``reach`` rows that precede each segment, labelled with that segment.
 

@@ -66,3 +66,15 @@ def test_describe_nan_and_empty(spark):
     row = st.describe(df).first()
     assert (row["count"], row.missing, row.missing_pct, row["mean"]) == (2, 2, 50.0, 2.0)
     assert st.describe(df.filter("false")).first().missing_pct is None
+
+
+def test_series_figures(rows):
+    from stockflow.operators import anomaly_timeseries as ts
+
+    for make in (
+        lambda hot: ts.fit_series(rows, "v", "k", "t", 30, hot_rows=hot).select("k", "n", *[F.round(c, 9) for c in ("rolling_mean", "rolling_std", "trend")]),
+        lambda hot: ts.seasonal_factors(rows, "v", "k", "t", hot_rows=hot).withColumn("factor", F.round("factor", 9)),
+        lambda hot: ts.peaks(rows.withColumn("v", F.floor(F.col("v") / 300)), "v", "k", ["t"], hot_rows=hot),
+        lambda hot: ts.rolling_scores(rows, ["v"], "k", ["t"], hot_rows=hot).select("k", "t", F.round("v_rolling_z", 6)),
+    ):
+        assert _rows(make(10)) == _rows(make(None))
