@@ -36,7 +36,23 @@ def spearman(spark, d):
     return st.correlation_analysis(widen(v.sales(spark, d, *CORRELATED)), method="spearman").drop("p_value", "significant")
 
 
-@query("correlation_significance")
+# Tails by numeric integration (midpoints): Student's t with t = sqrt(df) tan(angle), and the normal's centre.  Inputs are rows of (id, t, df) and (id, z).
+STEPS = 20000
+T_TAIL = f"""angles AS (SELECT id, df, least(atan(abs(t) / sqrt(df)), 40 / sqrt(df)) AS top FROM t_in),
+       t_p AS (SELECT id, greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * sum(pow(cos(top * (s + 0.5) / {STEPS}), df - 1)) * any_value(top) / {STEPS}) AS p
+               FROM angles, generate_series(0, {STEPS - 1}) AS g(s) GROUP BY id, df)"""
+Z_TAIL = f"""z_p AS (SELECT id, greatest(0, 1 - 2 / sqrt(2 * pi()) * sum(exp(-0.5 * pow(least(abs(z), 40) * (s + 0.5) / {STEPS}, 2))) * any_value(least(abs(z), 40)) / {STEPS}) AS p
+               FROM z_in, generate_series(0, {STEPS - 1}) AS g(s) GROUP BY id)"""
+
+
+def _significance_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT '{a}' AS variable_1, '{b}' AS variable_2, corr({a}, {b}) AS r, count(*) AS n FROM sales" for a, b in PAIRS)
+    return f"""WITH pairs AS ({rows}), t_in AS (SELECT variable_1 || variable_2 AS id, r * sqrt(n - 2) / sqrt(1 - r * r) AS t, (n - 2)::DOUBLE AS df FROM pairs), {T_TAIL}
+        SELECT variable_1, variable_2, round(r, 4) AS correlation, round(p, 6) AS p_value, p < 0.05 AS significant, {STRENGTH} AS strength, n AS sample_size
+        FROM pairs JOIN t_p ON id = variable_1 || variable_2"""
+
+
+@query("correlation_significance", sql_with("sales", _significance_sql()))
 def correlation_significance(spark, d):
     return st.correlation_analysis(v.sales(spark, d, *CORRELATED), min_correlation=0.0)
 
@@ -113,7 +129,18 @@ def trend(spark, d):
     return out.drop("p_value", "trend_significant", "mann_kendall_p_value", "mann_kendall_trend", "error")
 
 
-@query("trend_significance")
+@query(
+    "trend_significance",
+    sql_with(
+        "sales",
+        f"""WITH {PERIOD_SERIES}, {KENDALL}, fit AS (SELECT entity_id AS id, corr(y, i) AS r, (count(*) - 2)::DOUBLE AS df FROM s GROUP BY 1),
+        t_in AS (SELECT id, r * sqrt(df) / sqrt(1 - r * r) AS t, df FROM fit), {T_TAIL},
+        z_in AS (SELECT entity_id AS id, CASE WHEN variance > 0 THEN (statistic - sign(statistic)) / sqrt(variance) ELSE 0 END AS z FROM mk), {Z_TAIL}
+        SELECT entity_id, round(t_p.p, 6) AS p_value, t_p.p < 0.05 AS trend_significant, round(z_p.p, 6) AS mann_kendall_p_value,
+               CASE WHEN z_p.p >= 0.05 THEN 'no_trend' WHEN statistic > 0 THEN 'increasing' ELSE 'decreasing' END AS mann_kendall_trend
+        FROM mk JOIN t_p ON t_p.id = entity_id JOIN z_p ON z_p.id = entity_id""",
+    ),
+)
 def trend_significance(spark, d):
     sales = v.sales(spark, d, "warehouse_location", "order_date", "total_amount")
     return st.trend_analysis(sales, "warehouse_location", "order_date", "total_amount").select(
@@ -158,7 +185,23 @@ def anova(spark, d):
     return _flat_means(st.hypothesis_test(v.sales(spark, d, "channel", "total_amount"), "channel", "total_amount", "anova"))
 
 
-@query("group_test_pvalues")
+def _group_tests_sql() -> str:
+    # Five channels: with four degrees of freedom above, the F tail is x^a (1 + a (1 - x)) for a = df2 / 2.
+    two, many = (MOMENTS.format(g=g).removeprefix("g AS ") for g in ("is_b2b::VARCHAR", "channel"))
+    return f"""WITH g2 AS {two}, g5 AS {many},
+        ab AS (SELECT a.m - b.m AS gap, a.n AS na, b.n AS nb, ((a.n - 1) * a.vs + (b.n - 1) * b.vs) / (a.n + b.n - 2) AS pooled, sqrt((a.vp + b.vp) / 2) AS ps
+               FROM g2 a JOIN g2 b ON a.g = 'false' AND b.g = 'true'),
+        t_in AS (SELECT 't' AS id, gap / sqrt(pooled * (1.0 / na + 1.0 / nb)) AS t, (na + nb - 2)::DOUBLE AS df, abs(gap) / (ps + 1e-10) AS effect FROM ab), {T_TAIL},
+        x AS (SELECT *, (SELECT sum(n * m) / sum(n) FROM g5) AS gm FROM g5),
+        f AS (SELECT count(*) AS k, sum(n) AS nn, sum(n * (m - gm) * (m - gm)) AS ssb, sum(n * vp) AS ssw FROM x),
+        ft AS (SELECT *, (ssb / (k - 1)) / (ssw / (nn - k)) AS stat, (nn - k)::DOUBLE AS d2 FROM f),
+        fp AS (SELECT *, pow(d2 / (d2 + 4 * stat), d2 / 2) * (1 + d2 / 2 * (4 * stat / (d2 + 4 * stat))) AS p FROM ft)
+        SELECT 'Independent t-test' AS test, round(t, 4) AS statistic, round(p, 6) AS p_value, p < 0.05 AS significant, round(effect, 4) AS effect_size, 2::BIGINT AS groups_tested, NULL::VARCHAR AS error
+        FROM t_in JOIN t_p USING (id)
+        UNION ALL SELECT 'One-way ANOVA', round(stat, 4), round(p, 6), p < 0.05, round(ssb / (ssb + ssw + 1e-10), 4), k, NULL FROM fp"""
+
+
+@query("group_test_pvalues", sql_with("sales", _group_tests_sql()))
 def group_test_pvalues(spark, d):
     two = st.hypothesis_test(v.sales(spark, d, "is_b2b", "total_amount"), "is_b2b", "total_amount", "ttest")
     many = st.hypothesis_test(v.sales(spark, d, "channel", "total_amount"), "channel", "total_amount", "anova")
