@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from stockflow.operators import aggregate as agg
 from stockflow.operators import alerts as al
+from stockflow.operators import anomaly_ml as ml
+from stockflow.operators import forecast as fc
 from stockflow.operators import quality as qu
 from stockflow.operators import stats as st
 from stockflow.operators.anomaly_ensemble import user_ensemble as user_detectors
@@ -18,7 +20,7 @@ from stockflow.plans import views as v
 from stockflow.plans.queries_alerts import landed
 from stockflow.plans.registry import query
 from stockflow.plans.views import sql_with
-from stockflow.session import scratch_path
+from stockflow.session import materialize, scratch_path
 from stockflow.sources import files, sinks
 from stockflow.streaming import jobs
 
@@ -319,3 +321,35 @@ class _Constant:
 def ensemble_user_forecasters(spark, d):
     mixed = user_forecasters(v.daily(spark, d), {"last": _Constant(F.max_by("y", "ds")), "most": _Constant(F.max("y"))}, 5)
     return mixed.select("entity_id", "step", "ds", F.round("predicted", 6).alias("predicted"))
+
+
+# ---------------------------------------------------------------- facts about fits that have no SQL of their own
+
+
+@query("hw_fit_facts", sql_with("daily", "SELECT DISTINCT entity_id, true AS not_worse, true AS in_range FROM daily"))
+def hw_fit_facts(spark, d):
+    # The searched parameters are valid, and do not fit worse than the start's.
+    series = materialize(v.daily(spark, d), "daily")
+    fit = fc.fit_holt_winters(series)
+    found = fc.holt_winters_state(series, fit).select("entity_id", F.col("sse").alias("found"))
+    plain = fc.holt_winters_state(series).select("entity_id", F.col("sse").alias("plain"))
+    ranges = fit.select("entity_id", (F.col("alpha").between(0, 1) & F.col("beta").between(0, 1) & F.col("gamma").between(0, 1)).alias("in_range"))
+    out = found.join(plain, "entity_id").join(ranges, "entity_id")
+    return out.select("entity_id", (F.col("found") <= F.col("plain") * (1 + 1e-9)).alias("not_worse"), "in_range")
+
+
+@query("iforest_facts", "SELECT count(*) AS n_rows, 0.05::DOUBLE AS flagged_share, 0.0::DOUBLE AS least_score, 1.0::DOUBLE AS greatest_score, true AS extremes_flagged FROM lineitem")
+def iforest_facts(spark, d):
+    # One row in twenty is flagged, scores fill 0 to 1, and the rows that are extreme in every column are among the flagged.
+    lines = materialize(v.sales(spark, d, "l_orderkey", "l_linenumber", "quantity", "unit_price", "total_amount"))
+    metrics = ["quantity", "unit_price", "total_amount"]
+    far = spark.range(1).select(F.col("id").alias("l_orderkey"), F.lit(-1).alias("l_linenumber"), *[F.lit(1e7).alias(c) for c in metrics])
+    rows = materialize(lines.unionByName(far))
+    found = ml.forest_detect(rows, ml.fit_forest(rows, ml.fit_scaling(rows, metrics)))
+    return found.agg(
+        F.count_if(F.col("l_linenumber") >= 0).alias("n_rows"),
+        F.round(F.avg(F.col("forest_flag").cast("double")), 2).alias("flagged_share"),
+        F.round(F.min("ml_score"), 6).alias("least_score"),
+        F.round(F.max("ml_score"), 6).alias("greatest_score"),
+        F.bool_and(F.col("forest_flag") | (F.col("l_linenumber") >= 0)).alias("extremes_flagged"),
+    )
