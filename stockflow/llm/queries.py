@@ -56,7 +56,42 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-@query("op10_decontamination")
+# All windows that share a shingle with an item, compared with every item (the tables' items have five words at least).
+LEAKS = r"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+), item AS (
+    SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 5
+), total AS (
+    SELECT count(DISTINCT w)::DOUBLE AS n_kinds FROM item
+), item_shingle AS (
+    SELECT item_id, w, n, place AS off, array_to_string(w[place + 1:place + 5], ' ') AS sh FROM (SELECT *, unnest(range(n - 4)) AS place FROM item)
+), doc_shingle AS (
+    SELECT doc_id, length, place, array_to_string(w[place + 1:place + 5], ' ') AS sh
+    FROM (SELECT doc_id, w, len(w) AS length, unnest(range(greatest(len(w) - 4, 0))) AS place FROM doc)
+), weight AS (
+    SELECT sh, 1 + ln(any_value(n_kinds) / count(DISTINCT w)) AS weight FROM item_shingle, total GROUP BY sh
+), win AS (
+    SELECT DISTINCT doc_id, greatest(0, least(place - off, length - n)) AS start, n, least(n, length) AS size FROM doc_shingle JOIN item_shingle USING (sh)
+), win_bag AS (
+    SELECT doc_id, start, n, size, sh, count(*) AS c FROM win JOIN doc_shingle USING (doc_id) WHERE place BETWEEN start AND start + size - 5 GROUP BY ALL
+), item_bag AS (
+    SELECT item_id, sh, count(*) AS c, any_value(weight) AS weight FROM item_shingle JOIN weight USING (sh) GROUP BY ALL
+), win_sum AS (
+    SELECT doc_id, start, n, size, sum(c * coalesce(weight, 1 + ln(n_kinds))) AS win_total FROM win_bag LEFT JOIN weight USING (sh), total GROUP BY ALL
+), item_sum AS (
+    SELECT item_id, sum(c * weight) AS item_total FROM item_bag GROUP BY item_id
+), shared AS (
+    SELECT doc_id, start, n, size, item_id, sum(item_bag.weight * least(win_bag.c, item_bag.c)) AS common FROM win_bag JOIN item_bag USING (sh) GROUP BY ALL
+), rated AS (
+    SELECT doc_id, item_id, start, size, common / (win_total + item_total - common) AS s FROM shared JOIN win_sum USING (doc_id, start, n, size) JOIN item_sum USING (item_id)
+)
+SELECT doc_id, item_id, round(s, 6) AS similarity, start::INTEGER AS start_word, size::INTEGER AS n_words FROM rated WHERE s >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, start) = 1
+"""
+
+
+@query("op10_decontamination", LEAKS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.query_rows(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
 
