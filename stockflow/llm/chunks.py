@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.llm.frames import saved
+from stockflow.llm.frames import aligned, saved, slices
 
 REACH, MOST, MEMORY = 20, 256, 16
 WORDS = 25
-#: Bytes hashed at a time, and what stands for a null id.
-BLOCK, NO_ID = 1 << 22, -(2**63)
+#: Bytes hashed at a time, bytes of text that one batch of results is made of, and what stands for a null id.
+BLOCK, SLICE, NO_ID = 1 << 22, 1 << 21, -(2**63)
 GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -168,9 +168,9 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     drops = saved(drops.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "__drops"), "drops")
 
     def run(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for batch, drops in texts:
+        for part, drops in ((p, d) for batch, all_drops in texts for p, d in zip(slices(batch, SLICE), aligned(batch, all_drops, SLICE))):
             out = []
-            for t, d in zip(batch.to_pylist(), drops.to_pylist()):
+            for t, d in zip(part.to_pylist(), drops.to_pylist()):
                 if d:
                     data, at, kept = t.encode(), 0, []
                     for start, size in sorted((x["start"], x["size"]) for x in d):

@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.frames import saved
+from stockflow.llm.frames import aligned, saved, slices
 
 LENGTH, DOCUMENTS = 20, 3
 #: Keys of one shard aimed at when an index is built, and frequent keys up to which filters are shipped to tasks (3 bytes a key).
 SHARD, SHIPPED = 1 << 16, 1 << 23
 SLOTS, ROUNDS = 4, 400
+#: Bytes of text that one batch of results is made of.
+SLICE = 1 << 21
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -258,9 +260,9 @@ def dedup(docs: DataFrame, index: LineIndex, key: str = "doc_id", text: str = "t
     drops = rows.groupBy("id").agg(F.collect_set(F.struct("hi", "lo")).alias("__drops")).withColumnRenamed("id", "__id")
 
     def run(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for batch, drops in texts:
+        for part, drops in ((p, d) for batch, all_drops in texts for p, d in zip(slices(batch, SLICE), aligned(batch, all_drops, SLICE))):
             kept, lines_before, dropped = [], [], []
-            for t, d in zip(batch.to_pylist(), drops.to_pylist()):
+            for t, d in zip(part.to_pylist(), drops.to_pylist()):
                 lines = (t or "").encode().split(b"\n")
                 gone = {np.array([x["hi"], x["lo"]], np.int64).tobytes() for x in d or ()}
                 rest = [x for x in lines if line_key(x) not in gone] if gone else lines
