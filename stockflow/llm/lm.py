@@ -167,12 +167,11 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             which, many = np.unique(doc[a:b], return_counts=True)
             mine = p == own
             lists = [
-                pa.array(row.to_numpy()[which]),
+                pa.array(which.astype(np.int32)),
                 pa.array(many.astype(np.int32)),
                 pa.array((gram[a:b] & 0xFFFFFFFF).astype(np.uint32).view(np.int32)),
                 pa.array((gram[a:b] >> 32).astype(np.uint8).view(np.int8)),
                 pa.array(n[a:b].astype(np.int32)),
-                row if mine else row.slice(0, 0),
                 key_ if mine else key_.slice(0, 0),
                 pa.array(lengths if mine else lengths[:0]),
                 pa.array(seen if mine else seen[:0]),
@@ -180,15 +179,15 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             ]
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), row.slice(0, 1), *map(one_list, lists)], names)
 
-    names = ["part", "batch", "rows", "many", "low", "high", "n", "own_rows", "own_ids", "own_words", "own_seen", "own_base"]
-    own = f"own_rows array<long>, own_ids array<{kind}>, own_words array<long>, own_seen array<long>, own_base array<double>"
-    schema = f"part int, batch long, rows array<long>, many array<int>, low array<int>, high array<tinyint>, n array<int>, {own}"
+    names = ["part", "batch", "docs", "many", "low", "high", "n", "own_ids", "own_words", "own_seen", "own_base"]
+    own = f"own_ids array<{kind}>, own_words array<long>, own_seen array<long>, own_base array<double>"
+    schema = f"part int, batch long, docs array<int>, many array<int>, low array<int>, high array<tinyint>, n array<int>, {own}"
 
     def count(group: pa.Table) -> pa.Table:
         """The count table of a hash partition, joined back to its lists: of each list, what its documents gain."""
         logs = shared.value[0]
-        flat = {c: group[c].combine_chunks().flatten().to_numpy() for c in ("rows", "many", "low", "high", "n")}
-        row = np.repeat(flat["rows"], flat["many"])
+        flat = {c: group[c].combine_chunks().flatten().to_numpy() for c in ("docs", "many", "low", "high", "n")}
+        doc = np.repeat(flat["docs"], flat["many"])
         gram = flat["high"].view(np.uint8).astype(np.int64) << 32 | flat["low"].view(np.uint32)
         n = flat["n"].astype(np.int64)
         ends = np.cumsum([0, *(len(x) for x in group["n"].combine_chunks())])
@@ -198,25 +197,22 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         met = np.where(elsewhere > 0, n, 0)
         lists: list[list] = [[], [], []]
         for a, b in zip(ends[:-1], ends[1:]):
-            docs_, place = np.unique(row[a:b], return_inverse=True)
+            docs_, place = np.unique(doc[a:b], return_inverse=True)
             for into, values in zip(lists, (docs_, np.bincount(place, met[a:b], len(docs_)).astype(np.int64), np.bincount(place, gain[a:b], len(docs_)))):
                 into.append(values)
-        arrays = [pa.array(x, pa.list_(k)) for x, k in zip(lists, (pa.int64(), pa.int64(), pa.float64()))]
-        return pa.table([group["batch"], *arrays, *(group[c] for c in names[-5:])], names=["batch", "rows", "seen", "gain", *names[-5:]])
+        arrays = [pa.array(x, pa.list_(k)) for x, k in zip(lists, (pa.int32(), pa.int64(), pa.float64()))]
+        return pa.table([group["batch"], *arrays, *(group[c] for c in names[-4:])], names=["batch", "docs", "seen", "gain", *names[-4:]])
 
     def total(group: pa.Table) -> pa.Table:
         """The sums of the documents of one batch over its lists."""
         flat = {c: group[c].combine_chunks().flatten() for c in group.column_names[1:]}
-        order = np.argsort(flat["own_rows"].to_numpy())
-        known = flat["own_rows"].to_numpy()[order]
-        at = np.searchsorted(known, flat["rows"].to_numpy())
-        seen = np.bincount(at, flat["seen"].to_numpy(), len(known)).astype(np.int64) + flat["own_seen"].to_numpy()[order]
-        score = np.bincount(at, flat["gain"].to_numpy(), len(known)) + flat["own_base"].to_numpy()[order]
-        taken = pa.array(order)
-        return pa.table([flat["own_ids"].take(taken), flat["own_words"].take(taken), pa.array(seen), pa.array(score)], names=["doc_id", "n_words", "n_seen", "log_score"])
+        docs_, n = flat["docs"].to_numpy(), len(flat["own_ids"])
+        seen = np.bincount(docs_, flat["seen"].to_numpy(), n).astype(np.int64) + flat["own_seen"].to_numpy()
+        score = np.bincount(docs_, flat["gain"].to_numpy(), n) + flat["own_base"].to_numpy()
+        return pa.table([flat["own_ids"], flat["own_words"], pa.array(seen), pa.array(score)], names=["doc_id", "n_words", "n_seen", "log_score"])
 
     lists = rows.mapInArrow(explode, schema)
-    counted = lists.groupBy("part").applyInArrow(count, f"batch long, rows array<long>, seen array<long>, gain array<double>, {own}")
+    counted = lists.groupBy("part").applyInArrow(count, f"batch long, docs array<int>, seen array<long>, gain array<double>, {own}")
     return counted.groupBy("batch").applyInArrow(total, f"doc_id {kind}, n_words long, n_seen long, log_score double")
 
 
