@@ -210,7 +210,7 @@ def lexicon(taught: DataFrame) -> dict[str, int]:
     toxic = totals["toxic"] or 0
     ratio = (totals["rows"] - toxic + 1) / (toxic + 1)
     odds = (F.col("toxic") + 0.1) / (F.col("clean") + 0.1) * F.lit(float(ratio))
-    word = F.when(F.col("toxic") == 1, F.col("word"))
+    word = F.when(F.col("least") == 1, F.col("word"))  # of places that only toxic rows have
     found = places.groupBy("entry").agg(
         F.sum("toxic").cast("double").alias("toxic"), F.sum(1 - F.col("least")).cast("double").alias("clean"), (F.min(word) < F.max(word)).alias("many")
     )
