@@ -31,7 +31,7 @@ from stockflow.llm.frames import slices
 
 VOCABULARY, FREQUENT, BACKOFF = 1 << 20, 1024, 0.4
 #: Words to a hash partition, words remembered by a task and looked at at a time, bytes of text whose bigrams are dealt together.
-PARTITION, MEMORY, BLOCK, SLICE = 2_000_000, 500_000, 1 << 18, 16 << 20
+PARTITION, MEMORY, BLOCK, SLICE = 3_000_000, 500_000, 1 << 18, 16 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -197,10 +197,11 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         met = np.where(elsewhere > 0, n, 0)
         lists: list[list] = [[], [], []]
         for a, b in zip(ends[:-1], ends[1:]):
-            docs_, place = np.unique(doc[a:b], return_inverse=True)
-            for into, values in zip(lists, (docs_, np.bincount(place, met[a:b], len(docs_)).astype(np.int64), np.bincount(place, gain[a:b], len(docs_)))):
+            hit = np.flatnonzero(met[a:b]) + a  # documents without a seen bigram here gain nothing
+            docs_, place = np.unique(doc[hit], return_inverse=True)
+            for into, values in zip(lists, (docs_, np.bincount(place, met[hit], len(docs_)).astype(np.int32), np.bincount(place, gain[hit], len(docs_)))):
                 into.append(values)
-        arrays = [pa.array(x, pa.list_(k)) for x, k in zip(lists, (pa.int32(), pa.int64(), pa.float64()))]
+        arrays = [pa.array(x, pa.list_(k)) for x, k in zip(lists, (pa.int32(), pa.int32(), pa.float64()))]
         return pa.table([group["batch"], *arrays, *(group[c] for c in names[-4:])], names=["batch", "docs", "seen", "gain", *names[-4:]])
 
     def total(group: pa.Table) -> pa.Table:
@@ -212,7 +213,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         return pa.table([flat["own_ids"], flat["own_words"], pa.array(seen), pa.array(score)], names=["doc_id", "n_words", "n_seen", "log_score"])
 
     lists = rows.mapInArrow(explode, schema)
-    counted = lists.groupBy("part").applyInArrow(count, f"batch long, docs array<int>, seen array<long>, gain array<double>, {own}")
+    counted = lists.groupBy("part").applyInArrow(count, f"batch long, docs array<int>, seen array<int>, gain array<double>, {own}")
     return counted.groupBy("batch").applyInArrow(total, f"doc_id {kind}, n_words long, n_seen long, log_score double")
 
 
