@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from stockflow.llm.frames import slices
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PATTERN = "byte_bpe_50k.json", public_tokenizers.PATTERN
 #: Words of at most this many bytes are merged in matrices.
 SHORT = 64
 #: Words remembered by a task, and words of a text handled at a time.
@@ -105,7 +105,7 @@ class Encoder:
         self.v = vocabulary
         rare = _class(NEWER)
         rest = r"|\s+(?!\S)|\s+"
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.pattern = regex.compile(PATTERN)
         self.strict = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{rare}]]+| ?[\p{{N}}--[{rare}]]+| ?[[^\s\p{{L}}\p{{N}}]||[{rare}]]+{rest}", regex.V1)
         self.rare = re.compile(f"[{rare}]")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
