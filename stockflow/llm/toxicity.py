@@ -96,7 +96,7 @@ def grammar() -> tuple[np.ndarray, np.ndarray]:
     """
     insults = "ws"
     report = Transducer(
-        {(0, "r"): (1, "."), (1, "q"): (2, "."), (2, "q"): (0, "."), **{(2, i): (2, "Q") for i in insults}, (2, "T"): (2, "."), **{(s, "q"): (0, ".") for s in (0,)}},
+        {(0, "r"): (1, "."), (0, "q"): (0, "."), (1, "q"): (2, "."), (2, "q"): (0, "."), (2, "T"): (2, "."), **{(2, i): (2, "Q") for i in insults}},
         {0: 0, 1: 1, 2: 2},
     )
     deny = Transducer({(s, "n"): (2, ".") for s in (0, 1, 2)} | {(s, i): (0, "D") for s in (1, 2) for i in insults}, {0: 0, 1: 0, 2: 1})
