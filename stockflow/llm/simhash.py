@@ -24,7 +24,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -205,7 +205,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     mark = F.xxhash64(F.coalesce(docs[f"`{text}`"], F.lit("")))
     prints = with_fingerprint(docs.select(docs[f"`{key}`"].alias("key"), mark.alias("mark"), docs[f"`{text}`"].alias("text")), "text", "fingerprint", size)
     prints = saved(prints.select("key", "mark", "fingerprint"), "fingerprints")
-    best = labelled(prints, radius).groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("best"))
+    return first_of_groups(docs, labelled(prints, radius), key, mark)
+
+
+def first_of_groups(docs: DataFrame, rows: DataFrame, key: str, mark: Column) -> DataFrame:
+    """Of ``docs``, the row with the smallest key of each ``root`` in ``rows`` (key, mark, root); of equal keys, the least ``mark``."""
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("best"))
     best = saved(best.select(F.col("best.key").alias("__key"), F.col("best.mark").alias("__mark")), "representatives")
     kept = docs.withColumn("__row_mark", mark).join(best, docs[f"`{key}`"].eqNullSafe(F.col("__key")) & (F.col("__row_mark") == F.col("__mark")), "left_semi")
     return kept.dropDuplicates([key, "__row_mark"]).drop("__row_mark")
