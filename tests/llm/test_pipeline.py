@@ -1,7 +1,7 @@
 import pytest
 import test_decontamination
 import test_lines
-import test_simhash
+import test_neardup
 from helpers import ODD, prose
 from tokenizers import Tokenizer
 
@@ -61,14 +61,9 @@ def test_stages_equal_plain_python(spark, tables):
     assert {(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows[1]} == expected
     assert all(r.n_chars == len(r.text) for r in out[1][1].filter("text IS NOT NULL").collect())
 
-    # Near-duplicates: the smallest id of each component stays.
-    keys, prints = [i for i, _ in rows[1]], [test_simhash._brute_fingerprint(t) for _, t in rows[1]]
-    groups = test_simhash._brute_components(list(range(len(prints))), prints)
-    least = {}
-    for g, (i, t) in zip(groups, rows[1]):
-        least[g] = min(least.get(g, (2**70, "")), (2**69 if i is None else i, t or ""))
-    assert sorted(2**69 if i is None else i for i, _ in rows[2]) == sorted(i for i, _ in least.values())
-    assert keys and len(rows[2]) < len(rows[1])
+    # Near-duplicates: the smallest id of each component of exact similarity 0.8 stays.
+    assert sorted(2**69 if i is None else i for i, _ in rows[2]) == test_neardup._brute([(i, t, None) for i, t in rows[1]])
+    assert len(rows[2]) < len(rows[1])
 
     # Decontamination.
     bad = {i for i, _ in test_decontamination._brute([(i, t, None) for i, t in rows[2]], [(1, item), (2, None)])}
