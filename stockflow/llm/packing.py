@@ -10,8 +10,9 @@ Pieces are dealt to packers by a hash of their row, some ``PIECES`` to each, so
 rows meets in one.  A packer takes its pieces longest first: on the test tables that leaves 0.01 to 0.03 % more sequences than
 the total of ids needs at least, and 0.4 % in order of arrival.
 
-Texts are tokenised by the library, one word at a time: its pattern never spans ASCII white space and drops it, so the ids of a text are
-those of its runs without white space.  A task remembers the ids of runs it has met.
+Texts are tokenised by the library, one run at a time: its pattern never spans ASCII white space and drops it, so the ids of a text are
+those of its runs without white space.  In a run of plain letters and closing marks no match holds both, so the two are put together, and
+plain letters go to the library's model at once, past its rules for other characters.  A task remembers the ids of runs it has met.
 
 Defined cases: a null or empty text is the end id alone, one piece; equal rows and rows of equal ids are packed each; a null id stays null; a
 long text is cut into blocks at white space and never held as one list of runs; an empty table gives an empty result; columns
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -37,8 +39,17 @@ VOCABULARY, END, SIZE = "word_bpe_49k.json", 1, 4096
 #: Open sequences of a packer, and the pieces it is dealt on average.
 OPEN, PIECES = 4096, 1 << 15
 #: Runs remembered by a task, the longest one remembered, and bytes of a text that are cut into runs at a time.
-MEMORY, LONG, BLOCK = 500_000, 64, 1 << 20
+MEMORY, LONG, BLOCK = 600_000, 64, 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Letters of ASCII and Latin-1, which stay one character each when texts are normalised, as UTF-8; marks that may close a run of them.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?$#&%*]*)")
+
+
+def _byte_letters() -> str:
+    """The character that byte-level vocabularies write for each byte: itself if it is visible, else the next free one from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(visible)))}
+    return "".join(hidden.get(b, chr(b)) for b in range(256))
 
 
 class Tokens:
@@ -51,22 +62,43 @@ class Tokens:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
+    def _word(self, word: bytes) -> bytes:
+        if word not in self.known:
+            letters = word.decode().lower().encode().decode("latin-1").translate(self.letters)
+            self.known[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return self.known[word]
+
+    def _others(self, runs: list[bytes]) -> None:
         found = self.tokenizer.encode_batch([r.decode() for r in runs], add_special_tokens=False)
-        return {r: np.array(e.ids, "<u4").tobytes() for r, e in zip(runs, found)}
+        self.known.update((r, array("I", e.ids).tobytes()) for r, e in zip(runs, found))
+
+    def _learn(self, runs: set[bytes]) -> None:
+        others = []
+        for run in runs:
+            if not (plain := _PLAIN.fullmatch(run)):
+                others.append(run)
+            elif marks := plain[2]:
+                if marks not in self.known:
+                    self._others([marks])
+                self.known[run] = self._word(plain[1]) + self.known[marks]
+            else:
+                self._word(run)
+        self._others(others)
 
     def _block(self, block: bytes) -> bytes:
-        runs = block.split()
+        # The library lowers letters itself; a special string in other letters is not special, so that texts with one stay as they are.
+        runs = (block if b"<|" in block else block.lower()).split()
         new = set(runs).difference(self.known)
         if len(self.known) + len(new) > MEMORY:
             self.known, new = {}, set(runs)
-        self.known.update(self._learn([*new]))
+        self._learn(new)
         out = b"".join(map(self.known.__getitem__, runs))
         for run in new:
             if len(run) > LONG:
-                del self.known[run]
+                self.known.pop(run, None)
         return out
 
     def encode(self, text: bytes) -> bytes:

@@ -15,7 +15,7 @@ def library():
 
 
 def test_ids_equal_the_library_on_random_strings(library, monkeypatch):
-    pieces = ["a", "The", " ", "  ", "\n", "é", "é", "́", "Σ", "ΑΣ", "İ", "ß", "<|endoftext|>", "😀", "\x1c", "\x85", "\xa0", "　", "12", "'s", "....", "漢字", "z" * 70, "ab" * 300]
+    pieces = ["a", "The", " ", "  ", "\n", "é", "é", "́", "Σ", "ΑΣ", "İ", "ß", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "Word", "É", "ÿ", "×", "÷", "œ", ".", ",", "$#", "*", '"', "'", "<", "̸", "=", "😀", "\x1c", "\x85", "\xa0", "　", "12", "'s", "....", "漢字", "z" * 70, "ab" * 300]
     rng = random.Random(5)
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(400)]
     for block, memory in ((1 << 20, 500_000), (10, 12), (10, 0)):
