@@ -6,9 +6,11 @@ eigenvectors); everything that touches all rows is an aggregate or a projection.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,8 @@ CONTAMINATION = 0.05
 SEED = 42
 COMPONENTS = 5
 EULER = 0.5772156649015329
+#: Concentration steps at most, the last bin of squared distances, and the upper quartile of a standard normal variable.
+STEPS, LAST_BIN, NORMAL_QUARTILE = 7, 4000, 0.6744897501960817
 
 
 # ---------------------------------------------------------------- preparation
@@ -71,29 +75,39 @@ def _path_norm(n) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, general))
 
 
-def _grow(tree: int, x: np.ndarray, max_depth: int) -> pd.DataFrame:
+def hashed(text: str) -> float:
+    """A number between 0 and 1 from the first 52 bits of MD5 of ``text``; ``hashed_column`` is the same in Spark."""
+    return (int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+
+def hashed_column(*parts: Column) -> Column:
+    digits = F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13)
+    return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def _grow(tree: int, x: np.ndarray, many: np.ndarray, max_depth: int) -> pd.DataFrame:
     """One tree as a complete binary heap: (feature, cut) per inner node, path length per bottom node.
 
-    Nodes are cut at a random value of a random feature until a single point or the depth limit is
-    left; the nodes below a leaf repeat its path length, so scoring needs no test for leaves.
+    ``many`` says how often the tree drew each of the different rows ``x``.  Nodes are cut at a random value of a random feature, both by
+    a hash of tree and node, until a single point or the depth limit is left; the nodes below a leaf repeat its path length,
+    so scoring needs no test for leaves.
     """
-    rng = np.random.default_rng([SEED, tree])
     inner = 2**max_depth - 1
     feature, cut, path = np.zeros(inner, dtype=np.int32), np.full(inner, np.inf), np.zeros(2 * inner + 1)
     pending = [(0, np.arange(len(x)), 0)]
     while pending:
         node, rows, depth = pending.pop()
-        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
+        low, high, size = x[rows].min(axis=0), x[rows].max(axis=0), int(many[rows].sum())
         varying = np.flatnonzero(high > low)
-        if depth >= max_depth or len(rows) <= 1 or len(varying) == 0:
+        if depth >= max_depth or size <= 1 or len(varying) == 0:
             first, width = node, 1
             for _ in range(max_depth - depth):
                 first, width = 2 * first + 1, 2 * width
-            path[first : first + width] = depth + float(_path_norm(len(rows)))
+            path[first : first + width] = depth + float(_path_norm(size))
             continue
-        feature[node] = rng.choice(varying)
-        cut[node] = rng.uniform(low[feature[node]], high[feature[node]])
-        left = x[rows, feature[node]] <= cut[node]
+        f = feature[node] = varying[int(hashed(f"{SEED}:{tree}:{node}:feature") * len(varying))]
+        cut[node] = low[f] + hashed(f"{SEED}:{tree}:{node}:cut") * (high[f] - low[f])
+        left = x[rows, f] <= cut[node]
         pending += [(2 * node + 1, rows[left], depth + 1), (2 * node + 2, rows[~left], depth + 1)]
     return pd.DataFrame({"tree": [tree], "feature": [feature.tolist()], "cut": [cut.tolist()], "path": [path[inner:].tolist()]})
 
@@ -109,33 +123,72 @@ class Forest:
     scored: DataFrame | None = None
 
 
+def _codes(scaling: Scaling) -> list[Column]:
+    """Each value, missing ones at the median, as a whole number of steps of 2 ** -40 of its spread or finer.
+
+    The step is a power of two, so a code does not depend on the last digit of the spread; codes end at 2 ** 62.
+    """
+    out = []
+    for c in scaling.columns:
+        step = 2.0 ** (math.ceil(math.log2(scaling.spreads[c])) - 40)
+        steps = F.floor(F.greatest(F.least(F.coalesce(F.col(c).cast("double"), F.lit(scaling.medians[c])) / F.lit(step), F.lit(2.0**62)), F.lit(-(2.0**62))))
+        out.append(steps.cast("string"))
+    return out
+
+
+def _binomial(u: Column, copies: Column, none: Column, rate: float) -> Column:
+    """How many of ``copies`` are drawn, each with chance ``rate``, where ``none`` is the chance of none: the inverse distribution at ``u``."""
+    mean = copies * rate
+    most = F.least(copies, F.ceil(mean + 12 * F.sqrt(mean) + 30)).cast("int")
+    start = F.struct(none.alias("p"), none.alias("upto"), F.lit(0).alias("k"))
+
+    def step(at: Column, j: Column) -> Column:
+        p = at["p"] * (copies - j + 1) / j * (rate / (1 - rate))
+        return F.struct(p.alias("p"), (at["upto"] + p).alias("upto"), F.when(u >= at["upto"], j.cast("int")).otherwise(at["k"]).alias("k"))
+
+    single = (u >= none).cast("int")
+    return F.when(copies == 1, single).otherwise(F.aggregate(F.sequence(F.lit(1), most), start, step, lambda at: at["k"]))
+
+
+def draw(df: DataFrame, scaling: Scaling, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+    """(tree, x, many): the rows that each tree takes, equal ones counted; about ``min(sample, n)`` rows a tree.
+
+    Equal rows are counted first.  Each of their copies has the same chance in every tree, so a tree takes a binomial share of the count,
+    by a hash of row and tree: a row that half of the table repeats is one row of a tree, with a count.  The first tree that
+    takes a row is drawn at once, its distance from the start being geometric, so rows that no tree takes cost one hash.
+    """
+    n = scaling.rows
+    rate = min(sample, n) / max(n, 1)
+    counted = df.select(F.array(*scaling.vector()).alias("x"), F.concat_ws(",", *_codes(scaling)).alias("code"))
+    counted = counted.groupBy("x", "code").agg(F.count(F.lit(1)).alias("copies"))
+    if rate >= 1:
+        every = counted.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        return every.select("tree", "x", F.col("copies").cast("int").alias("many"))
+    seed = F.lit(str(SEED))
+    log = math.log1p(-rate)
+    first = F.floor(F.log(hashed_column(seed, F.col("code"))) / (F.col("copies") * log))
+    taken = counted.withColumn("first", F.least(first, F.lit(trees)).cast("int")).filter(F.col("first") < trees)
+    taken = taken.withColumn("none", F.exp(F.col("copies") * log)).withColumn("tree", F.explode(F.sequence(F.col("first"), F.lit(trees - 1))))
+    u = hashed_column(seed, F.col("tree").cast("string"), F.col("code"))
+    u = F.when(F.col("tree") == F.col("first"), F.col("none") + (1 - F.col("none")) * u).otherwise(u)
+    taken = taken.withColumn("u", u).withColumn("many", _binomial(F.col("u"), F.col("copies"), F.col("none"), rate))
+    return taken.filter("many > 0").select("tree", "x", "many")
+
+
 def fit_forest(df: DataFrame, scaling: Scaling, trees: int = TREES, sample: int = SAMPLE, contamination: float = CONTAMINATION) -> Forest:
-    """Grow ``trees`` trees in parallel, each on a sample of about ``min(sample, n)`` rows.
+    """Grow ``trees`` trees in parallel, each on a sample of about ``min(sample, n)`` rows (``draw``).
 
-    Each row draws, by a hash of all its columns, how many trees take it (binomial, rate sample / n) and which ones, so every row has the
-    same chance in every tree, whatever the partitioning, and a tree's rows meet in one group of known size (rows equal in all
-    columns draw alike); at most ``trees`` small trees reach the driver.
+    A tree's rows meet in one group of known size, however often a row repeats; at most ``trees`` small trees reach the driver.
     """
-    spark, n = df.sparkSession, scaling.rows
+    n = scaling.rows
     psi = min(sample, n)
-    rate, max_depth = psi / max(n, 1), int(np.ceil(np.log2(max(psi, 2))))
-    # Chances of at most 0, 1, 2 ... trees for a row.
-    chances = np.cumsum([math.comb(trees, k) * rate**k * (1 - rate) ** (trees - k) for k in range(trees)])
-    many = F.size(F.filter(F.array(*[F.lit(float(c)) for c in chances if c < 1 - 1e-15]), lambda c: c < F.col("u")))
-    if rate >= 1:
-        many = F.lit(trees)
-    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    drawn = df.select(F.array(*scaling.vector()).alias("x"), F.xxhash64(F.lit(SEED), *plain).alias("h"))
-    drawn = drawn.withColumn("u", F.pmod("h", F.lit(1 << 53)) / float(1 << 53)).withColumn("many", many).filter("many > 0")
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64("h", t).alias("k"), t.alias("tree"))))
-    drawn = drawn.select("x", F.explode(F.slice(order, F.lit(1), F.col("many"))["tree"]).alias("tree"))
+    max_depth = int(np.ceil(np.log2(max(psi, 2))))
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        data = np.array(sorted(map(tuple, rows["x"])), dtype=float)
-        return _grow(int(rows["tree"].iloc[0]), data, max_depth)
+        return _grow(int(rows["tree"].iloc[0]), np.array(rows["x"].tolist(), dtype=float), rows["many"].to_numpy(), max_depth)
 
     schema = "tree int, feature array<int>, cut array<double>, path array<double>"
-    grown = drawn.groupBy("tree").applyInPandas(grow, schema).toPandas().sort_values("tree")
+    grown = draw(df, scaling, trees, sample).groupBy("tree").applyInPandas(grow, schema).toPandas().sort_values("tree")
     arrays = tuple(np.array(grown[c].tolist(), dtype=t) for c, t in (("feature", np.intp), ("cut", float), ("path", float)))
     forest = Forest(scaling, arrays, max_depth, psi)
     forest.fitted, forest.scored = df, _scored(df, forest)  # scoring is the costly pass: once
@@ -165,7 +218,8 @@ def isolation_score(spark, forest: Forest, vector: Column) -> Column:
                     right = cells.take(row + f.take(node)) > c.take(node)
                     node = 2 * node + 1 + right
                 total += p.take(node - inner)
-            yield pd.Series(np.power(2.0, -total / len(feature) / (norm or 1.0)))
+            # The order of a sum does not show in seven decimals, so equal paths have equal scores.
+            yield pd.Series(np.round(np.power(2.0, -total / len(feature) / (norm or 1.0)), 7))
 
     return score(vector)
 
@@ -182,13 +236,7 @@ class Ellipse:
 
     def distance(self) -> Column:
         """Squared Mahalanobis distance as a plain column expression."""
-        x = [v - F.lit(float(m)) for v, m in zip(self.scaling.vector(), self.location)]
-        total = F.lit(0.0)
-        for i, a in enumerate(x):
-            for j in range(i, len(x)):
-                weight = float(self.precision[i, j]) * (1 if i == j else 2)
-                total = total + a * x[j] * F.lit(weight)
-        return total
+        return _squared(self.scaling.vector(), self.location, self.precision)
 
 
 def _moments(df: DataFrame, vector: list[Column]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -207,40 +255,116 @@ def _moments(df: DataFrame, vector: list[Column]) -> tuple[int, np.ndarray, np.n
     return row["n"], np.array([row[f"m{i}"] or 0.0 for i in range(p)]), cov
 
 
-def fit_ellipse(df: DataFrame, scaling: Scaling, contamination: float = CONTAMINATION, steps: int = 10) -> Ellipse:
-    """Minimum covariance determinant by concentration steps from a median/MAD start.
+def _squared(x: list[Column], centre: np.ndarray, precision: np.ndarray) -> Column:
+    """Squared Mahalanobis distance as a plain column expression."""
+    away = [v - F.lit(float(m)) for v, m in zip(x, centre)]
+    total = F.lit(0.0)
+    for i, a in enumerate(away):
+        for j in range(i, len(away)):
+            total = total + a * away[j] * F.lit(float(precision[i, j]) * (1 if i == j else 2))
+    return total
+
+
+def bin_of(d2: Column) -> Column:
+    """The bin of a squared distance on a fixed grid: a step is one hundredth of ln(1 + d2), the last bin is open."""
+    return F.floor(F.least(100 * F.log1p(F.greatest(d2, F.lit(0.0))), F.lit(float(LAST_BIN)))).cast("int")
+
+
+def edge_of(bins: np.ndarray) -> np.ndarray:
+    """Where a bin ends."""
+    return np.expm1((np.asarray(bins) + 1) / 100)
+
+
+def _binned(df: DataFrame, vector: list[Column], models: dict[int, tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """Size and sums of values and products for each start and bin of its distance, of all ``models`` in one scan.
 
-    Each step keeps the half of the rows nearest to the current centre: one sketched median (where
-    exactly the half ends does not matter to the iteration) and one aggregate.  A final reweighting drops
-    rows beyond the 97.5 % chi-squared distance; the flagging threshold is exact.
+    At most ``LAST_BIN`` + 1 rows for each start reach the driver.
     """
-    p = len(scaling.columns)
-    vector = scaling.vector()
-    spread = df.select(*[F.abs(v).alias(c) for v, c in zip(vector, scaling.columns)])  # medians are 0 after scaling
-    n = scaling.rows
-    mads = exact_quantiles(spread, scaling.columns, [0.5], rows=n).first()
-    start = np.array([((mads[c][0] if mads[c] else 0.0) * 1.4826) or 1.0 for c in scaling.columns])
-    model = Ellipse(scaling, np.zeros(p), np.diag(1 / start**2))
-    previous = np.inf
+    p = len(vector)
+    names = [f"v{i}" for i in range(p)]
+    x = df.select(*[v.alias(c) for v, c in zip(vector, names)])
+    bins = [F.struct(F.lit(k).alias("start"), bin_of(_squared([F.col(c) for c in names], *m)).alias("bin")) for k, m in models.items()]
+    spread = x.withColumn("at", F.explode(F.array(*bins))).select("at.start", "at.bin", *names)
+    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(names)]
+    products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
+    return spread.groupBy("start", "bin").agg(F.count(F.lit(1)).alias("n"), *sums, *products).toPandas().sort_values(["start", "bin"])
+
+
+def _of_bins(bins: pd.DataFrame, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population covariance of the rows in ``bins``."""
+    total = bins.drop(columns=["start", "bin"]).sum()
+    n, mean, cov = max(total["n"], 1), np.array([total[f"s{i}"] for i in range(p)], float), np.zeros((p, p))
+    mean = mean / n
+    for i in range(p):
+        for j in range(i, p):
+            cov[i, j] = cov[j, i] = total[f"s{i}_{j}"] / n - mean[i] * mean[j]
+    return mean, cov
+
+
+def _half(bins: pd.DataFrame, rows: int) -> pd.DataFrame:
+    """The first bins that hold at least half of ``rows``."""
+    return bins[(bins["n"].cumsum() - bins["n"]) * 2 < rows]
+
+
+def fit_ellipse(df: DataFrame, scaling: Scaling, contamination: float = CONTAMINATION, steps: int = STEPS) -> Ellipse:
+    """Minimum covariance determinant by concentration steps from three fixed starts.
+
+    Starts are the median with the spread of normal columns, and the moments of all rows and of the rows within one spread of the median.
+    A step keeps the half of the rows nearest to the centre, in whole bins of a fixed grid of distances: all starts take it in one scan
+    that sums sizes, values and products for each bin.  A start that no longer moves rests; the least determinant wins.  A final
+    reweighting drops the bins beyond the 97.5 % chi-squared distance; the flagging threshold is exact.  At most ``steps`` + 2
+    scans and one exact quantile.
+    """
+    p, vector, n = len(scaling.columns), scaling.vector(), scaling.rows
+    near = reduce(Column.__and__, [F.abs(v) <= 1 for v in vector])
+    first = _all_and_near(df, vector, near)
+    spread = np.eye(p) / (1 / (2 * NORMAL_QUARTILE)) ** 2
+    models = {0: (np.zeros(p), spread)} | {k + 1: (m, np.linalg.pinv(c)) for k, (m, c) in enumerate(first)}
+    moving, kept = dict(models), {}
     for _ in range(steps):
-        scored = df.withColumn("_d2", model.distance())
-        cut = scored.agg(F.percentile_approx("_d2", 0.5, 10_000).alias("cut")).first()["cut"]
-        _, centre, cov = _moments(scored.filter(F.col("_d2") <= cut), vector)
-        determinant = float(np.linalg.det(cov))
-        model = Ellipse(scaling, centre, np.linalg.pinv(cov))
-        if not determinant < previous * (1 - 1e-3):
+        bins = _binned(df, vector, moving)
+        for k in [*moving]:
+            half = _half(bins[bins["start"] == k], n)
+            mean, cov = _of_bins(half, p)
+            counts = half["n"].tolist()
+            still = k in kept and kept[k][0] == counts and np.allclose(kept[k][2], cov, rtol=1e-12, atol=0)
+            kept[k] = (counts, mean, cov)
+            moving[k] = (mean, np.linalg.pinv(cov))
+            if still:
+                del moving[k]
+        if not moving:
             break
-        previous = determinant
-    scored = df.withColumn("_d2", model.distance())
-    factor = exact_quantiles(scored, ["_d2"], [0.5], rows=n).first()["_d2"][0] / chi2_quantile(0.5, p)
-    near = scored.filter(F.col("_d2") <= factor * chi2_quantile(0.975, p))
-    _, centre, cov = _moments(near, vector)
+    # Determinants that agree to nine digits are the same ellipse; of these the first start is taken.
+    best = min(kept, key=lambda k: (float(f"{np.linalg.det(kept[k][2]):.9g}"), k))
+    _, centre, cov = kept[best]
+    bins = _binned(df, vector, {0: (centre, np.linalg.pinv(cov))})
+    factor = edge_of(_half(bins, n)["bin"].max()) / chi2_quantile(0.5, p)
+    centre, cov = _of_bins(bins[edge_of(bins["bin"]) <= factor * chi2_quantile(0.975, p)], p)
     model = Ellipse(scaling, centre, np.linalg.pinv(cov))
     distances = df.select(model.distance().alias("d2"))
     model.offset = exact_quantiles(distances, ["d2"], [1 - contamination], rows=n).first()["d2"][0]
     return model
 
 
+def _all_and_near(df: DataFrame, vector: list[Column], near: Column) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and covariance of all rows and of the ``near`` ones, in one scan."""
+    p = len(vector)
+    named = df.select(*[v.alias(f"v{i}") for i, v in enumerate(vector)], near.alias("near"))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    kinds = {"all": lambda c: c, "near": lambda c: F.when(F.col("near"), c)}
+    row = named.agg(
+        *[F.avg(of(F.col(f"v{i}"))).alias(f"{k}_m{i}") for k, of in kinds.items() for i in range(p)],
+        *[F.avg(of(F.col(f"v{i}") * F.col(f"v{j}"))).alias(f"{k}_c{i}_{j}") for k, of in kinds.items() for i, j in pairs],
+    ).first()
+    out = []
+    for k in kinds:
+        mean, cov = np.array([row[f"{k}_m{i}"] or 0.0 for i in range(p)]), np.zeros((p, p))
+        for i, j in pairs:
+            cov[i, j] = cov[j, i] = (row[f"{k}_c{i}_{j}"] or 0.0) - mean[i] * mean[j]
+        out.append((mean, cov))
+    return out
+
+
 # ---------------------------------------------------------------- PCA
 
 

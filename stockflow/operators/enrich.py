@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockflow.functions.scalars import date_features, ratio
-from stockflow.operators.ordered import HOT_ROWS, over_entities
+from stockflow.operators.ordered import HOT_ROWS, over_entities, same_keys
+from stockflow.session import store
 
 LAGS = (1, 7, 30)
 
@@ -25,11 +26,12 @@ def add_date_features(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def group_means(df: DataFrame, key: str, means: dict[str, str]) -> DataFrame:
     """Add ``{new: mean of column per key}`` to every row.
 
-    An aggregate joined back, not a window: partial aggregation and AQE's skew-join split keep a
-    dominant key out of a single task.
+    The means are an aggregate that is written before it is joined back (a NULL key has a mean of its own), not a window.  An
+    aggregate that already stands on the join key would leave no exchange between the two, and AQE could not split the join; a
+    written one is either small enough to be sent to the rows or joined through exchanges whose hot partitions are split.
     """
     stats = df.groupBy(key).agg(*[F.avg(c).alias(new) for new, c in means.items()])
-    return df.join(stats, key, "left")
+    return same_keys(df, store(stats, "means"), [key], "left")
 
 
 def _with_revenue(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from stockflow.session import ensure_checkpoints
+from stockflow.session import ensure_checkpoints, store
 
 SEG = "_segment"
 HOT_ROWS = 2_000_000  # rows of one key that a single window task may sort
@@ -107,29 +107,37 @@ def with_positions(df: DataFrame, out: str, by: Sequence[str], order: Order, hot
     return numbered.withColumn(out, (F.col(out) - 1).cast("int"))
 
 
+def _reached(sizes: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
+    """(by, segment, target, after) of ``sizes`` (by, segment, rows in its tail): the later segments that a segment's tail reaches.
+
+    ``after``, the rows of the tails between, is below ``reach``.  With all tails of a key in a row, targets begin within ``reach`` places
+    of a segment's end, so places are cut into stretches of ``reach`` and a segment meets the targets of two of them.
+    """
+    earlier = Window.partitionBy(*by).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    placed = store(sizes.withColumn("_start", F.coalesce(F.sum("_tail").over(earlier), F.lit(0))), "segments")
+    stretch = F.floor(F.col("_start") / reach)
+    targets = placed.select(*by, F.col(SEG).alias("_target"), F.col("_start").alias("_begin"), stretch.alias("_stretch"))
+    ends = placed.select(*by, SEG, (F.col("_start") + F.col("_tail")).alias("_end"))
+    ends = ends.withColumn("_stretch", F.explode(F.array(F.floor(F.col("_end") / reach), F.floor(F.col("_end") / reach) + 1)))
+    near = same_keys(ends, targets, [*by, "_stretch"]).withColumn("_after", F.col("_begin") - F.col("_end"))
+    return near.filter((F.col("_after") >= 0) & (F.col("_after") < reach)).select(*by, SEG, "_target", "_after")
+
+
 def _halo(rows: DataFrame, by: Sequence[str], order: Order, reach: int) -> DataFrame:
     """Copies of the ``reach`` rows that precede each segment, labelled with that segment.
 
     Only the last ``reach`` rows of a segment can be within reach of a later one, so the copies are
-    made from those tails: at most ``reach`` rows per (key, segment), whatever the key's size.
+    made from those tails: at most ``reach`` rows per (key, segment), whatever the key's size and however many segments it has.
     """
     sizes = rows.groupBy(*by, SEG).agg(F.least(F.count(F.lit(1)), F.lit(reach)).alias("_tail"))
-    earlier = Window.partitionBy(*by).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_tail").over(earlier), F.lit(0)))
-    targets = starts.groupBy(*by).agg(F.collect_list(F.struct(F.col(SEG).alias("seg"), F.col("_start").alias("start"))).alias("_targets"))
-    targets = targets.filter(F.size("_targets") > 1)
-    forward = Window.partitionBy(*by, SEG).orderBy(*order)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*by, SEG))
-    tails = rows.withColumn("_from_end", size - F.row_number().over(forward)).filter(F.col("_from_end") < reach)
-    placed = same_keys(same_keys(tails, starts, [*by, SEG]), targets, list(by))
-    position = F.col("_start") + F.col("_tail") - F.col("_from_end")  # 1-based among the key's tails
-    near = F.filter("_targets", lambda t: (t["seg"] > F.col(SEG)) & (t["start"] - F.col("_position") < reach))
-    return (
-        placed.withColumn("_position", position)
-        .withColumn("_target", F.explode(near))
-        .withColumn(SEG, F.col("_target.seg"))
-        .select(*rows.columns)
-    )
+    backward = Window.partitionBy(*by, SEG).orderBy(*[c.desc_nulls_last() for c in map(_column, order)])
+    tails = rows.withColumn("_from_end", F.row_number().over(backward)).filter(F.col("_from_end") <= reach)
+    near = same_keys(tails, _reached(sizes, by, reach), [*by, SEG]).filter(F.col("_after") + F.col("_from_end") <= reach)
+    return near.drop(SEG).withColumnRenamed("_target", SEG).select(*rows.columns)
+
+
+def _column(name: str | Column) -> Column:
+    return F.col(name) if isinstance(name, str) else name
 
 
 def over_entities(

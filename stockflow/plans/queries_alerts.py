@@ -52,12 +52,13 @@ def alert_routing(spark, d):
     return al.route(v.alerts(spark, d)).select("alert_id", "severity", F.array_join("channels", ",").alias("channels"))
 
 
+# Amounts have four decimals; half a cent goes up.
 @query(
     "alert_messages",
     sql_with(
         "daily",
-        f"""WITH {qa.RECORDS} SELECT 'Anomaly Detected: ' || metric_name AS title, 'Anomaly detected in ' || metric_name || '.' || chr(10) || 'Entity: ' || entity_id || chr(10) || 'Actual Value: '
-            || printf('%.2f', actual_value) || chr(10) || 'Expected Value: ' || printf('%.2f', expected_value) || chr(10) || 'Deviation: ' || printf('%.1f', deviation_percentage) || '%' || chr(10)
+        f"""WITH {qa.FULL_RECORDS} SELECT 'Anomaly Detected: ' || metric_name AS title, 'Anomaly detected in ' || metric_name || '.' || chr(10) || 'Entity: ' || entity_id || chr(10) || 'Actual Value: '
+            || printf('%.2f', round(actual_value::DECIMAL(20, 4), 2)::DOUBLE) || chr(10) || 'Expected Value: ' || printf('%.2f', expected_value) || chr(10) || 'Deviation: ' || printf('%.1f', deviation_percentage) || '%' || chr(10)
             || 'Confidence: ' || printf('%.1f', confidence_score * 100) || '%' || chr(10) || chr(10) || 'Recommendation: ' || recommendation AS message, severity, timestamp AS ts,
             printf('%.2f', z_score) AS z_label, 'anomaly_' || metric_name || '_' || entity_id AS dedup_key FROM records""",
     ),

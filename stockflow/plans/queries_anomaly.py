@@ -11,7 +11,7 @@ from stockflow.operators import anomaly_ml as ml
 from stockflow.operators import anomaly_statistical as stat
 from stockflow.operators import anomaly_timeseries as ts
 from stockflow.operators.quality import anomaly_rules, rule_failures
-from stockflow.plans import kpi
+from stockflow.plans import kpi, sql_models
 from stockflow.plans import views as v
 from stockflow.plans.registry import query
 from stockflow.plans.views import sql_with
@@ -205,11 +205,33 @@ def pca_error(spark, d):
     return out.select("entity_id", "ds", F.round("pca_error", 6).alias("pca_error"), "pca_flag")
 
 
-@query("iforest")
+LINES_X = sql_models.scaled("sales", METRICS, "l_orderkey, l_linenumber")
+DAILY_X = sql_models.scaled("daily", ["y", "q"], "entity_id, ds")
+
+
+def _forest_sql(forest: str) -> str:
+    return sql_with(
+        "sales",
+        f"""WITH {LINES_X},\n{forest}
+        SELECT l_orderkey, l_linenumber, score AS isolation, forest_flag, round(ml_score, 6) AS ml_score FROM x JOIN forest USING (id)""",
+    )
+
+
+def _forest_rows(lines, forest):
+    out = ml.forest_detect(lines, forest)
+    return out.select("l_orderkey", "l_linenumber", "isolation", "forest_flag", F.round("ml_score", 6).alias("ml_score"))
+
+
+@query("iforest", _forest_sql(sql_models.forest(3, ml.TREES, ml.SAMPLE, 8)))
 def iforest(spark, d):
     lines = _lines(spark, d)
-    forest = ml.fit_forest(lines, ml.fit_scaling(lines, METRICS))
-    return ml.forest_detect(lines, forest).select("l_orderkey", "l_linenumber", "isolation", "forest_flag", "ml_score")
+    return _forest_rows(lines, ml.fit_forest(lines, ml.fit_scaling(lines, METRICS)))
+
+
+@query("iforest_small", _forest_sql(sql_models.forest(3, 8, 8, 3)))
+def iforest_small(spark, d):
+    lines = _lines(spark, d)
+    return _forest_rows(lines, ml.fit_forest(lines, ml.fit_scaling(lines, METRICS), trees=8, sample=8))
 
 
 @query("robust_cov")
@@ -219,10 +241,32 @@ def robust_cov(spark, d):
     return ml.ellipse_detect(lines, ellipse).select("l_orderkey", "l_linenumber", "mahalanobis2", "ellipse_flag")
 
 
-@query("anomaly_ml_vote")
+@query(
+    "robust_cov_pair",
+    sql_with("daily", f"""WITH {DAILY_X},\n{sql_models.ellipse()}
+        SELECT entity_id, ds, round(d2, 6) AS mahalanobis2, ellipse_flag FROM x JOIN ellipse USING (id)"""),
+)
+def robust_cov_pair(spark, d):
+    series = materialize(v.daily(spark, d))
+    out = ml.ellipse_detect(series, ml.fit_ellipse(series, ml.fit_scaling(series, ["y", "q"])))
+    return out.select("entity_id", "ds", F.round("mahalanobis2", 6).alias("mahalanobis2"), "ellipse_flag")
+
+
+VOTES = "forest_flag::INT + ellipse_flag::INT + pca_flag::INT"
+#: CTEs of all three detectors over the daily rows, up to ``votes`` (id, ml_votes, ml_score).
+VOTE_SQL = f"""{DAILY_X},
+{sql_models.forest(2, ml.TREES, ml.SAMPLE, 8)},
+{sql_models.ellipse()},
+{sql_models.residual()},
+votes AS MATERIALIZED (SELECT id, {VOTES} AS ml_votes, ml_score FROM forest JOIN ellipse USING (id) JOIN residual USING (id))"""
+
+
+@query("anomaly_ml_vote", sql_with("daily", f"""WITH {VOTE_SQL}
+    SELECT entity_id, ds, ml_votes, ml_votes >= 2 AS ml_flag, round(ml_score, 6) AS ml_score FROM x JOIN votes USING (id)"""))
 def anomaly_ml_vote(spark, d):
     series = materialize(v.daily(spark, d))
-    return ml.ml_detect(series, ml.fit_ml(series, ["y", "q"])).select("entity_id", "ds", "ml_votes", "ml_flag", "ml_score")
+    out = ml.ml_detect(series, ml.fit_ml(series, ["y", "q"]))
+    return out.select("entity_id", "ds", "ml_votes", "ml_flag", F.round("ml_score", 6).alias("ml_score"))
 
 
 # ---------------------------------------------------------------- ensemble and records
@@ -255,13 +299,33 @@ def anomaly_ensemble_stat_ts(spark, d):
     return out.select("entity_id", "ds", "stat_score", *[F.round(c, 6).alias(c) for c in ("ts_score", "ensemble_score")])
 
 
-@query("anomaly_ensemble")
-def anomaly_ensemble(spark, d):
-    scored, _ = _detector_scores(spark, d)
+#: CTEs of the three-part ensemble; ``ens`` has the score of each daily row.
+FULL_ENSEMBLE = f"""{_fit_sql(["y", "q"], "daily")},
+    {VOTE_SQL},
+    rolled AS (SELECT *, {", ".join(f"abs({c} - avg({c}) OVER w) / CASE WHEN stddev_samp({c}) OVER w = 0 THEN 1e-10 ELSE stddev_samp({c}) OVER w END AS z{c}" for c in ("y", "q"))}
+       FROM daily WINDOW w AS (PARTITION BY entity_id ORDER BY ds ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+    scored AS (SELECT *, {_score_sql(["y", "q"])} AS stat_score, greatest(0, {_capped_sql("zy")}, {_capped_sql("zq")}) AS ts_score FROM rolled, fit),
+    ens AS (SELECT scored.*, ml_score, stat_score * 0.35::DOUBLE + ml_score * 0.40::DOUBLE + ts_score * 0.25::DOUBLE AS score
+       FROM scored JOIN x USING (entity_id, ds) JOIN votes USING (id))"""
+
+
+def _three_part(spark, d):
+    """Daily rows with the scores of all three detectors and their ensemble, and the fitted statistics."""
+    scored, model = _detector_scores(spark, d)
     scored = materialize(scored)
     out = ml.ml_detect(scored, ml.fit_ml(scored, ["y", "q"]))
-    out = ens.ensemble_score(out, {"statistical": "stat_score", "ml": "ml_score", "timeseries": "ts_score"})
-    return out.select("entity_id", "ds", "stat_score", "ml_score", "ts_score", "ensemble_score", (F.col("ensemble_score") > ens.MIN_CONFIDENCE).alias("is_anomaly"))
+    return ens.ensemble_score(out, {"statistical": "stat_score", "ml": "ml_score", "timeseries": "ts_score"}), model
+
+
+@query(
+    "anomaly_ensemble",
+    sql_with("daily", f"""WITH {FULL_ENSEMBLE} SELECT entity_id, ds, stat_score, round(ml_score, 6) AS ml_score, round(ts_score, 6) AS ts_score, round(score, 6) AS ensemble_score,
+        score > 0.5 AS is_anomaly FROM ens"""),
+)
+def anomaly_ensemble(spark, d):
+    out, _ = _three_part(spark, d)
+    rounded = [F.round(c, 6).alias(c) for c in ("ml_score", "ts_score", "ensemble_score")]
+    return out.select("entity_id", "ds", "stat_score", *rounded, (F.col("ensemble_score") > ens.MIN_CONFIDENCE).alias("is_anomaly"))
 
 
 def _factor_sql(c: str, i: int) -> str:
@@ -269,7 +333,7 @@ def _factor_sql(c: str, i: int) -> str:
     return f"CASE WHEN abs({sigma}) > 1.5 THEN {{'k': -abs({sigma}), 'i': {i}, 't': '{c}:' || CASE WHEN abs({sigma}) > 3 THEN 'high' ELSE 'moderate' END, 'high': (abs({sigma}) > 3)::INT}} END"
 
 
-RECORDS = f"""{ENSEMBLE},
+_RECORDS = f"""
     factored AS (SELECT *, list_sort(list_filter([{_factor_sql("y", 0)}, {_factor_sql("q", 1)}], lambda x: x IS NOT NULL)) AS f,
         {_capped_sql(_mod_z("q"))} > {_capped_sql(_mod_z("y"))} AS by_q FROM ens WHERE score > 0.5),
     graded AS (SELECT *, CASE WHEN score > 0.9 OR list_sum(list_transform(f, lambda x: x.high)) >= 3 THEN 'critical' WHEN score > 0.7 OR list_sum(list_transform(f, lambda x: x.high)) >= 1 THEN 'warning' ELSE 'info' END AS severity FROM factored),
@@ -277,38 +341,37 @@ RECORDS = f"""{ENSEMBLE},
         CASE WHEN by_q THEN q_median ELSE y_median END AS expected_value, score * 100 AS deviation_percentage, score * 3 AS z_score, severity, score AS confidence_score,
         array_to_string(list_transform(f, lambda x: x.t), ',') AS factors,
         'Investigate the anomaly and review related processes.' || CASE WHEN severity = 'critical' THEN ' URGENT: Escalate to management immediately.' ELSE '' END AS recommendation FROM graded)"""
+RECORDS, FULL_RECORDS = f"{ENSEMBLE},{_RECORDS}", f"{FULL_ENSEMBLE},{_RECORDS}"
 
 
-def records(spark, d):
-    scored, model = _two_part(spark, d)
-    return ens.anomaly_records(scored, model, "entity_id", "ds", algorithm="ensemble_statistical_timeseries")
+RECORD_SQL = """metric_name, entity_id, timestamp, actual_value, round(expected_value, 4) AS expected_value, round(deviation_percentage, 4) AS deviation_percentage,
+            round(z_score, 6) AS z_score, severity, round(confidence_score, 6) AS confidence_score, factors, recommendation"""
 
 
-@query(
-    "anomaly_records",
-    sql_with(
-        "daily",
-        f"""WITH {RECORDS} SELECT metric_name, entity_id, timestamp, actual_value, round(expected_value, 4) AS expected_value, round(deviation_percentage, 4) AS deviation_percentage, round(z_score, 6) AS z_score,
-            severity, 'ensemble_statistical_timeseries' AS algorithm_used, round(confidence_score, 6) AS confidence_score, factors, recommendation FROM records""",
-    ),
-)
-def anomaly_records(spark, d):
+def _flat(records):
     factors = F.array_join(F.transform("contributing_factors", lambda f: F.concat_ws(":", f["factor"], f["impact"])), ",")
-    out = records(spark, d).withColumn("factors", factors).drop("contributing_factors", "is_acknowledged", "is_resolved")
+    out = records.withColumn("factors", factors).drop("contributing_factors", "is_acknowledged", "is_resolved")
     return out.withColumns({c: F.round(c, n) for c, n in (("expected_value", 4), ("deviation_percentage", 4), ("z_score", 6), ("confidence_score", 6))})
 
 
-@query("anomaly_records_ensemble")
+def records(spark, d):
+    """Records of all three detectors."""
+    scored, model = _three_part(spark, d)
+    return ens.anomaly_records(scored, model, "entity_id", "ds")
+
+
+@query("anomaly_records", sql_with("daily", f"WITH {RECORDS} SELECT {RECORD_SQL}, 'ensemble_statistical_timeseries' AS algorithm_used FROM records"))
+def anomaly_records(spark, d):
+    scored, model = _two_part(spark, d)
+    return _flat(ens.anomaly_records(scored, model, "entity_id", "ds", algorithm="ensemble_statistical_timeseries"))
+
+
+@query("anomaly_records_ensemble", sql_with("daily", f"WITH {FULL_RECORDS} SELECT {RECORD_SQL}, 'ensemble_statistical_ml_timeseries' AS algorithm_used FROM records"))
 def anomaly_records_ensemble(spark, d):
-    """Records of all three detectors; without SQL, as the forest is random."""
-    scored, model = _detector_scores(spark, d)
-    scored = materialize(scored)
-    out = ml.ml_detect(scored, ml.fit_ml(scored, ["y", "q"]))
-    out = ens.ensemble_score(out, {"statistical": "stat_score", "ml": "ml_score", "timeseries": "ts_score"})
-    return ens.anomaly_records(out, model, "entity_id", "ds")
+    return _flat(records(spark, d))
 
 
-@query("anomaly_valid", sql_with("daily", f"WITH {RECORDS} SELECT 'confidence_range' AS rule, count(*) FILTER (NOT confidence_score BETWEEN 0 AND 1) AS failed_records FROM records"))
+@query("anomaly_valid", sql_with("daily", f"WITH {FULL_RECORDS} SELECT 'confidence_range' AS rule, count(*) FILTER (NOT confidence_score BETWEEN 0 AND 1) AS failed_records FROM records"))
 def anomaly_valid(spark, d):
     return rule_failures(records(spark, d), anomaly_rules())
 
@@ -317,7 +380,7 @@ def anomaly_valid(spark, d):
     "recent_anomalies",
     sql_with(
         "daily",
-        f"""WITH {RECORDS} SELECT timestamp, metric_name AS metric, entity_id, upper(severity) AS severity, round(deviation_percentage, 2) AS deviation, 'open' AS status FROM records
+        f"""WITH {FULL_RECORDS} SELECT timestamp, metric_name AS metric, entity_id, upper(severity) AS severity, round(deviation_percentage, 2) AS deviation, 'open' AS status FROM records
             ORDER BY timestamp DESC, confidence_score DESC, entity_id, actual_value LIMIT 10""",
     ),
 )
@@ -329,7 +392,7 @@ def recent_anomalies(spark, d):
     "anomaly_filter",
     sql_with(
         "daily",
-        f"""WITH {RECORDS} SELECT metric_name, entity_id, timestamp, severity FROM records
+        f"""WITH {FULL_RECORDS} SELECT metric_name, entity_id, timestamp, severity FROM records
             WHERE severity IN ('critical', 'warning') AND timestamp > TIMESTAMP '1998-06-30' - INTERVAL 30 DAY AND timestamp <= TIMESTAMP '1998-06-30'""",
     ),
 )
@@ -337,7 +400,7 @@ def anomaly_filter(spark, d):
     return kpi.filter_anomalies(records(spark, d), datetime(1998, 6, 30), time_range="30d").select("metric_name", "entity_id", "timestamp", "severity")
 
 
-@query("anomaly_timeline", sql_with("daily", f"WITH {RECORDS} SELECT date_trunc('month', timestamp)::DATE AS ds, severity, count(*) AS n FROM records GROUP BY 1, 2"))
+@query("anomaly_timeline", sql_with("daily", f"WITH {FULL_RECORDS} SELECT date_trunc('month', timestamp)::DATE AS ds, severity, count(*) AS n FROM records GROUP BY 1, 2"))
 def anomaly_timeline(spark, d):
     return kpi.anomaly_timeline(records(spark, d), "month")
 

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +165,31 @@ def test_user_detector_joins_the_ensemble(spark):
     scored = stat.detect(mine.score(df, mine.fit(df)), stat.fit_statistics(df, ["x"]))
     out = ens.ensemble_score(scored, {"statistical": "anomaly_score", "above": "above_score"}, rescale=True)
     assert [r.x for r in out.filter("ensemble_score > 0.5").collect()] == [100]
+
+
+def test_forest_draws_equal_rows_by_their_count(spark):
+    # Two thirds of the rows are equal: every tree still takes about 256 rows, few of them different.
+    rng, apart = np.random.default_rng(1), np.arange(60_000) % 3 == 0
+    df = spark.createDataFrame(pd.DataFrame({"a": np.where(apart, rng.normal(size=60_000), 5.0), "b": np.where(apart, rng.normal(size=60_000), 7.0)}))
+    scaling = ml.fit_scaling(df, ["a", "b"])
+    drawn = ml.draw(df, scaling).toPandas()
+    taken = drawn.groupby("tree")["many"].sum()
+    assert len(taken) == ml.TREES and taken.between(190, 330).all() and abs(taken.mean() - 256) < 4
+    repeated = drawn[drawn["many"] > 20].groupby("tree")["many"].sum()
+    assert abs(repeated.mean() - 256 * 2 / 3) < 4 and 8 < repeated.std() < 18  # binomial: 171 and 13
+    assert drawn.groupby("tree").size().max() < 150
+
+
+def test_binomial_draws_follow_the_distribution(spark):
+    # The inverse distribution at evenly spaced points gives its mean and variance.
+    rows = spark.range(4000).selectExpr("(id + 0.5D) / 4000 AS u", "5000L AS copies").withColumn("none", F.exp(F.col("copies") * math.log1p(-0.01)))
+    k = rows.select(ml._binomial(F.col("u"), F.col("copies"), F.col("none"), 0.01).alias("k")).toPandas()["k"]
+    assert abs(k.mean() - 50) < 0.1 and abs(k.var() - 49.5) < 0.6
+
+
+def test_ellipse_takes_few_scans(spark, planted, monkeypatch):
+    scans = []
+    plain = ml._binned
+    monkeypatch.setattr(ml, "_binned", lambda *a: scans.append(1) or plain(*a))
+    ml.fit_ellipse(planted, ml.fit_scaling(planted, ["a", "b", "c"]))
+    assert 2 <= len(scans) <= ml.STEPS + 1

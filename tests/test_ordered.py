@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stockflow.operators import ordered
 from stockflow.operators import quantiles as qt
 from stockflow.operators.anomaly_timeseries import rolling_scores
 from stockflow.operators.enrich import add_lag_features
@@ -53,6 +54,38 @@ def test_over_entities_with_a_hot_key(skewed, reach):
     pd.testing.assert_frame_equal(plain, hot)
 
 
+@pytest.mark.parametrize("reach", [2, 29])
+def test_over_entities_with_hundreds_of_segments(spark, monkeypatch, reach):
+    # One key in segments of some three rows each; a second one beside it.
+    df = spark.range(1200).selectExpr("id", "if(id % 40 = 7, NULL, 'hot') AS k", "(id * 7919) % 1200 AS t", "(id * 31) % 97 / 2 AS x").checkpoint()
+
+    def make(w):
+        return {"lagged": F.lag("x", reach).over(w), "total": F.sum("x").over(w.rowsBetween(-reach, 0))}
+
+    plain = _frame(over_entities(df, ["k"], ["t"], make, reach), ["id", "lagged", "total"])
+    monkeypatch.setattr(ordered, "HOT_ROWS", 3)
+    hot = over_entities(df, ["k"], ["t"], make, reach, hot_rows=3)
+    pd.testing.assert_frame_equal(plain, _frame(hot, ["id", "lagged", "total"]))
+
+
+def test_reached_segments_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    tails = [(key, seg, int(rng.integers(1, 8))) for key in ("a", None) for seg in sorted(rng.choice(10_000, 2000, replace=False).tolist())]
+    sizes = spark.createDataFrame(tails, f"k string, {ordered.SEG} long, _tail long")
+    want = set()
+    for key in ("a", None):
+        own = [(s, n) for k, s, n in tails if k == key]
+        for i, (s, _) in enumerate(own):
+            after = 0
+            for target, n in own[i + 1 :]:
+                if after >= 7:
+                    break
+                want.add((key, s, target, after))
+                after += n
+    found = ordered._reached(sizes, ["k"], 7).collect()
+    assert len(found) == len(want) and set(map(tuple, found)) == want
+
+
 def test_forward_fill_with_a_hot_key(skewed):
     pdf, df = skewed
     want = pdf.sort_values(["k", "t", "id"]).assign(gap=lambda p: p.groupby("k")["gap"].ffill()).sort_values("id")["gap"].to_numpy(float)

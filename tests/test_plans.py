@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from stockflow.operators import enrich
 from stockflow.plans import views as v
 from stockflow.sources import files
 
@@ -46,3 +47,29 @@ def test_nothing_is_broadcast_by_hint(spark, sf):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("BroadcastHashJoin") == 0 and plan.count("SortMergeJoin") == 5
+
+
+@pytest.mark.parametrize("name", ["financial", "inventory", "enrich"])
+def test_a_hot_product_is_split(spark, name):
+    # A key with two thirds of the rows, and limits low enough for the size of a test.
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k, value in limits.items():
+        spark.conf.set(k, value)
+    try:
+        rows = spark.range(0, 60_000, 1, 8).selectExpr(
+            "if(id % 3 < 2, 7, id) AS product_id", "id * 0.5 AS unit_price", "id % 9 + 1 AS quantity", "DATE'2024-01-01' AS order_date", "id AS quantity_on_hand", "id % 5 AS quantity_allocated"
+        )
+        make = {"financial": enrich.add_financial_features, "inventory": enrich.add_inventory_features, "enrich": enrich.enrich}[name]
+        out = make(rows)
+        out.collect()
+        assert "skewed" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
