@@ -292,12 +292,26 @@ TEST_RESULT = (
     "test STRING, statistic DOUBLE, p_value DOUBLE, significant BOOLEAN, effect_size DOUBLE, groups_tested BIGINT,"
     " group_means MAP<STRING, DOUBLE>, error STRING"
 )
+GROUP_TEST = TEST_RESULT.replace(" group_means MAP<STRING, DOUBLE>,", "")
 
 
 def hypothesis_test(df: DataFrame, group_col: str, value_col: str, test_type: str = "anova") -> DataFrame:
-    """One result row of a pooled t-test (two groups) or a one-way ANOVA, from per-group moments.
+    """One result row of a pooled t-test (two groups) or a one-way ANOVA, with a map of all group means.
 
-    Moments are stored once and summed again.  The map of means has an entry for each group (``group_moments`` has them as rows).
+    The map is one value in one row: for few groups.  ``group_test`` has the means as rows, for any number of groups.
+    """
+    test, means = group_test(df, group_col, value_col, test_type)
+    entries = F.collect_list(F.struct("g", "mean"))
+    whole = means.agg(F.when(F.count(F.lit(1)) > 0, F.map_from_entries(F.sort_array(entries))).alias("group_means"))
+    joined = test.withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one")
+    means_of_test = F.when(F.col("error").isNull(), F.col("group_means"))
+    return joined.withColumn("group_means", means_of_test).select(*[f.split(" ")[0] for f in TEST_RESULT.replace("MAP<STRING, DOUBLE>", "MAP").split(", ")])
+
+
+def group_test(df: DataFrame, group_col: str, value_col: str, test_type: str = "anova") -> tuple[DataFrame, DataFrame]:
+    """(test row, group means): a pooled t-test (two groups) or a one-way ANOVA from per-group moments, and (g, n, mean) of each group.
+
+    Moments are stored once and summed again; no row or task holds all groups.
     """
     if test_type not in ("ttest", "anova"):
         raise ValueError(f"unknown test {test_type!r}")
@@ -305,14 +319,14 @@ def hypothesis_test(df: DataFrame, group_col: str, value_col: str, test_type: st
     n, mean, vp = F.col("n"), F.col("mean"), F.col("vp")
     k, total, weighted = groups.agg(F.count(F.lit(1)), F.sum(n), F.sum(n * mean)).first()
     name = "Independent t-test" if test_type == "ttest" else "One-way ANOVA"
+    rows = groups.select("g", "n", F.round("mean", 2).alias("mean"))
     if k < 2 or (test_type == "ttest" and k != 2):
         error = f"Invalid test: {test_type} for {k} groups"
-        return df.sparkSession.createDataFrame([(name, None, None, None, None, k, None, error)], TEST_RESULT)
+        return df.sparkSession.createDataFrame([(name, None, None, None, None, k, error)], GROUP_TEST), rows
     grand = weighted / total
     sums = groups.agg(
         F.sum(n * (mean - grand) * (mean - grand)).alias("ssb"),
         F.sum(n * vp).alias("ssw"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("g", F.round("mean", 2))))).alias("means"),
         *[take(c, "g").alias(f"{side}_{c}") for side, take in (("a", F.min_by), ("b", F.max_by)) for c in ("n", "mean", "vp")],
     )
     ssb, ssw = F.col("ssb"), F.col("ssw")
@@ -325,17 +339,16 @@ def hypothesis_test(df: DataFrame, group_col: str, value_col: str, test_type: st
         stat = ratio(ssb / (k - 1), ratio(ssw, F.lit(total - k)))
         effect = ssb / (ssb + ssw + TINY)
         p = f_pvalue("stat", F.lit(float(k - 1)), F.lit(float(total - k)))
-    means = F.col("means")
-    return sums.withColumns({"stat": stat, "effect": effect}).withColumn("p", p).select(
+    test = sums.withColumns({"stat": stat, "effect": effect}).withColumn("p", p).select(
         F.lit(name).alias("test"),
         F.round("stat", 4).alias("statistic"),
         F.round("p", 6).alias("p_value"),
         (F.col("p") < ALPHA).alias("significant"),
         F.round("effect", 4).alias("effect_size"),
         F.lit(k).cast("bigint").alias("groups_tested"),
-        means.alias("group_means"),
         F.lit(None).cast("string").alias("error"),
     )
+    return test, rows
 
 
 # ---------------------------------------------------------------- normality

@@ -126,14 +126,15 @@ def scan_metrics_full(spark, d):
          count(*) AS l_orderkey FROM lineitem GROUP BY 1, 2""",
 )
 def agg_user_functions(spark, d):
-    def spread(values: pd.Series) -> float:
-        return float(values.max() - values.min())
+    # Four groups hold all rows: no task may see one whole.
+    def ends(state, values):
+        return [min(state[0], values.min()), max(state[1], values.max())] if len(values) else state
 
-    def below_most(values: pd.Series) -> float:
-        return float(values.max() - 1)
+    def both(a, b):
+        return [min(a[0], b[0]), max(a[1], b[1])]
 
-    spread.__name__ = below_most.__name__ = "user"
-    users = [F.pandas_udf(f, "double", F.PandasUDFType.GROUPED_AGG) for f in (spread, below_most)]
+    nothing = (float("inf"), float("-inf"))
+    users = [agg.Mergeable("user", nothing, ends, both, lambda s: s[1] - s[0]), agg.Mergeable("user", nothing, ends, both, lambda s: s[1] - 1)]
     return agg.aggregate(v.table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], {"l_quantity": ["sum", *users], "l_orderkey": "count"})
 
 

@@ -185,6 +185,27 @@ def anova(spark, d):
     return _flat_means(st.hypothesis_test(v.sales(spark, d, "channel", "total_amount"), "channel", "total_amount", "anova"))
 
 
+# Far more groups than a row should hold: the test and the means of each part.
+@query(
+    "anova_parts",
+    sql_with(
+        "sales",
+        f"""WITH {MOMENTS.format(g="product_id::VARCHAR")},
+        x AS (SELECT *, (SELECT sum(n * m) / sum(n) FROM g) AS gm FROM g),
+        t AS (SELECT count(*) AS k, sum(n) AS nn, sum(n * (m - gm) * (m - gm)) AS ssb, sum(n * vp) AS ssw FROM x)
+        SELECT 'One-way ANOVA' AS test, round((ssb / (k - 1)) / (ssw / (nn - k)), 4) AS statistic, round(ssb / (ssb + ssw + 1e-10), 4) AS effect_size, k AS groups_tested FROM t""",
+    ),
+)
+def anova_parts(spark, d):
+    test, _ = st.group_test(v.sales(spark, d, "product_id", "total_amount"), "product_id", "total_amount")
+    return test.select("test", "statistic", "effect_size", "groups_tested")
+
+
+@query("anova_part_means", sql_with("sales", "SELECT product_id::VARCHAR AS g, count(*) AS n, round(avg(total_amount), 2) AS mean FROM sales GROUP BY 1"))
+def anova_part_means(spark, d):
+    return st.group_test(v.sales(spark, d, "product_id", "total_amount"), "product_id", "total_amount")[1]
+
+
 def _group_tests_sql() -> str:
     # Five channels: with four degrees of freedom above, the F tail is x^a (1 + a (1 - x)) for a = df2 / 2.
     two, many = (MOMENTS.format(g=g).removeprefix("g AS ") for g in ("is_b2b::VARCHAR", "channel"))

@@ -1,3 +1,4 @@
+import numpy as np
 import datetime as dt
 import gzip
 
@@ -239,3 +240,20 @@ def test_run_etl_can_fail_on_a_check(spark):
 def test_table_schemas_parse(spark):
     for name in TABLES:
         assert table_schema(name).fields
+
+
+def test_user_aggregates_in_steps(spark, monkeypatch):
+    from stockflow.operators import aggregate as agg
+
+    monkeypatch.setattr(agg, "HELD", 3)  # states are passed on often
+    rows = [("a", i % 7, None if i % 5 == 0 else float(i)) for i in range(500)] + [("b", 1, None), (None, 1, 5.0), ("c", None, 6.0)]
+    df = spark.createDataFrame(rows, "k string, m int, x double").repartition(9)
+    total = agg.Mergeable("total", [0.0, 0.0], lambda s, x: [s[0] + x.sum(), s[1] + len(x)], lambda a, b: [a[0] + b[0], a[1] + b[1]], lambda s: s[0] / s[1] if s[1] else None)
+    found = {r.k: (r.x_total, r.x_count) for r in agg.aggregate(df, ["k"], {"x": [total, "count"]}).collect()}
+    values = [x for k, _, x in rows if k == "a" and x is not None]
+    assert found == {"a": (sum(values) / len(values), len(values)), "b": (None, 0), "c": (6.0, 1)}
+    two = {(r.k, r.m): r.x for r in agg.aggregate(df, ["k", "m"], {"x": total}).collect()}
+    assert len(two) == 8 and two["a", 3] == np.mean([x for k, m, x in rows if m == 3 and x is not None and k == "a"])
+    direct = agg.merged(df, ["k", "m"], [("x", total, "x")]).collect()  # null keys are keys
+    assert len(direct) == len({(k, m) for k, m, _ in rows}) and {r.x for r in direct if r.m is None} == {6.0}
+    assert agg.merged(df.filter("false"), ["k"], [("x", total, "x")]).count() == 0
