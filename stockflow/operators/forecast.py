@@ -217,7 +217,9 @@ def _solve(products: pd.Series, targets: pd.Series, square: pd.Series, rows: pd.
     for xx, xy, yy, m in zip(products, targets, square, rows):
         xy = np.array(xy, dtype=float)
         matrix = np.array(xx, dtype=float).reshape(len(xy), len(xy))
-        b = np.linalg.lstsq(matrix, xy, rcond=None)[0]
+        # The intercept's and the lags' sums differ by many powers of ten: on one scale no digits are lost.
+        scale = np.sqrt(np.where(np.diag(matrix) > 0, np.diag(matrix), 1.0))
+        b = np.linalg.lstsq(matrix / np.outer(scale, scale), xy / scale, rcond=None)[0] / scale
         rss = max(float(yy - 2 * b @ xy + b @ matrix @ b), 0.0)
         out.append((b.tolist(), float(np.sqrt(rss / m))))
     return pd.DataFrame(out, columns=["coefficients", "sigma"])

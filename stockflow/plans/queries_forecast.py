@@ -13,13 +13,13 @@ from stockflow.plans.registry import query
 from stockflow.plans.views import sql_with
 from stockflow.session import materialize
 
-H = 14
+H = 30
 Z80, Z95 = "1.2815515655446004::DOUBLE", "1.959963984540054::DOUBLE"
 BOUNDS = ["predicted", "lower_80", "upper_80", "lower_95", "upper_95"]
 
-SERIES = """s AS (SELECT entity_id, ds, y, row_number() OVER (PARTITION BY entity_id ORDER BY ds) - 1 AS i, row_number() OVER (PARTITION BY entity_id ORDER BY ds DESC) AS age,
+SERIES = f"""s AS (SELECT entity_id, ds, y, row_number() OVER (PARTITION BY entity_id ORDER BY ds) - 1 AS i, row_number() OVER (PARTITION BY entity_id ORDER BY ds DESC) AS age,
            count(*) OVER (PARTITION BY entity_id) AS n, max(ds) OVER (PARTITION BY entity_id) AS last_ds FROM daily),
-       steps AS (SELECT unnest(range(1, 15))::INTEGER AS step)"""
+       steps AS (SELECT unnest(range(1, {H + 1}))::INTEGER AS step)"""
 
 # Holt-Winters with fixed parameters .3 / .1 / .1, one recursion step per position.
 HW = """hw AS (
@@ -32,12 +32,41 @@ HW = """hw AS (
                FROM (SELECT hw.*, s.y, hw.seasonal[(hw.i % 7) + 1] AS sf FROM hw JOIN s ON hw.entity_id = s.entity_id AND hw.i = s.i))),
        state AS (SELECT * FROM hw WHERE i = n)"""
 
-DIFFS = """d AS (SELECT entity_id, ds, y, y - lag(y) OVER (PARTITION BY entity_id ORDER BY ds) AS z FROM s),
+DIFFS = f"""d AS (SELECT entity_id, ds, y, y - lag(y) OVER (PARTITION BY entity_id ORDER BY ds) AS z FROM s),
        l AS (SELECT *, lag(z) OVER (PARTITION BY entity_id ORDER BY ds) AS x FROM d WHERE z IS NOT NULL),
        ar AS (SELECT entity_id, count(*) AS n, max(ds) AS last_ds, regr_intercept(z, x) AS c, regr_slope(z, x) AS phi,
               sqrt(greatest(regr_syy(z, x) - pow(regr_sxy(z, x), 2) / regr_sxx(z, x), 0) / regr_count(z, x)) AS sigma, arg_max(z, ds) AS z, arg_max(y, ds) AS y FROM l GROUP BY 1),
        arp AS (SELECT entity_id, last_ds, c, phi, sigma, 1 AS step, c + phi * z AS dz, y + c + phi * z AS p FROM ar
-               UNION ALL SELECT entity_id, last_ds, c, phi, sigma, step + 1, c + phi * dz, p + c + phi * dz FROM arp WHERE step < 14)"""
+               UNION ALL SELECT entity_id, last_ds, c, phi, sigma, step + 1, c + phi * dz, p + c + phi * dz FROM arp WHERE step < {H})"""
+
+AR3_NAMES = ["1.0", "x1", "x2", "x3"]
+
+
+def _det(rows: list[list[str]]) -> str:
+    """The determinant of a small matrix of SQL names, by its first column."""
+    if len(rows) == 1:
+        return rows[0][0]
+    parts = [f"{'-' if i % 2 else '+'} {row[0]} * ({_det([r[1:] for r in rows[:i] + rows[i + 1:]])})" for i, row in enumerate(rows)]
+    return " ".join(parts)
+
+
+def _ar3() -> str:
+    """CTEs up to ``arp3`` (entity_id, step, p): differences on their three predecessors by the normal equations, forecast step by step."""
+    k = range(4)
+    m = [[f"m{min(a, b)}{max(a, b)}" for b in k] for a in k]
+    sums = ", ".join(f"sum({AR3_NAMES[a]} * {AR3_NAMES[b]}) AS m{a}{b}" for a in k for b in k if a <= b)
+    targets = ", ".join(f"sum({AR3_NAMES[a]} * z) AS t{a}" for a in k)
+    solved = ", ".join(f"({_det([[f't{a}' if b == c else m[a][b] for b in k] for a in k])}) / det AS b{c}" for c in k)
+    left = " - ".join(["yy"] + [f"2 * b{a} * t{a}" for a in k]) + " + " + " + ".join(f"b{a} * b{b} * {m[a][b]}" for a in k for b in k)
+    return f"""d3 AS (SELECT *, lag(z, 1) OVER w AS x1, lag(z, 2) OVER w AS x2, lag(z, 3) OVER w AS x3, row_number() OVER (PARTITION BY entity_id ORDER BY ds DESC) AS age
+           FROM (SELECT entity_id, ds, y, y - lag(y) OVER (PARTITION BY entity_id ORDER BY ds) AS z FROM s) WHERE z IS NOT NULL WINDOW w AS (PARTITION BY entity_id ORDER BY ds)),
+       last3 AS (SELECT entity_id, count(*) AS n, max(ds) AS last_ds, arg_max(y, ds) AS y, {", ".join(f"max(z) FILTER (age = {i}) AS r{i}" for i in (1, 2, 3))} FROM d3 GROUP BY 1),
+       sums3 AS (SELECT entity_id, count(*) AS m, sum(z * z) AS yy, {sums}, {targets} FROM d3 WHERE x3 IS NOT NULL GROUP BY 1),
+       ar3 AS (SELECT *, sqrt(greatest({left}, 0) / m) AS sigma FROM (SELECT *, {solved} FROM (SELECT *, {_det(m)} AS det FROM sums3)) JOIN last3 USING (entity_id) WHERE n > 4),
+       arp3 AS (SELECT entity_id, last_ds, b0, b1, b2, b3, sigma, 1 AS step, b0 + b1 * r1 + b2 * r2 + b3 * r3 AS z1, r1 AS z2, r2 AS z3, y + b0 + b1 * r1 + b2 * r2 + b3 * r3 AS p FROM ar3
+               UNION ALL SELECT entity_id, last_ds, b0, b1, b2, b3, sigma, step + 1, b0 + b1 * z1 + b2 * z2 + b3 * z3, z1, z2, p + b0 + b1 * z1 + b2 * z2 + b3 * z3
+               FROM arp3 WHERE step < {H})"""
+
 
 WMA = """ma AS (SELECT entity_id, max(last_ds) AS last_ds, sum((least(n, 7) - age + 1) * y) / sum(least(n, 7) - age + 1) AS ma FROM s WHERE age <= 7 GROUP BY 1)"""
 
@@ -45,14 +74,15 @@ MODELS = {
     "hw_f": "SELECT entity_id, step, last_ds + step AS ds, (level + trend * step) * seasonal[((n - 1 + step) % 7) + 1] AS p, abs(level) * 0.1 * sqrt(step) AS sd FROM state, steps",
     "ma_f": "SELECT entity_id, step, last_ds + step AS ds, ma AS p, abs(ma) * 0.1 + 1 AS sd FROM ma, steps",
     "ar_f": "SELECT entity_id, step, last_ds + step AS ds, p, sigma * sqrt(step) AS sd FROM arp",
+    "ar3_f": "SELECT entity_id, step, last_ds + step AS ds, p, sigma * sqrt(step) AS sd FROM arp3",
 }
 PATH = f"SELECT entity_id, step, ds, round(p, 3) AS predicted, round(p - {Z80} * sd, 3) AS lower_80, round(p + {Z80} * sd, 3) AS upper_80, round(p - {Z95} * sd, 3) AS lower_95, round(p + {Z95} * sd, 3) AS upper_95"
 
 MIXED = f"""parts AS (SELECT entity_id, step, ds, p, 0.4::DOUBLE AS w FROM ({MODELS["hw_f"]}) UNION ALL SELECT entity_id, step, ds, p, 0.2::DOUBLE FROM ({MODELS["ma_f"]})
-                 UNION ALL SELECT entity_id, step, ds, p, 0.4::DOUBLE FROM ({MODELS["ar_f"]})),
+                 UNION ALL SELECT entity_id, step, ds, p, 0.4::DOUBLE FROM ({MODELS["ar3_f"]})),
        mixed AS (SELECT entity_id, step, max(ds) AS ds, sum(p * w) / sum(w) AS p FROM parts GROUP BY 1, 2),
        ens AS (SELECT *, stddev_samp(p) OVER (PARTITION BY entity_id) AS sd FROM mixed)"""
-ALL_MODELS = f"WITH {SERIES}, {HW}, {WMA}, {DIFFS}, {MIXED}"
+ALL_MODELS = f"WITH {SERIES}, {HW}, {WMA}, {_ar3()}, {MIXED}"
 
 
 def _rounded(df, digits=3):
@@ -124,9 +154,9 @@ def forecast_ar1(spark, d):
     return _rounded(fc.forecast_autoregression(v.daily(spark, d), H, p=1))
 
 
-@query("forecast_ar")
+@query("forecast_ar", sql_with("daily", f"WITH {SERIES}, {_ar3()}, f AS ({MODELS['ar3_f']}) {PATH} FROM f", recursive=True))
 def forecast_ar(spark, d):
-    return fc.forecast_autoregression(v.daily(spark, d), H)
+    return _rounded(fc.forecast_autoregression(v.daily(spark, d), H))
 
 
 def _series(spark, d):
@@ -135,7 +165,7 @@ def _series(spark, d):
 
 
 def _mixed(series):
-    return fc.forecast_ensemble(series, H, p=1)
+    return fc.forecast_ensemble(series, H)
 
 
 @query("forecast_ensemble", sql_with("daily", f"{ALL_MODELS} {PATH} FROM ens", recursive=True))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.functions import scalars as sc
@@ -720,6 +721,35 @@ def kpi_window_48h(spark, d):
     return kpi.rolling_totals(v.table(spark, d, "events"))
 
 
+LATE = "20 days"
+
+
+def land_in_quarters(spark, events, folder, late):
+    """``events`` as files in four portions by time; rows that are ``late`` land with the next portion."""
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    portion = F.least(F.floor((F.unix_micros("ts") - low) * 4 / F.lit(max(high - low, 1) + 1)) + late.cast("int"), F.lit(3))
+    for i in range(4):
+        events.filter(portion == i).repartition(2).write.mode("append").parquet(folder)
+    return folder
+
+
+# Windows that the watermark has closed: those that end ``LATE`` before the last event.
+@query(
+    "kpi_window_48h_stream",
+    f"""WITH w AS (SELECT unnest(generate_series(date_trunc('hour', ts) - INTERVAL 47 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS s, event_type, value FROM events)
+       SELECT s AS window_start, s + INTERVAL 48 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w
+       WHERE s + INTERVAL 48 HOUR <= (SELECT max(ts) FROM events) - INTERVAL {LATE} GROUP BY ALL""",
+)
+def kpi_window_48h_stream(spark, d):
+    # A tenth of the events lands a portion later than it happened, within the delay that the watermark allows.
+    events = v.table(spark, d, "events").select("ts", "event_type", "value", "event_id").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder, out = scratch_path(spark, "windows-in"), scratch_path(spark, "windows-out")
+    land_in_quarters(spark, events, folder, F.col("event_id") % 10 == 0)
+    totals = jobs.rolling_totals_stream(jobs.parquet_chunks(spark, folder, events.schema, files_per_chunk=2), delay=LATE)
+    jobs.write_stream(totals, f"{out}/data", f"{out}/state").awaitTermination()
+    return spark.read.schema(totals.schema).parquet(f"{out}/data")
+
+
 # ---------------------------------------------------------------- ETL
 
 
@@ -747,3 +777,32 @@ def run_log(spark, d):
     path = scratch_path(spark, "run-log")
     _etl(spark, d, path)
     return spark.read.parquet(path).select("pipeline_name", "status", "records_processed", "records_failed", "records_skipped")
+
+
+@query(
+    "etl_failed_source",
+    """SELECT 'orders' AS source, count(*) AS n_rows, count(*) AS n_transformed, 0::BIGINT AS n_failed, false AS has_error FROM orders
+       UNION ALL SELECT 'parts', count(*), 0, count(*), true FROM part""",
+)
+def etl_failed_source(spark, d):
+    # The brands of parts are no numbers: the cast fails when its rows are written, and the raw rows go on; orders are not held up.
+    def as_number(df):
+        return df.withColumn("code", F.col("code").cast("int")) if "code" in df.columns else df.withColumn("year", F.year("o_orderdate"))
+
+    loaders = {
+        "parts": lambda: v.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("code")),
+        "orders": lambda: v.table(spark, d, "orders").select("o_orderkey", "o_orderdate"),
+    }
+    run = run_etl(spark, "numbers", loaders, [as_number], validate=False)
+    m = run.metrics
+    counts = [
+        frame.agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("source"),
+            "n_rows",
+            F.lit(0 if name in run.errors else m["records_transformed"]).cast("long").alias("n_transformed"),
+            F.lit(m["records_failed"] if name in run.errors else 0).cast("long").alias("n_failed"),
+            F.lit(name in run.errors).alias("has_error"),
+        )
+        for name, frame in run.frames.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
