@@ -19,6 +19,7 @@ from stockflow.operators.ordered import forward_fill
 from stockflow.operators.quantiles import exact_quantiles
 from stockflow.session import materialize
 
+# Limits and patterns of the cleansing rules.
 SPARSE = 0.5  # a column with a larger missing share is dropped
 FEW_VALUES = 20  # text columns below this many distinct values are filled with their mode
 MIN_DISTINCT = 5  # columns below this many distinct values are never trimmed

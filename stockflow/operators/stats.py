@@ -271,7 +271,7 @@ def trend_analysis(df: DataFrame, entity: str, date_col: str, value_col: str, un
         n.alias("data_points"),
         ok(F.round("first", 2)).alias("start_value"),
         ok(F.round("last", 2)).alias("end_value"),
-        F.when(~enough, "Insufficient data for trend analysis").alias("error"),
+        F.when(~enough, SHORT_TREND).alias("error"),
     )
 
 
@@ -288,6 +288,9 @@ def group_moments(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
     )
 
 
+# What a result says when there are too few rows.
+SHORT_TREND, SHORT_SAMPLE = "Insufficient data for trend analysis", "Insufficient data"
+
 TEST_RESULT = (
     "test STRING, statistic DOUBLE, p_value DOUBLE, significant BOOLEAN, effect_size DOUBLE, groups_tested BIGINT,"
     " group_means MAP<STRING, DOUBLE>, error STRING"
@@ -387,7 +390,7 @@ def normality_test(df: DataFrame, value_col: str, by: Sequence[str] = ()) -> Dat
         ok(F.round("g2", 4)).alias("kurtosis"),
         ok(skewness_label(F.col("g1"))).alias("skewness_interpretation"),
         n.alias("sample_size"),
-        F.when(~enough, "Insufficient data").alias("error"),
+        F.when(~enough, SHORT_SAMPLE).alias("error"),
     )
 
 
