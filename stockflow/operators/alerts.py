@@ -69,19 +69,26 @@ def _sessions(rows: DataFrame, gap: int, hot_rows: int | None) -> DataFrame:
     return forward_fill(starts, ["_session"], ["rate_key"], order, hot_rows).drop("_prev")
 
 
-def suppress(alerts: DataFrame, cooldown_minutes: float = COOLDOWN_MINUTES, max_per_hour: int = MAX_PER_HOUR, hot_rows: int = HOT_ROWS) -> DataFrame:
+def suppress(
+    alerts: DataFrame, cooldown_minutes: float = COOLDOWN_MINUTES, max_per_hour: int = MAX_PER_HOUR, hot_rows: int = HOT_ROWS, carried: DataFrame | None = None
+) -> DataFrame:
     """Add ``rate_key`` and ``sent`` to alerts (alert_id, title, severity, ts, dedup_key, optional delivered).
 
     Alerts of one moment are decided in the order of their ids, NULL first.  Sessions are hashed to partitions, sorted, and
-    reduced as the rows stream by: a long session takes time but holds only its recent sends.
+    reduced as the rows stream by: a long session takes time but holds only its recent sends.  ``carried`` (rate_key, t in
+    microseconds) are earlier sends, all before the first of ``alerts``.
     """
     cooldown = int(cooldown_minutes * MINUTE)
     keyed = with_rate_key(alerts)
     delivered = F.coalesce("delivered", F.lit(False)) if "delivered" in alerts.columns else F.lit(True)
     rows = keyed.select(
         F.struct(*alerts.columns).alias("alert"), "alert_id", "rate_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"),
-        F.nullif(F.col("dedup_key"), F.lit("")).isNotNull().alias("_dedup"), delivered.alias("_delivered"),
+        F.nullif(F.col("dedup_key"), F.lit("")).isNotNull().alias("_dedup"), delivered.alias("_delivered"), F.lit(False).alias("_carried"),
     )
+    if carried is not None:
+        none = {c: F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("alert", "alert_id")}
+        before = carried.select(*none.values(), "rate_key", F.col("t").alias("_t"), *[F.lit(x).alias(c) for c, x in (("_dedup", False), ("_delivered", True), ("_carried", True))])
+        rows = rows.unionByName(before)
     largest = largest_group(rows, ["rate_key"])
     sessions = _sessions(rows, max(cooldown, HOUR), None if largest <= hot_rows else hot_rows)
 
@@ -89,12 +96,16 @@ def suppress(alerts: DataFrame, cooldown_minutes: float = COOLDOWN_MINUTES, max_
         current, sent = None, []
         for batch in batches:
             keys, session = batch["rate_key"].to_pylist(), batch["_session"].to_numpy()
-            times, dedup, able = (batch[c].to_numpy(zero_copy_only=False) for c in ("_t", "_dedup", "_delivered"))
+            times, dedup, able, old = (batch[c].to_numpy(zero_copy_only=False) for c in ("_t", "_dedup", "_delivered", "_carried"))
             ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or session[i] != session[i - 1]] + [len(keys)]
             decisions, start = [], 0
             for end in ends if keys else []:
                 if (keys[start], session[start]) != current:
                     current, sent = (keys[start], session[start]), []
+                told = int(np.count_nonzero(old[start:end]))  # earlier sends come first in their session
+                sent = [*sent, *times[start : start + told].tolist()]
+                decisions.append(np.zeros(told, bool))
+                start += told
                 made, sent = reduce_alerts(sent, times[start:end], dedup[start:end], able[start:end], cooldown, max_per_hour)
                 decisions.append(made)
                 start = end
@@ -102,8 +113,8 @@ def suppress(alerts: DataFrame, cooldown_minutes: float = COOLDOWN_MINUTES, max_
             yield pa.RecordBatch.from_arrays([batch["alert"], batch["rate_key"], pa.array(flags)], ["alert", "rate_key", "sent"])
 
     dealt = sessions.repartition("rate_key", "_session").sortWithinPartitions("rate_key", "_session", "_t", "alert_id")
-    schema = T.StructType([rows.schema["alert"], rows.schema["rate_key"], T.StructField("sent", T.BooleanType())])
-    return dealt.drop("alert_id").mapInArrow(run, schema).select("alert.*", "rate_key", "sent")
+    schema = T.StructType([T.StructField("alert", rows.schema["alert"].dataType), rows.schema["rate_key"], T.StructField("sent", T.BooleanType())])
+    return dealt.drop("alert_id").mapInArrow(run, schema).filter("alert IS NOT NULL").select("alert.*", "rate_key", "sent")
 
 
 # ---------------------------------------------------------------- routing and messages

@@ -108,9 +108,33 @@ def forecast_view(series: DataFrame, records: DataFrame, confidence: int = 95) -
     return history.unionByName(path)
 
 
-def stock_heatmap(inventory: DataFrame, locations: Sequence[str]) -> DataFrame:
-    """Stock on hand per product with one column per warehouse."""
-    return inventory.groupBy("product_id").pivot("warehouse_location", list(locations)).agg(F.sum("quantity_on_hand"))
+def stock_heatmap(inventory: DataFrame, locations: Sequence[str], by: str = "product_id") -> DataFrame:
+    """Stock on hand per product (or category) with one column per warehouse."""
+    return inventory.groupBy(by).pivot("warehouse_location", list(locations)).agg(F.sum("quantity_on_hand"))
+
+
+def anomaly_report(records: DataFrame, unit: str = "month") -> DataFrame:
+    """Records, entities, mean confidence and the worst entity of each period, metric and severity."""
+    worst = F.struct(-F.round("confidence_score", 9), F.col("entity_id"))
+    return records.groupBy(F.to_date(F.date_trunc(unit, "timestamp")).alias("period_start"), "metric_name", "severity").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("entity_id").alias("n_entities"),
+        F.round(F.avg("confidence_score"), 6).alias("mean_confidence"),
+        F.min_by("entity_id", worst).alias("worst_entity"),
+    )
+
+
+def forecast_report(records: DataFrame) -> DataFrame:
+    """Span, totals with their 95 % bounds, direction and weekly pattern of each entity's forecast."""
+    totals = {"predicted_value": "predicted_total", "lower_bound_95": "lower_95_total", "upper_bound_95": "upper_95_total"}
+    return records.groupBy("entity_id").agg(
+        F.min("forecast_date").alias("first_date"),
+        F.max("forecast_date").alias("last_date"),
+        F.count(F.lit(1)).alias("steps"),
+        *[F.round(F.sum(c), 2).alias(name) for c, name in totals.items()],
+        F.first("trend_direction").alias("trend_direction"),
+        F.round(F.first("seasonality_strength"), 6).alias("seasonality_strength"),
+    )
 
 
 def periodic_report(sales: DataFrame, freq: str = "M") -> DataFrame:

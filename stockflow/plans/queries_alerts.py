@@ -27,24 +27,31 @@ def alert_suppress(spark, d):
     return al.suppress(v.alerts(spark, d)).select("alert_id", "rate_key", "ts", "sent")
 
 
-def landed(alerts, folder: str, files: int = 4):
-    """Alerts as files of a folder, written one after the other in time order."""
+def landed(alerts, folder: str, steps: int = 3):
+    """Land alerts below a folder in steps of time, up to five minutes late, and yield after each step."""
+    late = F.pmod(F.xxhash64("alert_id"), F.lit(5 * al.MINUTE))
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    low, high = alerts.agg(F.min(at), F.max(at)).first()
-    step = ((high or 0) - (low or 0)) // files + 1
-    for i in range(files):
-        alerts.filter(at.between((low or 0) + i * step, (low or 0) + (i + 1) * step - 1)).coalesce(1).write.mode("append").parquet(folder)
+    low, high = alerts.agg(F.min(at), F.max(at + late)).first()
+    step = ((high or 0) - (low or 0)) // steps + 1
+    for i in range(steps):
+        part = alerts.filter((at + late).between((low or 0) + i * step, (low or 0) + (i + 1) * step - 1))
+        part.write.mode("append").parquet(folder)
+        yield i
+
+
+def streamed(spark, alerts, **limits):
+    """The stream, stopped and started again after each landing: what is carried from one run to the next decides."""
+    folder, out = scratch_path(spark, "alerts-in"), scratch_path(spark, "alerts-out")
+    job = jobs.Suppression(f"{out}/data", f"{out}/state", **limits)
+    for _ in landed(alerts, folder):
+        job.start(jobs.parquet_chunks(spark, folder, alerts.schema, files_per_chunk=10_000)).awaitTermination()
+    job.close(spark)
+    return spark.read.parquet(f"{out}/data").drop("trigger")
 
 
 @query("alert_stream", sql_with("alerts", f"WITH {CHAIN} SELECT alert_id, rate_key, ts, sent FROM decided", recursive=True))
 def alert_stream(spark, d):
-    # Each trigger takes one file: what is carried from one to the next decides.
-    alerts = v.alerts(spark, d)
-    folder, out = scratch_path(spark, "alerts-in"), scratch_path(spark, "alerts-out")
-    landed(alerts, folder)
-    chunks = jobs.parquet_chunks(spark, folder, alerts.schema)
-    jobs.write_stream(jobs.suppress_stream(chunks), f"{out}/data", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    return streamed(spark, v.alerts(spark, d))
 
 
 @query("alert_routing", sql_with("alerts", f"SELECT alert_id, severity, {ROUTED} AS channels FROM alerts"))

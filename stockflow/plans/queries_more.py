@@ -17,7 +17,7 @@ from stockflow.operators.anomaly_ensemble import user_ensemble as user_detectors
 from stockflow.operators.forecast import user_ensemble as user_forecasters
 from stockflow.plans import kpi
 from stockflow.plans import views as v
-from stockflow.plans.queries_alerts import landed
+from stockflow.plans.queries_alerts import streamed
 from stockflow.plans.registry import query
 from stockflow.plans.views import sql_with
 from stockflow.session import materialize, scratch_path
@@ -50,12 +50,7 @@ def alert_suppress_capped(spark, d):
 
 @query("alert_stream_capped", sql_with("alerts", f"WITH {CAPPED} SELECT alert_id, rate_key, ts, sent FROM walked", recursive=True))
 def alert_stream_capped(spark, d):
-    alerts = _capped(spark, d)
-    folder, out = scratch_path(spark, "alerts-in"), scratch_path(spark, "alerts-out")
-    landed(alerts, folder)
-    stream = jobs.suppress_stream(jobs.parquet_chunks(spark, folder, alerts.schema), cooldown_minutes=1, max_per_hour=2)
-    jobs.write_stream(stream, f"{out}/data", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    return streamed(spark, _capped(spark, d), cooldown_minutes=1, max_per_hour=2)
 
 
 @query(

@@ -55,13 +55,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return _SCRATCH[-1]
 
 
+def delete(spark: SparkSession, *paths: str) -> int:
+    """Delete folders of intermediate files, where they exist; how many there were."""
+    gone = 0
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the intermediate files of this run; results that still read them must have been written by then."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    gone = 0
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+    gone = delete(spark, *_SCRATCH)
+    _SCRATCH.clear()
     return gone
 
 

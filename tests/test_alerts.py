@@ -2,8 +2,10 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockflow.operators import alerts as al
+from stockflow.plans.queries_alerts import landed
 from stockflow.session import scratch_path
 from stockflow.streaming import jobs
 
@@ -86,15 +88,31 @@ def test_null_ids_and_mixed_keys(spark):
 
 
 def test_stream_equals_batch(spark, busy):
+    """Stopped and started again, with rows up to five minutes late and an end that proves not to be the last."""
     folder, out = scratch_path(spark, "in"), scratch_path(spark, "out")
-    for day in range(4):  # one file per chunk, in time order
-        low, high = (F.lit(dt.datetime(2024, 1, 1) + dt.timedelta(hours=16 * (day + k))) for k in (0, 1))
-        busy.filter((F.col("ts") >= low) & (F.col("ts") < high)).coalesce(1).write.mode("append").parquet(folder)
-    stream = jobs.suppress_stream(jobs.parquet_chunks(spark, folder, busy.schema))
-    jobs.write_stream(stream, f"{out}/data", f"{out}/state").awaitTermination()
-    streamed = {r.alert_id: r.sent for r in spark.read.parquet(f"{out}/data").collect()}
-    batch = {r.alert_id: r.sent for r in al.suppress(busy).collect()}
-    assert streamed == batch
+    job = jobs.Suppression(f"{out}/data", f"{out}/state")
+    for step in landed(busy, folder, 3):
+        job.start(jobs.parquet_chunks(spark, folder, busy.schema, 1000)).awaitTermination()
+        if step != 1:
+            job.close(spark)
+    rows = [(r.alert_id, r.sent) for r in spark.read.parquet(f"{out}/data").collect()]
+    assert dict(rows) == {r.alert_id: r.sent for r in al.suppress(busy).collect()} and len(rows) == busy.count()
+
+
+def test_stream_drops_what_the_watermark_has_passed(spark):
+    folder, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    job = jobs.Suppression(f"{out}/data", f"{out}/state", delay_minutes=5)
+    for minutes in ([0, 30], [24, 26, 60]):  # the second landing is read when 25 minutes have been passed
+        rows = [(m, "t", "info", START + dt.timedelta(minutes=m), None) for m in minutes]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        job.start(jobs.parquet_chunks(spark, folder, T.StructType.fromDDL(SCHEMA), 1000)).awaitTermination()
+    decided = {r.alert_id: r.sent for r in spark.read.parquet(f"{out}/data").collect()}
+    assert decided == {0: True, 26: True, 30: False}
+    job._decide(spark.createDataFrame([(24, "t", "info", START + dt.timedelta(minutes=24), None), (26, "t", "info", START + dt.timedelta(minutes=26), None),
+                                       (60, "t", "info", START + dt.timedelta(minutes=60), None)], SCHEMA), 1)
+    assert {r.alert_id: r.sent for r in spark.read.parquet(f"{out}/data").collect()} == decided
+    job.close(spark)
+    assert {r.alert_id: r.sent for r in spark.read.parquet(f"{out}/data").collect()} == {**decided, 60: True}
 
 
 def test_routing(spark):

@@ -193,3 +193,15 @@ def test_ellipse_takes_few_scans(spark, planted, monkeypatch):
     monkeypatch.setattr(ml, "_binned", lambda *a: scans.append(1) or plain(*a))
     ml.fit_ellipse(planted, ml.fit_scaling(planted, ["a", "b", "c"]))
     assert 2 <= len(scans) <= ml.STEPS + 1
+
+
+def test_a_record_names_the_five_strongest_factors(spark):
+    """Of eight metrics all stand out in one row: five are named, the strongest first, and only they count as high."""
+    names = [f"m{i}" for i in range(8)]
+    rows = [tuple(float((k * (i + 3)) % 7) for i in range(8)) for k in range(400)] + [tuple(100.0 * (i + 1) for i in range(8))]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], ["id", *names]).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    model = stat.fit_statistics(df, names)
+    scored = ens.ensemble_score(stat.detect(df, model, score="s"), {"statistical": "s"}, rescale=True)
+    record = ens.anomaly_records(scored, model, "id", "ts").filter("entity_id = '400'").first()
+    sigmas = [abs(f.deviation_sigma) for f in record.contributing_factors]
+    assert len(sigmas) == 5 and sigmas == sorted(sigmas, reverse=True) and record.severity == "critical"
