@@ -221,7 +221,7 @@ K2_PRODUCTS = qs.K2.replace("warehouse_location", "product_id")
     sql_with(
         "sales",
         f"""WITH {K2_PRODUCTS}, {qs.shapiro_sql("sales", "product_id", "total_amount")}
-        SELECT product_id, CASE WHEN z.n >= 8 THEN round(z1 * z1 + z2 * z2, 2) END AS dagostino_statistic, round(w, 4) AS shapiro_statistic,
+        SELECT product_id, CASE WHEN z.n >= 8 THEN round(z1 * z1 + z2 * z2, 4) END AS dagostino_statistic, round(w, 4) AS shapiro_statistic,
             CASE WHEN z.n >= 8 THEN exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 AND p > 0.05 END AS is_normal, z.n AS sample_size
         FROM z LEFT JOIN sw USING (product_id)""",
     ),
@@ -229,4 +229,4 @@ K2_PRODUCTS = qs.K2.replace("warehouse_location", "product_id")
 def normality_verdict(spark, d):
     """Both tests on each product's amounts: some thirty values a group, on which the tests disagree at times."""
     both = st.normality_report(v.sales(spark, d, "product_id", "total_amount"), "total_amount", ["product_id"])
-    return both.select("product_id", F.round("dagostino_statistic", 2).alias("dagostino_statistic"), "shapiro_statistic", "is_normal", "sample_size")
+    return both.select("product_id", "dagostino_statistic", "shapiro_statistic", "is_normal", "sample_size")
