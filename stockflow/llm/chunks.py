@@ -1,14 +1,14 @@
 """Substring deduplication by content-defined chunking.
 
-A gear hash rolls over the text's UTF-8 bytes: each step shifts the hash by one bit and adds a byte's random number (the last
-``MEMORY`` bytes count).  A chunk ends where the hash is greater than at the ``REACH`` places before and not less than at those after,
-so chunks have over ``REACH`` bytes and an end depends on the bytes around it alone: a shared passage has the same ends in all texts from
-its first ``MEMORY + REACH`` bytes on, whatever was inserted before it.  Only where no place is greatest for ``MOST`` bytes (a run of
-one letter) a chunk ends there.  No end is inside a code point.
+A gear hash rolls over the text's code points: each step shifts the hash by one bit and adds a code point's random number (the last
+``MEMORY`` count).  A chunk ends where the hash is greater than at the ``REACH`` places before and not less than at those after,
+so chunks have over ``REACH`` code points and an end depends on those around it alone: a shared passage has the same ends in all texts
+from its first ``MEMORY + REACH`` code points on, whatever was inserted before it.  Only where no place is greatest for ``MOST`` code
+points (a run of one letter) a chunk ends there.
 
 Chunks are compared by 128-bit BLAKE2b digests.  A chunk is repeated if two documents hold it.  Adjacent repeated chunks of a document
 make a passage; one of at least ``WORDS`` words is reported (a passage loses up to a chunk or two at its ends, so this finds shared
-passages of over 50 words).  Of the chunks in reported passages the first copy, by id and place, stays and the others can be dropped.
+passages of over 50 words).  In scripts that put no spaces between words (``UNSPACED``) two code points count as a word.  Of the chunks in reported passages the first copy, by id and place, stays and the others can be dropped.
 
 Defined cases: ids are integers; null and empty texts have no chunks; rows of equal ids are one document, whose texts are cut each, and null ids
 are one id before all others; repeats inside one document only are no repeats; an empty table gives an empty result; columns of the
@@ -18,6 +18,7 @@ input stay in ``dedup``, with ``text`` replaced.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,22 @@ from stockflow.llm.frames import aligned, saved, slices
 
 REACH, MOST, MEMORY = 20, 256, 16
 WORDS = 25
-#: Bytes hashed at a time, bytes of text that one batch of results is made of, and what stands for a null id.
+#: Scripts without spaces between words: Thai and Lao, Myanmar, Khmer, kana and Chinese characters.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Code points hashed at a time, bytes of text that one batch of results is made of, and what stands for a null id.
 BLOCK, SLICE, NO_ID = 1 << 22, 1 << 21, -(2**63)
 GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """The gear hash after each byte, over the last ``MEMORY`` bytes: sums over 1, 2, 4 ... bytes are joined by doubling."""
-    h, span = GEAR[data], 1
+def gear_numbers(points: np.ndarray) -> np.ndarray:
+    """The random number of each code point: a table's for one byte, a mix of three of them for the others."""
+    low = GEAR[points & 255]
+    return low if points.dtype == np.uint8 else np.where(points < 256, low, low ^ GEAR[points >> 8 & 255] * np.uint32(0x9E3779B1) ^ GEAR[points >> 16] * np.uint32(0x85EBCA77))
+
+
+def gear_hashes(points: np.ndarray) -> np.ndarray:
+    """The gear hash after each code point, over the last ``MEMORY``: sums over 1, 2, 4 ... of them are joined by doubling."""
+    h, span = gear_numbers(points), 1
     while span < MEMORY:
         longer = h.copy()
         longer[span:] += h[:-span] << np.uint32(span)
@@ -67,17 +76,16 @@ def _peaks(data: np.ndarray) -> np.ndarray:
         at = at[(at >= back) & (at < back + BLOCK)] + start - back + 1
         found.append(at)
     ends = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return ends[(ends < len(data)) & (data[np.minimum(ends, len(data) - 1)] & 0xC0 != 0x80)] if len(data) else ends
+    return ends[ends < len(data)]
 
 
-def cuts(text: bytes) -> list[int]:
-    """Ends of the chunks of a text."""
+def cuts(text: str) -> list[int]:
+    """Ends of the chunks of a text, in code points."""
     out, start = [], 0
-    for end in [*_peaks(np.frombuffer(text, np.uint8)).tolist(), len(text)]:
+    points = np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    for end in [*_peaks(points).tolist(), len(text)]:
         while end - start > MOST:
             start += MOST
-            while text[start] & 0xC0 == 0x80:
-                start -= 1
             out.append(start)
         if end > start:
             out.append(end)
@@ -85,8 +93,16 @@ def cuts(text: bytes) -> list[int]:
     return out
 
 
+def n_words(piece: str) -> int:
+    """Words of a piece: those that spaces part, and half the code points of scripts without spaces."""
+    if piece.isascii():
+        return len(piece.split())
+    rest, unspaced = UNSPACED.subn(" ", piece)
+    return len(rest.split()) + unspaced // 2
+
+
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, place, hi, lo) of each chunk; ``mark`` is the hash of the text, ``place`` packs start, size and words (``unpacked``)."""
+    """(doc_id, mark, place, hi, lo) of each chunk; ``mark`` is the hash of the text, ``place`` packs start, size (bytes) and words (``unpacked``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,13 +119,14 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 return pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", "place", "hi", "lo"])
 
             for i, t in enumerate(batch["text"]):
-                data, start = (t.as_py() or "").encode(), 0
-                for end in cuts(data):
-                    piece = data[start:end]
+                words, start, at = t.as_py() or "", 0, 0
+                for end in cuts(words):
+                    piece = words[start:end]
+                    coded = piece.encode()
                     rows.append(i)
-                    places.append(start << 20 | (end - start) << 10 | len(piece.split()))
-                    digests.append(hashlib.blake2b(piece, digest_size=16).digest())
-                    start = end
+                    places.append(at << 22 | len(coded) << 11 | n_words(piece))
+                    digests.append(hashlib.blake2b(coded, digest_size=16).digest())
+                    start, at = end, at + len(coded)
                     if len(digests) == 1 << 15:
                         yield made()
             if digests:
@@ -122,7 +139,7 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def unpacked(rows: DataFrame) -> DataFrame:
     """Chunks with start, size (in bytes) and words instead of their packed place."""
     place = F.col("place")
-    parts = {"start": F.shiftright(place, 20), "size": F.shiftright(place, 10).bitwiseAND(1023), "words": place.bitwiseAND(1023)}
+    parts = {"start": F.shiftright(place, 22), "size": F.shiftright(place, 11).bitwiseAND(2047), "words": place.bitwiseAND(2047)}
     return rows.withColumns(parts).drop("place")
 
 
@@ -132,7 +149,8 @@ def repeated(rows: DataFrame, words: int = WORDS) -> DataFrame:
     ``passage`` numbers the passages of a text; ``stays`` tells the first copy of a chunk.
     """
     held = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    shared = held.filter("first_doc <> last_doc").select("hi", "lo", "first_doc")
+    # Written first: a join with the aggregate itself would stand on its exchange, and a hot digest would not be split.
+    shared = saved(held.filter("first_doc <> last_doc").select("hi", "lo", "first_doc"), "digests")
     # Documents are dealt once; all windows below run inside a document.
     met = unpacked(rows.join(shared, ["hi", "lo"])).repartition("doc_id")
     order = Window.partitionBy("doc_id", "mark").orderBy("start")

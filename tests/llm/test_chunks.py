@@ -8,10 +8,10 @@ from stockflow.llm import chunks
 
 
 def _pieces(text):
-    data, start, out = (text or "").encode(), 0, []
-    for end in chunks.cuts(data):
-        out.append((start, data[start:end]))
-        start = end
+    text, start, at, out = text or "", 0, 0, []
+    for end in chunks.cuts(text):
+        out.append((at, text[start:end].encode()))
+        start, at = end, at + len(out[-1][1])
     return out
 
 
@@ -41,7 +41,7 @@ def _brute(data):
             if start is not None and len(holders[p]) > 1:
                 run.append((start, p))
                 continue
-            if sum(len(x.split()) for _, x in run) >= chunks.WORDS:
+            if sum(chunks.n_words(x.decode()) for _, x in run) >= chunks.WORDS:
                 spans[d[0]].append((run[0][0], run[-1][0] + len(run[-1][1])))
             run = []
     return {k: sorted(v) for k, v in spans.items()}
@@ -71,14 +71,11 @@ def test_dropping_keeps_one_copy_and_round_trips(spark):
 
 
 def test_cuts_cover_the_text_and_do_not_depend_on_blocks(monkeypatch):
-    texts = [t.encode() for t in prose(33, 20)] + ["é漢😀 ß".encode() * 400, b"x" * 3000, b"", b"short"]
+    texts = prose(33, 20) + ["é漢😀 ß" * 400, "x" * 3000, "😀" * 700, "", "short"]
     whole = [chunks.cuts(t) for t in texts]
     for t, ends in zip(texts, whole):
         assert (ends[-1] if ends else 0) == len(t) and ends == sorted(set(ends))
-        start = 0
-        for e in ends:
-            t[start:e].decode()
-            start = e
+        assert all(b - a <= chunks.MOST for a, b in zip([0, *ends], ends))
     monkeypatch.setattr(chunks, "BLOCK", 97)
     assert [chunks.cuts(t) for t in texts] == whole
 
@@ -99,6 +96,44 @@ def test_insertions_shift_no_more_than_nearby_chunks():
     assert len(a - b) <= 3
 
 
+def _found(letters, sizes, amount, gap, seed=7):
+    """Share of passages, each in two texts of their own, whose runs of shared pieces reach the limit."""
+    rng = random.Random(seed)
+
+    def text(n):
+        return gap.join("".join(rng.choice(letters) for _ in range(rng.choice(sizes))) for _ in range(n))
+
+    found = 0
+    for _ in range(200):
+        passage = text(amount)
+        a, b = (_pieces(text(amount) + gap + passage + gap + text(amount)) for _ in "ab")
+        common, run, best = {p for _, p in a} & {p for _, p in b}, 0, 0
+        for _, p in a:
+            run = run + chunks.n_words(p.decode()) if p in common else 0
+            best = max(best, run)
+        found += best >= chunks.WORDS
+    return found / 200
+
+
+def test_passages_are_found_in_every_script():
+    latin, chinese = "etaoinshrdlucmfw", [chr(0x4E00 + 7 * i) for i in range(900)]
+    assert _found(latin, range(2, 10), 51, " ") >= 0.99
+    assert _found([chr(0x430 + i) for i in range(32)], range(2, 10), 51, " ") >= 0.99
+    assert _found(chinese, [1], 200, "") >= 0.99
+    assert _found([chr(0xE01 + i) for i in range(46)], [1], 250, "") >= 0.99
+    assert 0.8 <= _found(latin, range(2, 6), 51, " ")  # short words: the ends lost weigh more
+
+
+def test_texts_without_spaces(spark):
+    rng = random.Random(8)
+    shared = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(200))
+    texts = ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(300)) for _ in range(6)]
+    texts[1], texts[4] = texts[1] + shared + texts[2], shared + texts[5] + "。"
+    data = [(i, t, "zh") for i, t in enumerate(texts)]
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.spans] for r in chunks.query_rows(rows(spark, data)).collect()}
+    assert got == _brute(data) and {1, 4} <= set(got)
+
+
 def test_empty_table(spark):
     assert chunks.query_rows(rows(spark).filter("false")).count() == 0
     assert chunks.dedup(rows(spark)).count() == len(ODD)
