@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and gives the rows that go on.  All but t
 
 - ``quality`` drops rows that a classifier, learned from ``labels`` on the rows at hand, scores below its threshold;
 - ``lines`` drops repeated lines from texts, and sets ``n_chars`` anew;
-- ``near_duplicates`` keeps of each group of near-copies (five-word shingles, Jaccard similarity 0.8) the row with the smallest id;
+- ``near_duplicates`` links near-copies by SimHash through BK-trees and by MinHash bands, verifies links (five-word shingles, Jaccard similarity 0.8),
+  and keeps of each group the row with the smallest id;
 - ``decontamination`` drops rows that hold a near-copy of a ``benchmark`` item;
 - ``tokens`` gives each row's ids, their number, and whether decoding them gives the text again.
 

@@ -1,10 +1,14 @@
-"""Near-duplicate rows of a corpus: exact Jaccard similarity of word shingles, candidates by MinHash bands.
+"""Near-duplicate rows of a corpus: SimHash fingerprints linked through BK-trees and by MinHash bands, every link verified exactly.
 
 Words are those of ``simhash``; a text is the set of its shingles of ``SHINGLE`` words (a shorter text is one shingle, a text without
 words the empty set).  Two texts are linked if the Jaccard similarity of their sets is at least 4/5 or the sets are equal; groups
 are the components of the links.
 
-Candidates share one of ``BANDS`` bands of ``WIDTH`` least hashes.  Sets of similarity s share none with probability
+A set's SimHash (each different shingle votes once) is searched as in ``simhash``: fingerprints within its radius are linked through the
+BK-trees of shards of equal bit blocks, at most a link for each fingerprint of a cell, and sets of one fingerprint by its least set.  The
+trees find near-equal texts; at similarity 0.8 most fingerprints differ in more bits, and a link stands for its group only, so bands complete them.
+
+Candidates also share one of ``BANDS`` bands of ``WIDTH`` least hashes.  Sets of similarity s share none with probability
 (1 - s ** WIDTH) ** BANDS: 7 in 100,000 at 0.8, fewer than one in a million at 0.85.  No candidate is taken on its sketch: every link is
 verified on the whole sets.  First each set of a band's bucket meets the bucket's least one, at the cost of one pair for each set.  Buckets
 that these links leave in several groups are then searched as a whole: in a cell, each set outside the largest group looks up the
@@ -26,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockflow.llm import simhash
 from stockflow.llm.components import components
 from stockflow.llm.frames import saved, shipped, slices
 from stockflow.llm.simhash import first_of_groups, shingle_hashes
@@ -58,21 +63,27 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return mixed.view(np.int64)
 
 
+def print_of(shingles: np.ndarray) -> int:
+    """The SimHash of a set, a bounded block of shingles at a time."""
+    return simhash.voted(shingles[i : i + simhash.BLOCK] for i in range(0, len(shingles), simhash.BLOCK))
+
+
 def _sketched(texts: DataFrame, kind: str) -> DataFrame:
-    """(key, mark, bag, size, bands) of each row; rows of equal sets have one ``bag``."""
+    """(key, mark, bag, size, bands, fingerprint) of each row; rows of equal sets have one ``bag``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags, sizes, found = [], [], []
+            bags, sizes, found, prints = [], [], [], []
             for t in batch["text"]:
                 own = shingle_set(t.as_py())
                 sizes.append(len(own))
                 bags.append(xxhash.xxh64_intdigest(own.tobytes()))
                 found.append(bands(own))
-            arrays = [batch["key"], batch["mark"], pa.array(np.array(bags, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "mark", "bag", "size", "bands"])
+                prints.append(print_of(own))
+            arrays = [batch["key"], batch["mark"], pa.array(np.array(bags, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "mark", "bag", "size", "bands", "fingerprint"])
 
-    return texts.mapInArrow(run, f"key {kind}, mark long, bag long, size long, bands array<long>")
+    return texts.mapInArrow(run, f"key {kind}, mark long, bag long, size long, bands array<long>, fingerprint long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -141,13 +152,26 @@ def _searched(cells: DataFrame) -> DataFrame:
     return cells.groupBy("band", "x", "y").applyInArrow(run, "a long, b long")
 
 
+def tree_pairs(different: DataFrame) -> DataFrame:
+    """Pairs (a, b) of bags of ``different`` (bag, size, fingerprint) to verify: linked through BK-trees, or of one fingerprint."""
+    printed = different.filter("size > 0").select("bag", "fingerprint")
+    least = saved(printed.groupBy("fingerprint").agg(F.min("bag").alias("least")), "prints")
+    linked = saved(simhash.links(least.select("fingerprint")).distinct(), "tree_links")
+    a, b = (least.select(F.col("fingerprint").alias(c), F.col("least").alias(f"bag_{c}")) for c in "ab")
+    pairs = linked.join(a, "a").join(b, "b").select(F.col("bag_a").alias("a"), F.col("bag_b").alias("b"))
+    equal = printed.join(least, "fingerprint").filter("bag <> least").select(F.col("least").alias("a"), F.col("bag").alias("b"))
+    return pairs.union(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(different: DataFrame, sets_of) -> DataFrame:
-    """Links (a, b) that span the groups of ``different`` (bag, size, bands); ``sets_of(bags)`` gives (bag, shingles) of some bags."""
+    """Links (a, b) that span the groups of ``different`` (bag, size, bands, fingerprint); ``sets_of(bags)`` gives (bag, shingles) of some bags."""
+    trees = saved(tree_pairs(different), "trees")
     spread = saved(different.select("bag", "size", F.explode("bands").alias("band")), "bands")
     least = spread.groupBy("band").agg(F.min("bag").alias("least"), F.count("*").alias("n")).filter("n > 1").select("band", "least")
     buckets = saved(spread.join(saved(least, "least"), "band"), "buckets")
-    sets = saved(sets_of(buckets.select("bag").distinct()), "sets")
-    near = saved(_verified(buckets.filter("bag <> least").select(F.col("least").alias("a"), F.col("bag").alias("b")).distinct(), sets), "near")
+    sets = saved(sets_of(buckets.select("bag").union(trees.select("a")).union(trees.select("b")).distinct()), "sets")
+    first = buckets.filter("bag <> least").select(F.col("least").alias("a"), F.col("bag").alias("b"))
+    near = saved(_verified(trees.union(first).distinct(), sets), "near")
     roots = saved(components(near), "roots").withColumnRenamed("node", "bag")
     rooted = saved(buckets.join(roots, "bag", "left").select("band", "bag", "size", F.coalesce("root", "bag").alias("root")), "rooted")
     same = [F.bit_xor(F.xxhash64("bag", F.lit(seed))).alias(f"same_{seed}") for seed in (1, 2)]
@@ -165,7 +189,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     mark = F.xxhash64(F.coalesce(docs[f"`{text}`"], F.lit("")))
     texts = docs.select(docs[f"`{key}`"].alias("key"), mark.alias("mark"), docs[f"`{text}`"].alias("text"))
     rows = saved(_sketched(texts, docs.schema[key].dataType.simpleString()), "sketches")
-    different = saved(rows.groupBy("bag").agg(F.min("mark").alias("mark"), F.first("size").alias("size"), F.first("bands").alias("bands")), "different")
+    different = saved(rows.groupBy("bag").agg(F.min("mark").alias("mark"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("fingerprint").alias("fingerprint")), "different")
 
     def sets_of(bags: DataFrame) -> DataFrame:
         # One text stands for all of equal sets.
@@ -173,6 +197,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         held = texts.select("mark", "text").join(shipped(wanted, wanted.count(), SHIPPED), "mark")
         return _sets(held.dropDuplicates(["bag"]))
 
-    nodes = saved(components(saved(links(different.select("bag", "size", "bands"), sets_of), "near")), "components")
+    nodes = saved(components(saved(links(different.select("bag", "size", "bands", "fingerprint"), sets_of), "near")), "components")
     named = rows.select("key", "mark", "bag").join(nodes.withColumnRenamed("node", "bag"), "bag", "left")
     return first_of_groups(docs, named.select("key", "mark", F.coalesce("root", "bag").alias("root")), key, mark)

@@ -18,7 +18,7 @@ the smallest unless its group has no other; an empty table gives an empty result
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -51,15 +51,20 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> Iterator[np.ndarray]:
         words = words[len(words) - size + 1 :] + list(islice(found, BLOCK))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+def voted(blocks: Iterable[np.ndarray]) -> int:
+    """The signed fingerprint of hashes that come in blocks: a bit is 1 if it is set in over half of them."""
     total, counts = 0, np.zeros(64, np.int64)
-    for hashes in shingle_hashes((text or "").encode().lower(), size):
+    for hashes in blocks:
         total += len(hashes)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     bits = np.packbits(counts * 2 > total, bitorder="little")
     return int(bits.view(np.int64)[0])
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    return voted(shingle_hashes((text or "").encode().lower(), size))
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", output: str = "fingerprint", size: int = SHINGLE) -> DataFrame:
     """``df`` with the signed 64-bit fingerprint of ``text`` (a column of that name is replaced)."""
 

@@ -112,3 +112,16 @@ def test_a_bucket_of_thousands_of_variants():
         expected = _groups(sets, start, sides)
         assert len({(a, b) for a, b in zip(tied, expected)}) == len(set(tied)) == len(set(expected))
         assert 1 < len(set(expected)) < 1200 and len(found) < len(sets)
+
+
+def test_links_come_from_the_trees_of_simhash(spark):
+    # Without bands: long near copies whose fingerprints differ in a few bits, and an own text.
+    words = prose(83, 1, words=800, vocabulary=5000)[0].split()
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(words[1:]), prose(84, 1, words=300)[0]]
+    sets = {i + 1: neardup.shingle_set(t) for i, t in enumerate(texts)}
+    data = [(i, len(s), [], neardup.print_of(s)) for i, s in sets.items()]
+    assert len({r[3] for r in data}) > 2
+    different = spark.createDataFrame(data, "bag long, size long, bands array<long>, fingerprint long")
+    held = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in sets.items()], "bag long, shingles array<long>")
+    found = {frozenset(p) for p in neardup.links(different, lambda bags: held.join(bags, "bag")).collect()}
+    assert found and set().union(*found) == {1, 2, 3}
