@@ -19,6 +19,7 @@ from stockflow.session import ensure_checkpoints, store
 
 SEG = "_segment"
 HOT_ROWS = 2_000_000  # rows of one key that a single window task may sort
+PART_ROWS = 1 << 20  # rows of one partition of a join or window over whole tables
 
 Order = Sequence[str | Column]
 
@@ -58,6 +59,15 @@ def segmented(df: DataFrame, by: Sequence[str], order: Order, rows: int | None =
     return df.repartitionByRange(parts, *keys).withColumn(SEG, F.spark_partition_id()).checkpoint()
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` hash-partitioned by ``keys`` into parts of some ``PART_ROWS`` rows, where the session's shuffles would have larger ones.
+
+    A task's memory then stays the same as the table grows.  Two sides of a join take the ``rows`` of the larger one.
+    """
+    parts = -(-rows // PART_ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _join_segments(rows: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join one-row-per-(key, segment) state back to its rows."""
     return same_keys(rows, small, [*by, SEG], "left")
@@ -147,14 +157,15 @@ def over_entities(
     columns: Callable[[WindowSpec], dict[str, Column]],
     lookback: int,
     hot_rows: int | None = HOT_ROWS,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add window columns that look at most ``lookback`` rows back within each key.
 
     ``hot_rows=None`` states that keys are known to be bounded (one row per calendar period, say).  Otherwise
-    the largest key is measured, and when it exceeds ``hot_rows`` the table is cut into segments, each
+    the largest key is measured (unless ``sizes``, those of ``group_sizes``, are given), and when it exceeds ``hot_rows`` the table is cut into segments, each
     preceded by a copy of the ``lookback`` rows before it.
     """
-    largest, total = (0, 0) if hot_rows is None else group_sizes(df, by)
+    largest, total = (0, 0) if hot_rows is None else sizes or group_sizes(df, by)
     if hot_rows is None or largest <= hot_rows:
         return df.withColumns(columns(Window.partitionBy(*by).orderBy(*order)))
     rows = segmented(df, by, order, total)
