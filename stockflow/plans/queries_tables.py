@@ -325,10 +325,7 @@ def financial_features(spark, d):
     return out.withColumns({c: F.round(c, 4) for c in ("avg_price_by_product", "price_vs_avg")}).drop("order_date", "unit_price")
 
 
-def _lines_with_stock(spark, d):
-    lines = v.sales(spark, d, "product_id", "warehouse_location", "quantity", "l_orderkey", "l_linenumber")
-    stock = v.inventory(spark, d).select("product_id", "warehouse_location", "quantity_on_hand", "quantity_allocated")
-    return lines.join(stock, ["product_id", "warehouse_location"], "left")
+STOCK = ["quantity_on_hand", "quantity_allocated"]
 
 
 @query(
@@ -342,7 +339,9 @@ def _lines_with_stock(spark, d):
     ),
 )
 def inventory_features(spark, d):
-    return en.add_inventory_features(_lines_with_stock(spark, d)).withColumn("stock_coverage_days", F.round("stock_coverage_days", 6))
+    sizes = v.product_sizes(spark, d)
+    lines = v.lines_with_stock(spark, d, sizes, ["quantity", "l_orderkey", "l_linenumber"], STOCK)
+    return en.add_inventory_features(lines, sizes).withColumn("stock_coverage_days", F.round("stock_coverage_days", 6))
 
 
 LAG_SQL = ", ".join(
@@ -383,9 +382,9 @@ def lag_days(spark, d):
     ),
 )
 def enrich(spark, d):
-    lines = v.sales(spark, d, "warehouse_location", *MONEY)
-    stock = v.inventory(spark, d).select("product_id", "warehouse_location", "quantity_on_hand", "quantity_allocated")
-    out = en.enrich(lines.join(stock, ["product_id", "warehouse_location"], "left").drop("warehouse_location"), v.SALES_TIES)
+    sizes = v.product_sizes(spark, d)
+    lines = v.lines_with_stock(spark, d, sizes, [c for c in MONEY if c != "product_id"], STOCK)
+    out = en.enrich(lines.drop("warehouse_location"), v.SALES_TIES, sizes)
     return out.withColumns({c: F.round(c, n) for c, n in (("avg_price_by_product", 4), ("price_vs_avg", 4), ("stock_coverage_days", 6))})
 
 

@@ -29,8 +29,33 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("name", ["enrich", "inventory_features"])
+def test_stock_is_summed_where_the_lines_are(spark, sf, no_broadcast, name):
+    plan = _plan(QUERIES[name](spark, sf))
+    assert _line_scans(plan) == 1 and "l_suppkey" not in " ".join(re.findall(r"Exchange hashpartitioning\((.*?),", plan))
+
+
 def test_partitions_follow_the_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(ordered, "PART_ROWS", 500)
     parts = -(-v.table(spark, sf, "lineitem").count() // 500)
     plan = _plan(QUERIES["kpi_stock_by_warehouse"](spark, sf))
     assert parts > 8 and re.search(rf"hashpartitioning\(l_orderkey#\d+L, {parts}\)", plan)
+
+
+def test_hot_and_plain_products_give_the_same_rows(spark, sf, tmp_path):
+    for name in ("region", "nation", "supplier"):
+        v.table(spark, sf, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = v.table(spark, sf, "lineitem").filter("l_orderkey < 400")
+    lines = lines.withColumn("l_partkey", F.expr("if(l_orderkey % 7 = 0, null, l_partkey % 20)")).withColumn("l_suppkey", F.expr("if(l_orderkey % 11 = 0, null, l_suppkey)"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = v.table(spark, sf, "orders")
+    orders.filter("o_orderkey % 13 <> 0").union(orders.filter("o_orderkey % 5 = 0")).write.parquet(f"{tmp_path}/orders.parquet")
+    columns, stock = ["order_date", "unit_price", *v.SALES_TIES], ["quantity_on_hand", "quantity_allocated"]
+
+    def rows(sizes):
+        df = en.enrich(v.lines_with_stock(spark, str(tmp_path), sizes, columns, stock), v.SALES_TIES, sizes)
+        return df.columns, sorted((tuple(f"{x:.9g}" if isinstance(x, float) else repr(x) for x in r) for r in df.collect()))
+
+    plain = v.product_sizes(spark, str(tmp_path))
+    assert plain[0] <= ordered.HOT_ROWS
+    assert rows(plain) == rows((ordered.HOT_ROWS + 1, plain[1]))
