@@ -79,6 +79,12 @@ def profile(df: DataFrame) -> Profile:
     return Profile(n, missing, {c: row[f"d{i}"] for i, c in enumerate(df.columns)})
 
 
+def missing_shares(df: DataFrame) -> dict[str, float]:
+    """Missing share per column, from one aggregate of counts."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    return {c: 1 - row[f"c{i}"] / row["n"] if row["n"] else 0.0 for i, c in enumerate(df.columns)}
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, value as text, n) for every distinct non-null value."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
@@ -106,7 +112,7 @@ def _mode(counts: dict[str, int]) -> str:
 
 
 def drop_sparse_columns(df: DataFrame, audit: Audit | None = None) -> DataFrame:
-    sparse = [c for c, share in profile(df).missing.items() if share > SPARSE]
+    sparse = [c for c, share in missing_shares(df).items() if share > SPARSE]
     for c in sparse:
         if audit:
             audit.add("drop_column", c)

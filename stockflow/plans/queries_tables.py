@@ -20,7 +20,7 @@ from stockflow.plans import views as v
 from stockflow.plans.etl import run_etl
 from stockflow.plans.registry import query
 from stockflow.plans.views import sql_with
-from stockflow.session import materialize, scratch_path, widen
+from stockflow.session import materialize, scratch_path, store, widen
 from stockflow.sources import files, sinks
 from stockflow.streaming import jobs
 
@@ -130,7 +130,7 @@ def standardize_names(spark, d):
 @query("drop_sparse_columns", sql_with("inventory", "SELECT product_id, warehouse_location, quantity_on_hand, last_restock_date FROM inventory"))
 def drop_sparse_columns(spark, d):
     stock = v.inventory(spark, d).select("product_id", "warehouse_location", "quantity_on_hand", "last_restock_date", "last_urgent_date")
-    return cl.drop_sparse_columns(stock)
+    return cl.drop_sparse_columns(store(stock, "stock"))
 
 
 QUANTITIES = ["quantity_on_hand", "quantity_allocated", "quantity_in_transit"]

@@ -35,6 +35,10 @@ def test_stock_is_summed_where_the_lines_are(spark, sf, no_broadcast, name):
     assert _line_scans(plan) == 1 and "l_suppkey" not in " ".join(re.findall(r"Exchange hashpartitioning\((.*?),", plan))
 
 
+def test_sparse_columns_are_judged_on_written_stock(spark, sf):
+    assert _line_scans(_plan(QUERIES["drop_sparse_columns"](spark, sf))) == 0
+
+
 def test_partitions_follow_the_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(ordered, "PART_ROWS", 500)
     parts = -(-v.table(spark, sf, "lineitem").count() // 500)
