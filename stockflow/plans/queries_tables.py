@@ -14,7 +14,7 @@ from stockflow.operators import cleanse as cl
 from stockflow.operators import enrich as en
 from stockflow.operators import quality as qu
 from stockflow.operators.normalize import normalize
-from stockflow.operators.ordered import forward_fill
+from stockflow.operators.ordered import HOT_ROWS, forward_fill
 from stockflow.plans import kpi
 from stockflow.plans import views as v
 from stockflow.plans.etl import run_etl
@@ -321,7 +321,8 @@ MONEY = ["product_id", "order_date", "unit_price", *v.SALES_TIES]
     ),
 )
 def financial_features(spark, d):
-    out = en.add_financial_features(v.sales(spark, d, *MONEY))
+    sizes = v.product_sizes(spark, d)
+    out = en.add_financial_features(v.sales(spark, d, *MONEY, by_product=sizes[0] <= HOT_ROWS), sizes)
     return out.withColumns({c: F.round(c, 4) for c in ("avg_price_by_product", "price_vs_avg")}).drop("order_date", "unit_price")
 
 

@@ -35,6 +35,10 @@ def test_stock_is_summed_where_the_lines_are(spark, sf, no_broadcast, name):
     assert _line_scans(plan) == 1 and "l_suppkey" not in " ".join(re.findall(r"Exchange hashpartitioning\((.*?),", plan))
 
 
+def test_means_need_no_second_move(spark, sf, no_broadcast):
+    assert _plan(QUERIES["financial_features"](spark, sf)).count("Exchange hashpartitioning") == 3
+
+
 def test_sparse_columns_are_judged_on_written_stock(spark, sf):
     assert _line_scans(_plan(QUERIES["drop_sparse_columns"](spark, sf))) == 0
 
